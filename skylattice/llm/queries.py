@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import fixity, mixing
+from skylattice.llm import fixity, lines, mixing
 from skylattice.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -57,3 +57,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ours.join(found, ["file_id", "record_no"], "left").select(
         "page_id", "file_id", "record_no", "record_at", "n_bytes", "record_sha256", F.coalesce("fault", F.lit("none")).alias("fault")
     )
+
+
+OP3_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+@query(
+    "op3_clean_lines",
+    rf"""
+    with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    pos as (select r, w, unnest(range(1, len(w) - 1)) as i from d),
+    g as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as gram from pos),
+    twice as (select r, i from (select r, i, count(*) over (partition by r, gram) as c from g) where c > 1),
+    cover as (select r, count(distinct i + k) as n_repeat_words from twice, range(0, 3) as t(k) group by r),
+    l as (select r, line from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
+    judged as (select r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
+        len(regexp_extract_all(line, '[|]')) >= 3 or len(regexp_extract_all(line, '{lines.SYMBOLS}')) * 8 > length(line)
+        or len(regexp_extract_all(line, '!!')) >= 3 or regexp_matches(lower(line), '{lines.BOILERPLATE}')
+        or len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {lines.HEADING_WORDS} and not regexp_matches(line, '{lines.CLOSED.replace("'", "''")}') as bad
+      from l),
+    byline as (select r, count(*) - count(distinct line) as n_dup_lines, coalesce(sum(words) filter (not bad), 0) as clean_words from judged group by r),
+    c as (select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+        cast(len(regexp_extract_all(text, '{lines.SYMBOLS}')) as bigint) as n_symbols, cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, coalesce(clean_words, 0) as clean_words
+      from d left join cover using (r) left join byline using (r))
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+      not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (100 * (n_words - clean_words) > {lines.MAX_LOST} * n_words) as kept
+    from c
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the line-first verdict for every document."""
+    return lines.clean_lines(table(spark, sf_dir, "documents")).select(*OP3_COLUMNS)
