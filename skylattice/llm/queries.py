@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import fixity, lines, mixing
+from skylattice.llm import fixity, lines, mixing, quality
 from skylattice.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -90,3 +90,9 @@ OP3_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the line-first verdict for every document."""
     return lines.clean_lines(table(spark, sf_dir, "documents")).select(*OP3_COLUMNS)
+
+
+@query("op6_quality_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; fold 0 of 5 is held out."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
