@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import fixity, lines, mixing, quality
+from skylattice.llm import fixity, lines, mixing, quality, toxicity
 from skylattice.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -96,3 +96,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; fold 0 of 5 is held out."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_toxicity_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; fold 2 of 4 is held out."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
