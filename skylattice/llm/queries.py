@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import fixity, lines, mixing, quality, toxicity
+from skylattice.llm import fixity, lines, mixing, neardup, quality, toxicity
 from skylattice.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -102,3 +102,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; fold 2 of 4 is held out."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_near_duplicates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
