@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import fixity, lines, mixing, neardup, quality, toxicity
+from skylattice.llm import fixity, lines, mixing, neardup, quality, substring, toxicity
 from skylattice.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -108,3 +108,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are left without windows of 20 words that start earlier."""
+    return substring.removed_substrings(table(spark, sf_dir, "documents")).drop("spans")
