@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import fixity, lines, mixing, neardup, quality, substring, toxicity
+from skylattice.llm import fixity, licenses, lines, media, mixing, neardup, pieces, quality, substring, toxicity
 from skylattice.llm.common import stored, table
 
 QUERIES: dict = {}
@@ -114,3 +114,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without windows of 20 words that start earlier."""
     return substring.removed_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op2_media_columns")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored in a baseline JPEG file and read back: digests and thumbnail features."""
+    return media.text_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of license phrases and labels of license notices in every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded to SentencePiece ids and decoded again: counts, digest of the ids, round trip."""
+    return pieces.encoding_report(table(spark, sf_dir, "documents"))
