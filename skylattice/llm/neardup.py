@@ -33,8 +33,8 @@ from skylattice.llm.common import WordHashes, mix64, slices, stored, texts
 
 #: Bands of minima, and minima a band.
 BANDS, ROWS = 26, 5
-#: Equal signature bytes from which a pair is confirmed; at similarity 0.85, 110.5 of 130 are expected.
-AGREE = 93
+#: Standard deviations below the expected number of equal signature bytes at which a pair is still confirmed.
+MARGIN = 4.3
 #: Members of a bucket that are compared at once.
 BLOCK = 512
 #: Surrogate ids of rows without doc_id start here.
@@ -152,8 +152,14 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {most} rounds")
 
 
-def _residual_pairs(key, pdf):
-    """Pairs of different components in two blocks of a bucket whose signatures agree."""
+def agreeing(percent: int) -> int:
+    """Equal signature bytes from which a pair is confirmed: all but 1e-5 of the pairs at the threshold have them."""
+    p = percent / 100
+    return int(BANDS * ROWS * p - MARGIN * (BANDS * ROWS * p * (1 - p)) ** 0.5)
+
+
+def _residual_pairs(key, pdf, least: int):
+    """Pairs of different components in two blocks of a bucket whose signatures agree in so many bytes."""
     import pandas as pd
 
     _, _, i, j = key
@@ -164,7 +170,7 @@ def _residual_pairs(key, pdf):
     for at in range(0, len(left), 32):
         x = left[at : at + 32]
         same = sigs[x][:, None] == sigs[right][None]
-        agree = same.sum(axis=(2, 3)) >= AGREE
+        agree = same.sum(axis=(2, 3)) >= least
         agree &= comps[x][:, None] != comps[right][None]
         agree &= same.all(axis=3).argmax(axis=2) == band[0]  # in the first of the buckets that they share
         if i == j:
@@ -175,8 +181,9 @@ def _residual_pairs(key, pdf):
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """id, no_id, n_shingles and found (the least id of its component) of every row."""
+    least = agreeing(percent)
     rows = stored(sketches(docs, width), "neardup-rows")
     known = rows.where("n_shingles > 0")
     classes = stored(known.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep")), "neardup-classes")
@@ -207,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     part = part.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
     others = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     part = part.withColumn("pair", F.explode(others)).select("key", "band", "id", "component", "sig", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    found = part.groupBy("key", "band", "i", "j").applyInPandas(_residual_pairs, "a long, b long")
+    found = part.groupBy("key", "band", "i", "j").applyInPandas(lambda key, pdf: _residual_pairs(key, pdf, least), "a long, b long")
     late = stored(confirmed(found, held, width, percent), "neardup-late")
     to = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
     lifted = late.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
@@ -216,13 +223,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     out = rows.select("id", "no_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
     out = out.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("mid", F.coalesce("component", "rep", "id"))
     out = out.join(second, "mid", "left").withColumn("found", F.coalesce("top", "mid"))
+    return out.select("id", "no_id", "n_shingles", "found")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return out.select(
+    return _placed(docs, width, percent).select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_shingles", real("found").alias("component_id"), (F.col("id") == F.col("found")).alias("kept"),
     )
 
 
-def deduplicated(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """The input's rows without those that another document of their component stands for."""
-    keep = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+#: Ids up to which those of removed rows are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 500_000
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The input's rows without those that another document of their component stands for; of rows that share an id one stays."""
+    placed = stored(_placed(docs, width, percent), "neardup-placed")
+    gone = stored(placed.where("id <> found").select("id").distinct(), "neardup-gone")
+    twice = stored(placed.where("id = found and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "neardup-twice")
+    hint = lambda df: F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    names = list(docs.columns)
+    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.struct(*names).alias("row")).join(hint(gone), "id", "left_anti")
+    if not twice.isEmpty():
+        small = hint(twice)
+        once = rows.join(small, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rows = rows.join(small, "id", "left_anti").unionByName(once)
+    return rows.select(*[F.col("row")[c].alias(c) for c in names])

@@ -260,20 +260,27 @@ def vocabulary(docs: DataFrame, model: str):
     return docs.sparkSession.sparkContext.broadcast((hash(data), Vocabulary(data)))
 
 
-def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """The rows with ids, and without their text."""
+def encoded(docs: DataFrame, model: str = MODEL, checked: bool = False) -> DataFrame:
+    """The rows with ids, and without their text; checked adds n_pieces and round_trip (whether decoding gives the text)."""
     held = vocabulary(docs, model)
     rest = [c for c in docs.columns if c != "text"]
+    more = ["n_pieces", "round_trip"] if checked else []
 
     def run(batches):
         for b in slices(batches, 1000):
-            ids = _encoder(held).encode_batch([t or "" for t in b.column(0).to_pylist()])
+            batch = [t or "" for t in b.column(0).to_pylist()]
+            ids = _encoder(held).encode_batch(batch)
             flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *b.columns[1:]], ["ids", *[f"c{i}" for i in range(len(rest))]])
-
-    types = ", ".join(["ids array<int>", *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
-    return docs.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).mapInArrow(run, types).toDF("ids", *rest)
+            extra = []
+            if checked:
+                plain = held.value[1].plain
+                same = [decode(x, plain) == t.encode() for x, t in zip(ids, batch, strict=True)]
+                extra = [pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *extra, *b.columns[1:]], ["ids", *[f"x{i}" for i in range(len(extra))], *[f"c{i}" for i in range(len(rest))]])
+
+    types = ", ".join(["ids array<int>", *(["x0 long", "x1 boolean"] if checked else []), *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
+    return docs.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).mapInArrow(run, types).toDF("ids", *more, *rest)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:

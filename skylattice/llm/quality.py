@@ -166,3 +166,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     """doc_id, held_out, score and predicted of every document, by a model trained on the other folds."""
     model = train_ftrl(labelled_sample(docs, labels, "quality", folds, held_out, most))
     return with_folds(scored(docs, _scorer, model), folds, held_out)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5, held_out: int = 0, most: int = MAX_TRAIN) -> DataFrame:
+    """The input's rows whose quality score is threshold at least."""
+    model = train_ftrl(labelled_sample(docs, labels, "quality", folds, held_out, most))
+    held, names = docs.sparkSession.sparkContext.broadcast(model), list(docs.columns)
+    at = names.index("text")
+
+    def run(batches):
+        score = _scorer(held.value)
+        for b in slices(batches):
+            yield b.filter(pa.array([score(t) >= threshold for t in texts(b.column(at))], pa.bool_()))
+
+    types = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, types).toDF(*names)
