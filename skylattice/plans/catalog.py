@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -16,3 +18,7 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+for _part in ("grid_queries", "mosaic_queries", "spatial_queries", "camera_queries", "geo_queries", "frame_queries", "export_queries"):
+    import_module(f"skylattice.plans.{_part}")
