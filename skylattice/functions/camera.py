@@ -59,11 +59,14 @@ class Pinhole:
 
     def undistorted(self, u: Column, v: Column, rounds: int = 5) -> tuple[Column, Column]:
         """Ideal pixel of a pixel seen through the lens, by fixed-point rounds."""
-        x, y = u, v
-        for _ in range(rounds):
-            a, b = self.distorted(x, y)
-            x, y = u - (a - x), v - (b - y)
-        return x, y
+
+        def step(at, _):
+            a, b = self.distorted(at["x"], at["y"])
+            return F.struct((u - a + at["x"]).alias("x"), (v - b + at["y"]).alias("y"))
+
+        first = F.struct(u.cast("double").alias("x"), v.cast("double").alias("y"))
+        got = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step)
+        return got["x"], got["y"]
 
     def ray(self, u: Column, v: Column, depth: Column) -> tuple[Column, Column, Column]:
         """Point in the camera's frame at a depth; NULL where the depth is not above 0."""
