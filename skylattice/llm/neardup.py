@@ -3,13 +3,16 @@
 Texts become sets of hashed word shingles. Rows with equal sets form one class first, which one
 row represents from then on, so exact copies of any number cost one row. Representatives get
 many universal-hash minima, of which a byte each is kept, and rows of bands put them into
-buckets. Links are then found in two rounds, neither of which pairs all members of a bucket:
+buckets. Links are then found in two rounds, neither of which emits the pairs of a bucket:
 
 1. every member is paired with the best-connected member of one of its buckets, the one it
    shares most bands with; pairs are confirmed on their full shingle sets, and connected;
-2. in buckets that still hold more than one component, members of different components are
-   compared by their signatures, block by block inside tasks, and those that agree often enough
-   are confirmed on their full sets.
+   members with the same partner form a family;
+2. in buckets that still hold more than one component, signatures of members of different
+   components are compared, block by block inside tasks, and a task reports which families have
+   members that agree often enough. Of such families, those members are compared on their full
+   shingle sets, again block by block inside tasks; a task keeps the components that it has found
+   so far and emits only links that join two of them, so its output grows with its members.
 
 Components come from alternating large-star and small-star steps, written to the shared folder
 between rounds. With BANDS x ROWS minima two texts of similarity 0.85 meet in no bucket with
@@ -35,8 +38,8 @@ from skylattice.llm.common import WordHashes, mix64, slices, stored, texts
 BANDS, ROWS = 26, 5
 #: Standard deviations below the expected number of equal signature bytes at which a pair is still confirmed.
 MARGIN = 4.3
-#: Members of a bucket that are compared at once.
-BLOCK = 512
+#: Members of a bucket or family that are compared at once, and their shingles.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Surrogate ids of rows without doc_id start here.
 NO_ID = 1 << 62
 
@@ -158,27 +161,112 @@ def agreeing(percent: int) -> int:
     return int(BANDS * ROWS * p - MARGIN * (BANDS * ROWS * p * (1 - p)) ** 0.5)
 
 
-def _residual_pairs(key, pdf, least: int):
-    """Pairs of different components in two blocks of a bucket whose signatures agree in so many bytes."""
-    import pandas as pd
-
-    _, _, i, j = key
-    sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BANDS, ROWS)
-    ids, comps, block, band = (pdf[c].to_numpy() for c in ("id", "component", "block", "band"))
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    out = []
+def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, comps: np.ndarray, ids: np.ndarray, least: int, same_block: bool, band: int | None = None):
+    """Chunks (left members, matrix of which right members agree with them and lie in another component)."""
     for at in range(0, len(left), 32):
         x = left[at : at + 32]
         same = sigs[x][:, None] == sigs[right][None]
         agree = same.sum(axis=(2, 3)) >= least
         agree &= comps[x][:, None] != comps[right][None]
-        agree &= same.all(axis=3).argmax(axis=2) == band[0]  # in the first of the buckets that they share
-        if i == j:
+        if band is not None:
+            agree &= same.all(axis=3).argmax(axis=2) == band  # in the first of the buckets that they share
+        if same_block:
             agree &= ids[x][:, None] < ids[right][None]
+        yield x, agree
+
+
+def _signatures(pdf) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BANDS, ROWS)
+
+
+def _agreeing_families(key, pdf, least: int):
+    """Pairs of families with members of different components, in two blocks of a bucket, whose signatures agree."""
+    import pandas as pd
+
+    _, band, i, j = key
+    ids, comps, families, block = (pdf[c].to_numpy() for c in ("id", "component", "family", "block"))
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = set()
+    for x, agree in _agreement(_signatures(pdf), left, right, comps, ids, least, i == j, band):
         p, q = np.nonzero(agree)
-        out.append(np.stack([ids[x][p], ids[right][q]], 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        f, g = families[x][p], families[right][q]
+        found.update(map(tuple, np.unique(np.stack([np.minimum(f, g), np.maximum(f, g)], 1), axis=0).tolist()))
+    return pd.DataFrame(sorted(found), columns=["f", "g"], dtype=np.int64)
+
+
+def _agreeing_members(key, pdf, least: int):
+    """Members of two blocks of families whose signatures agree with one in another component."""
+    import pandas as pd
+
+    f, g, i, j = key
+    ids, comps, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    there = np.zeros(len(ids), bool)
+    for x, agree in _agreement(_signatures(pdf), left, right, comps, ids, least, f == g and i == j):
+        there[x[agree.any(axis=1)]] = True
+        there[right[agree.any(axis=0)]] = True
+    return pd.DataFrame({"f": f, "g": g, "i": i, "j": j, "side": side[there], "id": ids[there], "component": comps[there], "sig": pdf["sig"].to_numpy()[there]})
+
+
+def _linked_members(key, pdf, least: int, percent: int):
+    """Links between members of two blocks of families, judged on full shingle sets; only those that join components."""
+    import pandas as pd
+
+    f, g, i, j = key
+    ids, comps, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    cut = np.split(number, np.cumsum(sizes)[:-1])
+    mark = np.zeros(int(number.max()) + 1, bool)
+    _, now = np.unique(comps, return_inverse=True)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    out = []
+    for chunk, agree in _agreement(_signatures(pdf), left, right, comps, ids, least, f == g and i == j):
+        for x, row in zip(chunk, agree, strict=True):
+            partners = right[row]
+            partners = partners[now[partners] != now[x]]
+            if not len(partners):
+                continue
+            mark[cut[x]] = True
+            ends = np.cumsum(sizes[partners])
+            both = np.add.reduceat(mark[np.concatenate([cut[y] for y in partners])].astype(np.int64), ends - sizes[partners])
+            mark[cut[x]] = False
+            for y in partners[100 * both >= percent * (sizes[x] + sizes[partners] - both)]:
+                if now[y] != now[x]:
+                    now[now == now[y]] = now[x]
+                    out.append((ids[x], ids[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _late_links(found: DataFrame, members: DataFrame, held: DataFrame, width: int, percent: int, least: int) -> DataFrame:
+    """Links (a, b) of the members (id, component, family, sig, n_shingles) of pairs of families (f, g)."""
+    size = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    n = lambda k: size.select(F.col("family").alias(k), F.col("blocks").alias(f"n_{k}"))
+    pairs = found.join(n("f"), "f").join(n("g"), "g")
+    numbers = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    cells = []
+    for k, other in (("f", "g"), ("g", "f")):
+        mine = pairs.where("f < g").join(members, F.col("family") == F.col(k)).withColumns({"own": block(f"n_{k}"), "to": F.explode(numbers(f"n_{other}"))})
+        i, j = ("own", "to") if k == "f" else ("to", "own")
+        cells.append(mine.select("f", "g", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(int(k == "g")).alias("side"), "id", "component", "sig"))
+    alone = pairs.where("f = g").join(members, F.col("family") == F.col("f")).withColumn("own", block("n_f")).withColumn("to", F.explode(numbers("n_f")))
+    low, high = F.least("own", "to"), F.greatest("own", "to")
+    which = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)  # 2: on both sides
+    cells.append(alone.select("f", "g", low.alias("i"), high.alias("j"), which.alias("side"), "id", "component", "sig"))
+    by = ["f", "g", "i", "j"]
+    schema = "f long, g long, i long, j long, side int, id long, component long, sig binary"
+    every = cells[0].unionByName(cells[1]).unionByName(cells[2])
+    involved = stored(every.groupBy(*by).applyInPandas(lambda key, pdf: _agreeing_members(key, pdf, least), schema), "neardup-involved")
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in slices(batches):
+            yield pa.record_batch([b.column(0), pa.array([shingles(t, hashes, width).tobytes() for t in texts(b.column(1))], pa.binary())], ["id", "shingles"])
+
+    sets = stored(held.join(involved.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
+    return involved.join(sets, "id").groupBy(*by).applyInPandas(lambda key, pdf: _linked_members(key, pdf, least, percent), "a long, b long")
 
 
 def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -201,21 +289,26 @@ def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"), F.col("top.degree").alias("degree"))
     met = shared.select("key", "id").join(centre, "key").where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"), F.max("degree").alias("degree"))
     best = met.groupBy("id").agg(F.max(F.struct("bands", "degree", "centre")).alias("best")).select(F.col("id").alias("a"), F.col("best.centre").alias("b"))
+    best = stored(best, "neardup-best")
     star = stored(confirmed(best, held, width, percent), "neardup-star")
     first = stored(components(star, "neardup-first"), "neardup-first")
 
     # round 2: members of different components that still share a bucket
+    families = best.select(F.col("a").alias("id"), F.col("b").alias("family"))
     placed = shared.select("key", "band", "id", "size").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stored(placed, "neardup-placed")
+    placed = stored(placed.join(families, "id", "left").withColumn("family", F.coalesce("family", "id")), "neardup-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    sigs = nodes.dropDuplicates(["id"])
-    part = placed.join(mixed, "key", "left_semi").join(sigs, "id")
+    sigs = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "sig", "n_shingles").dropDuplicates(["id"])
+    part = placed.join(mixed, "key", "left_semi").join(sigs.select("id", "sig"), "id")
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     part = part.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
     others = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    part = part.withColumn("pair", F.explode(others)).select("key", "band", "id", "component", "sig", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    found = part.groupBy("key", "band", "i", "j").applyInPandas(lambda key, pdf: _residual_pairs(key, pdf, least), "a long, b long")
-    late = stored(confirmed(found, held, width, percent), "neardup-late")
+    part = part.withColumn("pair", F.explode(others)).select("key", "band", "id", "component", "family", "sig", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
+    agreed = part.groupBy("key", "band", "i", "j").applyInPandas(lambda key, pdf: _agreeing_families(key, pdf, least), "f long, g long")
+    agreed = stored(agreed.distinct(), "neardup-families")
+    wanted = agreed.select(F.col("f").alias("family")).unionByName(agreed.select(F.col("g").alias("family"))).distinct()
+    members = placed.select("id", "component", "family").distinct().join(wanted, "family", "left_semi").join(sigs, "id")
+    late = stored(_late_links(agreed, stored(members, "neardup-members"), held, width, percent, least), "neardup-late")
     to = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
     lifted = late.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = components(lifted, "neardup-second").select(F.col("id").alias("mid"), F.col("component").alias("top"))
