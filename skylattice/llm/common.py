@@ -85,6 +85,20 @@ def slices(batches, rows: int = 1000):
             yield b.slice(i, rows)
 
 
+def gathered(batches, column: int, most: int, rows: int = 2000):
+    """Slices of record batches whose texts in a column come to about so many bytes."""
+    import pyarrow.compute as pc
+
+    for b in slices(batches, rows):
+        sizes = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at, done = 0, 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, done + most)) + 1)
+            yield b.slice(at, end - at)
+            at, done = end, int(ends[min(end, b.num_rows) - 1])
+
+
 def words_count(text) -> "F.Column":
     """Words of a text column; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import slices, texts
+from skylattice.llm.common import gathered, texts
 
 #: Coefficients of a block; samples along the side of a block.
 UNIT, SIDE = 64, 8
@@ -520,26 +520,12 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(UNIT, -(-len(text) // UNIT) * UNIT), b"\0")
 
 
-def _gathered(batches, column: int):
-    """Slices of batches whose values come to about GATHER bytes."""
-    for b in slices(batches, 2000):
-        at, total = 0, 0
-        sizes = [len(t) for t in texts(b.column(column))]
-        for i, n in enumerate(sizes):
-            total += n
-            if total >= GATHER:
-                yield b.slice(at, i + 1 - at)
-                at, total = i + 1, 0
-        if at < b.num_rows:
-            yield b.slice(at)
-
-
 def jpeg_features(images: DataFrame, column: str = "image", key: str = "image_id") -> DataFrame:
     """key, width, height, feature and error of every file in a binary column."""
     kind = images.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in _gathered(batches, 1):
+        for b in gathered(batches, 1, GATHER):
             files = b.column(1).to_pylist()
             got = iter(read_jpegs([f for f in files if f is not None]))
             w, h, what, wrong = [], [], [], []
@@ -563,7 +549,7 @@ def jpeg_features(images: DataFrame, column: str = "image", key: str = "image_id
 
 def _stored(docs: DataFrame, with_media: bool) -> DataFrame:
     def run(batches):
-        for b in _gathered(batches, 1):
+        for b in gathered(batches, 1, GATHER):
             raw = texts(b.column(1))
             files = write_jpegs([padded(t) for t in raw])
             cols: dict[str, list] = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}

@@ -21,17 +21,20 @@ table gives an empty result; other columns are passed over.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import WordHashes, mix64, slices, stored, texts
+from skylattice.llm.common import WordHashes, gathered, mix64, stored, texts
 from skylattice.llm.neardup import node_id
 
 #: Words of a window, and words of the hashes that anchor it.
 WINDOW, GRAM = 20, 5
+#: Bytes of text that a task parses together.
+GATHER = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -62,35 +65,49 @@ def sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-class Phrases:
-    """The phrases of one text of at least a window: run [start, stop) of windows, anchor and key of each."""
+class Batch:
+    """The phrases of many texts, whose words stand one after another: run [start, stop) of windows, doc, anchor and key of each."""
 
-    def __init__(self, words: list[bytes], hashes: WordHashes) -> None:
-        h = hashes.of(words)
-        n = len(h)
+    def __init__(self, batch: list[bytes], hashes: WordHashes) -> None:
+        self.words = [t.split() for t in batch]
+        self.counts = np.array([len(w) for w in self.words], np.int64)
+        self.ends = np.cumsum(self.counts)
+        n = self.size = int(self.ends[-1]) if len(batch) else 0
+        self.start = self.stop = self.doc = np.zeros(0, np.int64)
+        self.anchor = self.key = self.sums = self.down = np.zeros(0, np.uint64)
+        if n < WINDOW:
+            return
+        h = hashes.of([w for words in self.words for w in words])
         g = np.zeros(n - GRAM + 1, np.uint64)
         for k in range(GRAM):
             g = g * np.uint64(_BASE) + h[k : n - GRAM + 1 + k]
         g = mix64(g)
         at = sliding_argmin(g, WINDOW - GRAM + 1)
-        cut = np.flatnonzero(np.diff(at)) + 1
-        self.start = np.concatenate([[0], cut])
-        self.stop = np.concatenate([cut, [len(at)]])
-        self.anchor = g[at[self.start]]
+        of = np.repeat(np.arange(len(batch)), self.counts)
+        windows = np.flatnonzero(of[: n - WINDOW + 1] == of[WINDOW - 1 :])  # within a text
+        if not len(windows):
+            return
+        least, of = at[windows], of[windows]
+        cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])]))
+        self.start, self.stop = windows[cut], windows[np.append(cut[1:], len(windows)) - 1] + 1
+        self.doc, self.anchor = of[cut], g[least[cut]]
         up, self.down = _powers(n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)])
         length = (self.stop - self.start).astype(np.uint64)
-        self.key = mix64(mix64(self.span(self.start, self.stop + WINDOW - 1)) + self.anchor + length)
+        self.key = mix64(mix64(self.span(self.start, self.stop + WINDOW - 1)) + self.anchor + length) & ~np.uint64(1)
 
     def span(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the words [first, end)."""
         return (self.sums[end] - self.sums[first]) * self.down[first]
 
+    @staticmethod
+    def tagged(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Keys told apart by text."""
+        return mix64(key + mix64(doc.astype(np.uint64) + np.uint64(1)))
+
     def firsts(self) -> np.ndarray:
-        """Which phrases are the first of their key in the text."""
-        out = np.zeros(len(self.key), bool)
-        out[np.unique(self.key, return_index=True)[1]] = True
-        return out
+        """Which phrases are the first of their key in their text."""
+        return _first_seen(self.tagged(self.key, self.doc))
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrase, start and key of every window of the phrases at which."""
@@ -100,14 +117,24 @@ class Phrases:
         return phrase, at, mix64(mix64(self.span(at, at + WINDOW)) + self.anchor[phrase])
 
 
+def _first_seen(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x), bool)
+    out[np.unique(x, return_index=True)[1]] = True
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+    return pa.array(x.astype(np.uint64, copy=False).view(np.int64))
+
+
+def _listed(column) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of an Arrow list<long> column; nulls are empty."""
+    ends = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)[ends[0] : ends[-1]]
+    return np.repeat(np.arange(len(column)), np.diff(ends)), values
 
 
-def _lists(column) -> list[np.ndarray]:
-    """An Arrow list<long> column as unsigned arrays; nulls are empty."""
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    return [values[a:z] for a, z in zip(ends[:-1], ends[1:], strict=True)]
+ROWS = "anchor long, key long, id long"
 
 
 def phrase_rows(docs: DataFrame) -> DataFrame:
@@ -115,103 +142,89 @@ def phrase_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in slices(batches, 500):
-            anchors, keys, ids, counts = [], [], b.column(0).to_numpy(zero_copy_only=False), np.zeros(b.num_rows, np.int64)
-            for i, t in enumerate(texts(b.column(1))):
-                words = t.split()
-                if len(words) >= WINDOW:
-                    p = Phrases(words, hashes)
-                    one = p.firsts()
-                    anchors.append(p.anchor[one])
-                    keys.append(p.key[one])
-                    counts[i] = one.sum()
-            if anchors:
-                yield pa.record_batch({"anchor": _signed(np.concatenate(anchors)), "key": _signed(np.concatenate(keys)), "id": pa.array(np.repeat(ids, counts))})
+        for b in gathered(batches, 1, GATHER):
+            p = Batch(texts(b.column(1)), hashes)
+            one = p.firsts()
+            yield pa.record_batch({"anchor": _signed(p.anchor[one]), "key": _signed(p.key[one]), "id": b.column(0).take(pa.array(p.doc[one]))})
 
-    return docs.select("id", "text").mapInArrow(run, "anchor long, key long, id long")
+    return docs.select("id", "text").mapInArrow(run, ROWS)
 
 
-def _open_phrases(p: Phrases, firsts: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Phrases that start here first, but share their anchor with others, so that parts of them may be copies."""
-    return np.flatnonzero(p.firsts() & np.isin(p.key, firsts) & np.isin(p.key, edges))
+def _here(p: Batch, column) -> tuple[np.ndarray, np.ndarray]:
+    """Which phrases start here first, and which of those share their anchor with others, so that parts of them may be copies.
+
+    column: the keys of a text's first phrases, with the lowest bit set for a shared anchor."""
+    row, value = _listed(column)
+    shared = (value & np.uint64(1)).astype(bool)
+    tags, mine = Batch.tagged(value & ~np.uint64(1), row), Batch.tagged(p.key, p.doc)
+    one = _first_seen(mine)
+    return one & np.isin(mine, tags), np.flatnonzero(one & np.isin(mine, tags[shared]))
 
 
 def window_rows(parsed: DataFrame) -> DataFrame:
-    """anchor, key and id of the windows at possible factor boundaries, once a text."""
+    """anchor, key and id of the windows at possible factor boundaries, once a text; takes all columns, so that both readers of parsed share one shuffle."""
+    columns = parsed.columns
 
     def run(batches):
-        hashes = WordHashes()
-        for b in slices(batches, 500):
-            anchors, keys, ids, counts = [], [], b.column(0).to_numpy(zero_copy_only=False), np.zeros(b.num_rows, np.int64)
-            for i, (t, firsts, edges) in enumerate(zip(texts(b.column(1)), _lists(b.column(2)), _lists(b.column(3)), strict=True)):
-                if len(edges):
-                    p = Phrases(t.split(), hashes)
-                    phrase, _, key = p.windows(_open_phrases(p, firsts, edges))
-                    key, one = np.unique(key, return_index=True)
-                    anchors.append(p.anchor[phrase[one]])
-                    keys.append(key)
-                    counts[i] = len(key)
-            if anchors:
-                yield pa.record_batch({"anchor": _signed(np.concatenate(anchors)), "key": _signed(np.concatenate(keys)), "id": pa.array(np.repeat(ids, counts))})
-
-    return parsed.select("id", "text", "firsts", "edges").mapInArrow(run, "anchor long, key long, id long")
-
-
-def copied_windows(p: Phrases, firsts: np.ndarray, edges: np.ndarray, first_windows: np.ndarray) -> np.ndarray:
-    """Which windows of the text start elsewhere earlier, given what starts here first."""
-    here = p.firsts() & np.isin(p.key, firsts)
-    copied = np.repeat(~here, p.stop - p.start)
-    if len(edges):
-        _, at, key = p.windows(_open_phrases(p, firsts, edges))
-        first_here = np.zeros(len(key), bool)
-        first_here[np.unique(key, return_index=True)[1]] = True
-        copied[at[~(first_here & np.isin(key, first_windows))]] = True
-    return copied
-
-
-def factors(copied: np.ndarray) -> list[tuple[int, int]]:
-    """Greedy factors [first word, end) of the copied windows, adjoining and overlapping ones joined."""
-    on = np.flatnonzero(np.diff(np.concatenate([[False], copied, [False]]).astype(np.int8))).reshape(-1, 2)
-    out: list[tuple[int, int]] = []
-    for a, z in on.tolist():
-        z += WINDOW - 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], z)
-        else:
-            out.append((a, z))
-    return out
+        hashes, at = WordHashes(), {c: columns.index(c) for c in ("id", "text", "firsts")}
+        for b in gathered(batches, at["text"], GATHER):
+            p = Batch(texts(b.column(at["text"])), hashes)
+            phrase, _, key = p.windows(_here(p, b.column(at["firsts"]))[1])
+            one = _first_seen(Batch.tagged(key, p.doc[phrase]))
+            phrase = phrase[one]
+            yield pa.record_batch({"anchor": _signed(p.anchor[phrase]), "key": _signed(key[one]), "id": b.column(at["id"]).take(pa.array(p.doc[phrase]))})
+
+    return parsed.mapInArrow(run, ROWS)
+
+
+def removed_words(p: Batch, firsts, first_windows) -> np.ndarray:
+    """Which of the words are covered by a window that starts elsewhere earlier, given what starts here first."""
+    here, open_phrases = _here(p, firsts)
+    copied = np.zeros(p.size + 1, bool)
+    length = p.stop - p.start
+    at = np.repeat(p.start - np.concatenate([[0], np.cumsum(length)[:-1]]) if len(length) else p.start, length) + np.arange(length.sum())
+    copied[at] = np.repeat(~here, length)
+    if len(open_phrases):
+        phrase, at, key = p.windows(open_phrases)
+        row, value = _listed(first_windows)
+        tag = Batch.tagged(key, p.doc[phrase])
+        copied[at[~(_first_seen(tag) & np.isin(tag, Batch.tagged(value, row)))]] = True
+    starts = np.flatnonzero(copied)
+    change = np.bincount(starts, minlength=p.size + 1) - np.bincount(starts + WINDOW, minlength=p.size + 1)[: p.size + 1]
+    return np.cumsum(change)[: p.size] > 0
 
 
 def _parsed(docs: DataFrame, extra: list) -> DataFrame:
-    """Every row with what its text has first: its phrases (firsts), those to be looked into (edges) and their windows."""
+    """Every row with what its text has first: its phrases (firsts; the lowest bit marks those to be looked into) and their windows."""
     rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), "text", *extra)
     classes = stored(phrase_rows(rows).groupBy("anchor", "key").agg(F.min("id").alias("id")), "substring-phrases")
-    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(True).alias("edge"))
-    firsts = classes.join(shared, "anchor", "left").groupBy("id").agg(
-        F.collect_list("key").alias("firsts"), F.collect_list(F.when(F.col("edge"), F.col("key"))).alias("edges")
-    )
+    shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(1).cast("long").alias("edge"))
+    value = F.col("key") + F.coalesce("edge", F.lit(0).cast("long"))
+    firsts = classes.join(shared, "anchor", "left").groupBy("id").agg(F.collect_list(value).alias("firsts"))
     parsed = rows.join(firsts, "id", "left")
     windows = window_rows(parsed).groupBy("anchor", "key").agg(F.min("id").alias("id"))
     return parsed.join(windows.groupBy("id").agg(F.collect_list("key").alias("first_windows")), "id", "left")
 
 
-def _each(b):
-    """(text, its words, its factors) of every row of a batch of id, text, firsts, edges, first_windows."""
+def _cleaned(b):
+    """(texts, their words, which of them go) of a batch of id, text, firsts, first_windows."""
     hashes = WordHashes()
-    for t, firsts, edges, wins in zip(texts(b.column(1)), *(_lists(b.column(k)) for k in (2, 3, 4)), strict=True):
-        words = t.split()
-        yield t, words, factors(copied_windows(Phrases(words, hashes), firsts, edges, wins)) if len(words) >= WINDOW else []
+    p = Batch(texts(b.column(1)), hashes)
+    gone = removed_words(p, b.column(2), b.column(3))
+    return p, np.split(gone, p.ends[:-1]) if len(p.ends) else []
+
+
+def _kept(words: list[bytes], gone: np.ndarray) -> list[bytes]:
+    return list(compress(words, (~gone).tolist())) if gone.any() else words
 
 
-def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
-    out, at = [], 0
-    for a, z in spans:
-        out += words[at:a]
-        at = z
-    return out + words[at:]
+def spans(gone: np.ndarray) -> list[dict]:
+    """Factors (first word, end), adjoining and overlapping ones joined."""
+    on = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    return [{"first": int(a), "end": int(z)} for a, z in on.reshape(-1, 2)]
 
 
-INPUT = ("id", "text", "firsts", "edges", "first_windows")
+INPUT = ("id", "text", "firsts", "first_windows")
 
 
 def removed_substrings(docs: DataFrame) -> DataFrame:
@@ -219,14 +232,11 @@ def removed_substrings(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for b in slices(batches, 500):
-            n, gone, sha, spans = [], [], [], []
-            for _, words, cut in _each(b):
-                n.append(len(words))
-                gone.append(sum(z - a for a, z in cut))
-                sha.append(hashlib.sha256(b" ".join(_kept(words, cut))).hexdigest())
-                spans.append([{"first": a, "end": z} for a, z in cut])
-            yield pa.record_batch({"doc_id": b.column(5), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(spans, kind)})
+        for b in gathered(batches, 1, GATHER):
+            p, gone = _cleaned(b)
+            sha = [hashlib.sha256(b" ".join(_kept(w, g))).hexdigest() for w, g in zip(p.words, gone, strict=True)]
+            cut = [spans(g) if g.any() else [] for g in gone]
+            yield pa.record_batch({"doc_id": b.column(4), "n_words": pa.array(p.counts), "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(cut, kind)})
 
     out = _parsed(docs, [F.col("doc_id").cast("long").alias("own_id")]).select(*INPUT, "own_id")
     return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:long,end:long>>")
@@ -238,13 +248,11 @@ def without_substrings(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches):
-        for b in slices(batches, 500):
-            new, keep = [], []
-            for t, words, cut in _each(b):
-                left = _kept(words, cut)
-                new.append((b" ".join(left) if cut else t).decode())
-                keep.append(bool(left) or not cut)
-            cols = {c: b.column(5 + i) for i, c in enumerate(names)}
+        for b in gathered(batches, 1, GATHER):
+            p, gone = _cleaned(b)
+            new = [b" ".join(_kept(w, g)).decode() if g.any() else t.decode() for t, w, g in zip(texts(b.column(1)), p.words, gone, strict=True)]
+            keep = [not len(g) or not g.all() for g in gone]
+            cols = {c: b.column(4 + i) for i, c in enumerate(names)}
             cols["text"] = pa.array(new, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([len(t) for t in new], pa.int64()).cast(cols["n_chars"].type)
