@@ -101,3 +101,28 @@ def greedy_unique(poses: DataFrame, least_visual: float) -> DataFrame:
         return pd.DataFrame({"camera_id": [key[0]] * len(out), "seq": out})
 
     return poses.select("camera_id", "seq", *cols).groupBy("camera_id").applyInPandas(fold, "camera_id long, seq long")
+
+
+def without_scale(t) -> tuple[np.ndarray, float]:
+    """A similarity as a rigid 4 x 4 transform, and its scale."""
+    t = np.array(t, float)
+    scale = float(np.linalg.norm(t[:3, 0]))
+    if scale <= 0:
+        raise ValueError("a similarity has a scale above 0")
+    rigid = t.copy()
+    rigid[:3, :3] /= scale
+    return rigid, scale
+
+
+def georeference_difference(old, new) -> np.ndarray:
+    """The rigid transform that leads from an old georeference to a new one."""
+    return np.linalg.inv(without_scale(old)[0]) @ without_scale(new)[0]
+
+
+def pose_guess(frames: DataFrame, t, cols=("easting", "northing", "altitude")) -> DataFrame:
+    """vx, vy, vz: where a frame's default position lies in the visual frame of a georeference."""
+    rigid, scale = without_scale(t)
+    back = np.linalg.inv(rigid)
+    p = [F.col(c) for c in cols]
+    at = [sum((float(back[i, j]) * p[j] for j in range(3)), F.lit(float(back[i, 3]))) / scale for i in range(3)]
+    return frames.withColumns(dict(zip(VIS, at, strict=True)))

@@ -95,3 +95,12 @@ def throttled(frames: DataFrame, most: float) -> DataFrame:
         return pdf.loc[keep, ["camera_id", "frame_id"]]
 
     return frames.select("camera_id", "frame_id", "ts", "x", "y", "width", "height").groupBy("camera_id").applyInPandas(fold, "camera_id long, frame_id long")
+
+
+def released(frames: DataFrame, keyframes: int) -> DataFrame:
+    """release_ts of each posed frame: its own time, but not before its camera's georeference stands, which takes so many keyframes."""
+    key = (F.col("is_keyframe") == 1) & (F.col("has_pose") == 1)
+    nth = F.sum(F.when(key, 1).otherwise(0)).over(sequence())
+    ready = F.min(F.when(F.col("nth_keyframe") >= keyframes, F.col("ts"))).over(W.partitionBy("camera_id"))
+    posed = frames.withColumn("nth_keyframe", nth).withColumn("ready_ts", ready).where("has_pose = 1")
+    return posed.withColumn("release_ts", F.when(F.col("ready_ts").isNotNull(), F.greatest("ts", "ready_ts"))).drop("nth_keyframe", "ready_ts")

@@ -146,3 +146,11 @@ def umeyama_fit(spark, sf_dir):
 @query("georef_greedy")
 def georef_greedy(spark, sf_dir):
     return georef.greedy_unique(poses(spark, sf_dir), 2.0)
+
+
+_TURN = [[0.0, -4.0, 0.0, 604000.0], [4.0, 0.0, 0.0, 5792000.0], [0.0, 0.0, 4.0, 50.0], [0.0, 0.0, 0.0, 1.0]]
+
+
+@query("pose_guess", f"with {FRAMES} select frame_id, round((northing - 5792000) / 4, 6) + 0 as vx, round(-(easting - 604000) / 4, 6) + 0 as vy, round((altitude - 50) / 4, 6) + 0 as vz from frames")
+def pose_guess(spark, sf_dir):
+    return georef.pose_guess(frames(spark, sf_dir), _TURN).select("frame_id", *[(F.round(c, 6) + 0).alias(c) for c in georef.VIS])

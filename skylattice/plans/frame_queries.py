@@ -63,3 +63,20 @@ def delayed_publish(spark, sf_dir):
     us = lambda c: F.unix_micros(c.cast("timestamp"))
     first = F.min("ts").over(W.partitionBy("camera_id"))
     return frames(spark, sf_dir).select("frame_id", (us(F.col("ts")) - us(first)).alias("elapsed")).where("elapsed > 600000000")
+
+
+@query("released_frames", f"""with {FRAMES}, n as (select *, sum(case when is_keyframe = 1 and has_pose = 1 then 1 else 0 end) over w as nth from frames {_W}),
+    r as (select *, min(case when nth >= 3 then ts end) over (partition by camera_id) as ready from n) select frame_id, case when ready is not null then greatest(ts, ready) end as release_ts from r where has_pose = 1""")
+def released_frames(spark, sf_dir):
+    return stages.released(frames(spark, sf_dir), 3).select("frame_id", "release_ts")
+
+
+@query("imu_intervals", f"""with {FRAMES}, i as (select event_id as reading_id, user_id % 97 as sensor_id, ts as read_at, value from events)
+    select frame_id, count(*) as n, round(avg(value), 6) as mean from frames f join i on i.sensor_id = f.camera_id and i.read_at <= f.ts and i.read_at > f.ts - interval '2 hours' group by frame_id""")
+def imu_intervals(spark, sf_dir):
+    from skylattice.plans.fixtures import table
+    from skylattice.streaming.maps import frames_with_imu
+
+    readings = table(spark, sf_dir, "events").select(F.col("event_id").alias("reading_id"), (F.col("user_id") % 97).alias("sensor_id"), F.col("ts").cast("timestamp").alias("at"), "value")
+    timed = frames(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    return frames_with_imu(timed, readings, "2 hours").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))

@@ -101,6 +101,14 @@ def rates_stream(frames: DataFrame, period: str = "10 seconds", late: str = "30
 
 
 def frames_with_imu(frames: DataFrame, readings: DataFrame, before: str = "100 milliseconds", late: str = "30 seconds") -> DataFrame:
-    """Each frame (frame_id, camera_id, ts) with the readings (sensor_id, at, ...) of the interval before it: a stream-stream join."""
+    """Each frame (frame_id, camera_id, ts) with the readings (sensor_id, at, ...) of the interval before it: a join of two streams, or of two tables.
+
+    For tables the join key includes the interval's number, of which a frame takes two, so a busy sensor's readings spread."""
+    if not frames.isStreaming and not readings.isStreaming:
+        span = int(pd.Timedelta(before).total_seconds() * 1e6)
+        slot = lambda c: F.floor(F.unix_micros(c) / span)
+        f = frames.withColumns({"sensor_id": F.col("camera_id"), "slot": F.explode(F.array(slot("ts"), slot("ts") - 1))})
+        pairs = f.join(readings.withColumn("slot", slot("at")), ["sensor_id", "slot"]).drop("slot")
+        return pairs.where(F.expr(f"at <= ts and at > ts - interval {before}"))
     f, r = frames.withWatermark("ts", late), readings.withWatermark("at", late)
     return f.join(r, F.expr(f"sensor_id = camera_id and at <= ts and at > ts - interval {before}"))

@@ -195,3 +195,12 @@ def test_warp_keeps_values(spark):
     cells = spark.range(400).select((60400 + F.col("id") % 20).alias("gx"), (579200 + F.floor(F.col("id") / 20)).alias("gy"), (F.col("id") * 1.0).alias("elevation"))
     got = tiles.warp_to_mercator(cells, 10.0, 32, "elevation", 10.0).collect()
     assert len(got) > 900 and {r.elevation for r in got} == {float(i) for i in range(400)}
+
+
+def test_georeference_difference():
+    turn = lambda a, s, t: np.array([[s * np.cos(a), -s * np.sin(a), 0, t], [s * np.sin(a), s * np.cos(a), 0, -t], [0, 0, s, 2 * t], [0, 0, 0, 1]])
+    old, new = turn(0.3, 2.0, 5.0), turn(0.5, 3.0, 6.0)
+    d = georef.georeference_difference(old, new)
+    assert np.allclose(georef.without_scale(old)[0] @ d, georef.without_scale(new)[0]) and np.allclose(np.linalg.det(d[:3, :3]), 1)
+    with pytest.raises(ValueError):
+        georef.without_scale(np.zeros((4, 4)))

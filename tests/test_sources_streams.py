@@ -129,3 +129,25 @@ def test_streamed_throttle_and_rates(spark, tmp_path):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(spark.table("throttled")) == rows(stages.throttled(f, 60.0))
     assert rows(spark.table("rates")) == rows(stages.frame_rates(f))
+
+
+def test_settings_bind_declared_keys():
+    from skylattice.sources import settings
+
+    got = settings.load_stage("%YAML:1.0\ntype: tileing\nqueue_size: 9\nmin_zoom: 12\nunknown: 3\n", "tileing")
+    assert (got.queue_size, got.min_zoom, got.max_zoom) == (9, 12, -1)
+    for text, stage in (("type: mosaicing\n", "tileing"), ("type: x\n", "x"), ("type: tileing\nmin_zoom: high\n", "tileing")):
+        with pytest.raises(ValueError):
+            settings.load_stage(text, stage)
+
+
+def test_streamed_intervals_are_the_batch_join(spark, tmp_path):
+    f = frames(spark).select("frame_id", "camera_id", "ts")
+    readings = spark.range(90).select((F.col("id") % 3).alias("sensor_id"), F.timestamp_seconds(F.col("id") / 1.5 + 1_700_000_000).alias("at"), F.col("id").alias("reading"))
+    f.write.parquet(str(tmp_path / "f"))
+    readings.write.parquet(str(tmp_path / "r"))
+    streams = [spark.readStream.schema(df.schema).parquet(str(tmp_path / n)) for df, n in ((f, "f"), (readings, "r"))]
+    pairs = lambda df: df.select("frame_id", "reading")
+    pairs(maps.frames_with_imu(*streams, "4 seconds")).writeStream.format("memory").queryName("intervals").trigger(availableNow=True).start().awaitTermination()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(spark.table("intervals")) == rows(pairs(maps.frames_with_imu(f, readings, "4 seconds"))) != []
