@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +46,18 @@ def drop_stored(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a record batch that Spark hands to Python where the session has its default of 10,000: texts can be long.
+BATCH_ROWS = 500
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's record batches bounded in rows, unless the user has set a bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -58,17 +69,47 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered for words met again."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Odd multiplier of position hashes; bytes whose word hashes are made at once.
+BASE, HASHED = 0x9E3779B97F4A7C15 | 1, 1 << 18
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64, n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(2 * HASHED, 1 << n.bit_length())
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            x = np.full(size, b, np.uint64)
+            x[0] = 1
+            _POWERS.append(np.cumprod(x, dtype=np.uint64))
+        del _POWERS[:-2]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def hashed_words(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one text after another, and how many words each text has.
+
+    A word's hash is a difference of prefix sums of its bytes' codes, made for many words at once."""
+    data = np.frombuffer(b" ".join([b"", *batch, b""]), np.uint8)  # a blank before, between and after
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        first = start[i]
+        j = max(i + 1, int(np.searchsorted(end, first + HASHED, "right")))
+        n = int(end[j - 1] - first)
+        up, down = powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES[data[first : first + n]] * up[:n], out=sums[1:])
+        a, z = start[i:j] - first, end[i:j] - first
+        out[i:j] = mix64((sums[z] - sums[a]) * down[a] + (z - a).astype(np.uint64))
+        i = j
+    ends = np.cumsum([0] + [len(t) + 1 for t in batch])
+    return out, np.diff(np.searchsorted(start, ends))
 
 
 def texts(column) -> list[bytes]:

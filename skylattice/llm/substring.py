@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import WordHashes, gathered, mix64, stored, texts
+from skylattice.llm.common import BASE, bounded, gathered, hashed_words, mix64, powers, stored, texts
 from skylattice.llm.neardup import node_id
 
 #: Words of a window, and words of the hashes that anchor it.
@@ -36,23 +36,6 @@ WINDOW, GRAM = 20, 5
 #: Bytes of text that a task parses together.
 GATHER = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 15, 1 << n.bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for b in (_BASE, inverse):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            _POWERS.append(np.cumprod(x, dtype=np.uint64))
-        del _POWERS[:-2]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:
     """Leftmost position of the minimum of every window of so many values."""
     n = len(g) - width + 1
@@ -68,19 +51,17 @@ def sliding_argmin(g: np.ndarray, width: int) -> np.ndarray:
 class Batch:
     """The phrases of many texts, whose words stand one after another: run [start, stop) of windows, doc, anchor and key of each."""
 
-    def __init__(self, batch: list[bytes], hashes: WordHashes) -> None:
-        self.words = [t.split() for t in batch]
-        self.counts = np.array([len(w) for w in self.words], np.int64)
+    def __init__(self, batch: list[bytes]) -> None:
+        h, self.counts = hashed_words(batch)
         self.ends = np.cumsum(self.counts)
         n = self.size = int(self.ends[-1]) if len(batch) else 0
         self.start = self.stop = self.doc = np.zeros(0, np.int64)
         self.anchor = self.key = self.sums = self.down = np.zeros(0, np.uint64)
         if n < WINDOW:
             return
-        h = hashes.of([w for words in self.words for w in words])
         g = np.zeros(n - GRAM + 1, np.uint64)
         for k in range(GRAM):
-            g = g * np.uint64(_BASE) + h[k : n - GRAM + 1 + k]
+            g = g * np.uint64(BASE) + h[k : n - GRAM + 1 + k]
         g = mix64(g)
         at = sliding_argmin(g, WINDOW - GRAM + 1)
         of = np.repeat(np.arange(len(batch)), self.counts)
@@ -91,7 +72,7 @@ class Batch:
         cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (of[1:] != of[:-1])]))
         self.start, self.stop = windows[cut], windows[np.append(cut[1:], len(windows)) - 1] + 1
         self.doc, self.anchor = of[cut], g[least[cut]]
-        up, self.down = _powers(n + 1)
+        up, self.down = powers(n + 1)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)])
         length = (self.stop - self.start).astype(np.uint64)
         self.key = mix64(mix64(self.span(self.start, self.stop + WINDOW - 1)) + self.anchor + length) & ~np.uint64(1)
@@ -141,9 +122,8 @@ def phrase_rows(docs: DataFrame) -> DataFrame:
     """anchor, key and id of every phrase of every text, once a text; docs: id, text."""
 
     def run(batches):
-        hashes = WordHashes()
         for b in gathered(batches, 1, GATHER):
-            p = Batch(texts(b.column(1)), hashes)
+            p = Batch(texts(b.column(1)))
             one = p.firsts()
             yield pa.record_batch({"anchor": _signed(p.anchor[one]), "key": _signed(p.key[one]), "id": b.column(0).take(pa.array(p.doc[one]))})
 
@@ -166,9 +146,9 @@ def window_rows(parsed: DataFrame) -> DataFrame:
     columns = parsed.columns
 
     def run(batches):
-        hashes, at = WordHashes(), {c: columns.index(c) for c in ("id", "text", "firsts")}
+        at = {c: columns.index(c) for c in ("id", "text", "firsts")}
         for b in gathered(batches, at["text"], GATHER):
-            p = Batch(texts(b.column(at["text"])), hashes)
+            p = Batch(texts(b.column(at["text"])))
             phrase, _, key = p.windows(_here(p, b.column(at["firsts"]))[1])
             one = _first_seen(Batch.tagged(key, p.doc[phrase]))
             phrase = phrase[one]
@@ -196,7 +176,7 @@ def removed_words(p: Batch, firsts, first_windows) -> np.ndarray:
 
 def _parsed(docs: DataFrame, extra: list) -> DataFrame:
     """Every row with what its text has first: its phrases (firsts; the lowest bit marks those to be looked into) and their windows."""
-    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), "text", *extra)
+    rows = bounded(docs).select(node_id(F.col("doc_id"), F.col("text")).alias("id"), "text", *extra)
     classes = stored(phrase_rows(rows).groupBy("anchor", "key").agg(F.min("id").alias("id")), "substring-phrases")
     shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(1).cast("long").alias("edge"))
     value = F.col("key") + F.coalesce("edge", F.lit(0).cast("long"))
@@ -207,15 +187,15 @@ def _parsed(docs: DataFrame, extra: list) -> DataFrame:
 
 
 def _cleaned(b):
-    """(texts, their words, which of them go) of a batch of id, text, firsts, first_windows."""
-    hashes = WordHashes()
-    p = Batch(texts(b.column(1)), hashes)
+    """The phrases of a batch of id, text, firsts, first_windows, and which words of each text go."""
+    p = Batch(texts(b.column(1)))
     gone = removed_words(p, b.column(2), b.column(3))
     return p, np.split(gone, p.ends[:-1]) if len(p.ends) else []
 
 
-def _kept(words: list[bytes], gone: np.ndarray) -> list[bytes]:
-    return list(compress(words, (~gone).tolist())) if gone.any() else words
+def _kept(text: bytes, gone: np.ndarray) -> bytes:
+    words = text.split()
+    return b" ".join(compress(words, (~gone).tolist()) if gone.any() else words)
 
 
 def spans(gone: np.ndarray) -> list[dict]:
@@ -234,7 +214,7 @@ def removed_substrings(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in gathered(batches, 1, GATHER):
             p, gone = _cleaned(b)
-            sha = [hashlib.sha256(b" ".join(_kept(w, g))).hexdigest() for w, g in zip(p.words, gone, strict=True)]
+            sha = [hashlib.sha256(_kept(t, g)).hexdigest() for t, g in zip(texts(b.column(1)), gone, strict=True)]
             cut = [spans(g) if g.any() else [] for g in gone]
             yield pa.record_batch({"doc_id": b.column(4), "n_words": pa.array(p.counts), "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(cut, kind)})
 
@@ -249,8 +229,8 @@ def without_substrings(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in gathered(batches, 1, GATHER):
-            p, gone = _cleaned(b)
-            new = [b" ".join(_kept(w, g)).decode() if g.any() else t.decode() for t, w, g in zip(texts(b.column(1)), p.words, gone, strict=True)]
+            _, gone = _cleaned(b)
+            new = [(_kept(t, g) if g.any() else t).decode() for t, g in zip(texts(b.column(1)), gone, strict=True)]
             keep = [not len(g) or not g.all() for g in gone]
             cols = {c: b.column(4 + i) for i, c in enumerate(names)}
             cols["text"] = pa.array(new, pa.string())
