@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skylattice.llm import fixity, lines, queries
-from skylattice.llm.common import table
+from skylattice.llm.common import stored, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,9 +41,9 @@ def test_navigation_lines_go(spark, docs_of):
 
 def test_audit_finds_what_differs(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" if i % 5 else None) for i in range(1500)] + [(None, None, "lost"), (7, "http://x/7", "<p>7</p>")], "page_id long, url string, html string")
-    ours = fixity.warc_records(pages)
+    ours = stored(fixity.warc_records(pages), "warc")
     assert ours.count() == 1502
-    tree = fixity.merkle_tree(ours)
+    tree = stored(fixity.merkle_tree(ours), "merkle")
     assert fixity.audit(tree, fixity.merkle_tree(fixity.warc_records(pages.repartition(7)))).count() == 0
     changed = fixity.warc_records(pages.withColumn("html", F.when(F.col("page_id") == 1031, "<p>9999</p>").otherwise(F.col("html"))))
     bad = fixity.audit(tree, fixity.merkle_tree(changed)).join(ours, ["file_id", "record_no"]).collect()
