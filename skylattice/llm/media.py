@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import gathered, texts
+from skylattice.llm.common import bounded, gathered, texts
 
 #: Coefficients of a block; samples along the side of a block.
 UNIT, SIDE = 64, 8
@@ -544,7 +544,7 @@ def jpeg_features(images: DataFrame, column: str = "image", key: str = "image_id
                 wrong.append(image if bad else None)
             yield pa.record_batch({key: b.column(0), "width": pa.array(w, pa.int32()), "height": pa.array(h, pa.int32()), "feature": pa.array(what, pa.string()), "error": pa.array(wrong, pa.string())})
 
-    return images.select(key, column).mapInArrow(run, f"`{key}` {kind}, width int, height int, feature string, error string")
+    return bounded(images).select(key, column).mapInArrow(run, f"`{key}` {kind}, width int, height int, feature string, error string")
 
 
 def _stored(docs: DataFrame, with_media: bool) -> DataFrame:
@@ -567,7 +567,7 @@ def _stored(docs: DataFrame, with_media: bool) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema + ", media binary" * with_media)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema + ", media binary" * with_media)
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:

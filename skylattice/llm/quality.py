@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import MAX_CACHED_WORDS, mix64, slices, texts
+from skylattice.llm.common import MAX_CACHED_WORDS, bounded, mix64, slices, texts
 
 #: Labelled documents that training reads at most.
 MAX_TRAIN = 4000
@@ -147,7 +147,7 @@ def scored(docs: DataFrame, make_scorer, model) -> DataFrame:
         for b in slices(batches):
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array([score(t) for t in texts(b.column(1))], pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def with_folds(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
@@ -180,4 +180,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
             yield b.filter(pa.array([score(t) >= threshold for t in texts(b.column(at))], pa.bool_()))
 
     types = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, types).toDF(*names)
+    return bounded(docs).toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, types).toDF(*names)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import MAX_CACHED_WORDS, slices, texts
+from skylattice.llm.common import MAX_CACHED_WORDS, bounded, slices, texts
 from skylattice.llm.quality import labelled_sample, with_folds
 
 #: Labelled documents that training reads at most, and clean ones among them whose chains are fitted.
@@ -212,7 +212,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int =
             runs = [spans(p) for p in found] or [[]] * b.num_rows
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(scores, pa.float64()), "spans": pa.array(runs, kind)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<first_word:long,last_word:long,mass:double>>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<first_word:long,last_word:long,mass:double>>")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
