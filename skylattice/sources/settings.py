@@ -48,7 +48,7 @@ class PoseSettings(StageSettings):
     th_error_georef: float = 0.1
 
 
-#: Settings classes by the name in a file's type key.
+#: Settings classes by the name in a file's type key (fixed values).
 STAGES = {"surface_generation": SurfaceSettings, "ortho_rectification": OrthoSettings, "tileing": TileSettings, "pose_estimation": PoseSettings, "densification": StageSettings, "mosaicing": StageSettings}
 
 
