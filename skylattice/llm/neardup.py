@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import WordHashes, mix64, slices, stored, texts
+from skylattice.llm.common import BASE, bounded, gathered, hashed_words, mix64, slices, stored, texts
 
 #: Bands of minima, and minima a band.
 BANDS, ROWS = 26, 5
@@ -40,6 +40,8 @@ BANDS, ROWS = 26, 5
 MARGIN = 4.3
 #: Members of a bucket or family that are compared at once, and their shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Bytes of text that a task cuts into shingles together.
+GATHER = 1 << 20
 #: Surrogate ids of rows without doc_id start here.
 NO_ID = 1 << 62
 
@@ -48,16 +50,23 @@ _MULT = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingles(text: bytes, hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text; A-Z are lower-cased."""
-    h = hashes.of(text.lower().split())
-    n = min(len(h), width)
-    if n == 0:
-        return h
-    g = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.unique(g)
+def shingles(batch: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; A-Z are lower-cased."""
+    h, counts = hashed_words([t.lower() for t in batch])
+    g = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for k in range(width):
+        g = mix64(g * np.uint64(BASE) + h[k : len(h) - width + 1 + k]) if len(g) else g
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            out.append(np.unique(g[at : at + n - width + 1]))
+        else:
+            short = np.full(min(n, 1), n, np.uint64)
+            for k in range(n):
+                short = mix64(short * np.uint64(BASE) + h[at + k])
+            out.append(short)
+        at += n
+    return out
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -80,11 +89,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """id, no_id, n_shingles, fp1, fp2 (of the set) and sig of every row."""
 
     def run(batches):
-        hashes = WordHashes()
-        for b in slices(batches):
+        for b in gathered(batches, 2, GATHER):
             n, f1, f2, sigs = [], [], [], []
-            for t in texts(b.column(2)):
-                s = shingles(t, hashes, width)
+            for s in shingles(texts(b.column(2)), width):
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 f1.append(int.from_bytes(d[:8], "little", signed=True))
@@ -92,7 +99,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sigs.append(signature(s) if len(s) else None)
             yield pa.record_batch({"id": b.column(0), "no_id": b.column(1), "n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(f1, pa.int64()), "fp2": pa.array(f2, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
-    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text"))
+    rows = bounded(docs).select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text"))
     return rows.mapInArrow(run, "id long, no_id boolean, n_shingles long, fp1 long, fp2 long, sig binary")
 
 
@@ -122,13 +129,11 @@ def confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Da
     """The pairs (a, b) whose full shingle sets have a similarity of percent at least; held: id and text."""
 
     def run(batches):
-        hashes, last, set_b = WordHashes(), None, None
-        for batch in slices(batches, 500):
-            keep = []
-            for b, ta, tb in zip(batch.column(1).to_pylist(), texts(batch.column(2)), texts(batch.column(3)), strict=True):
+        for batch in gathered(batches, 2, GATHER):
+            keep, last = [], None
+            for b, set_a, tb in zip(batch.column(1).to_pylist(), shingles(texts(batch.column(2)), width), texts(batch.column(3)), strict=True):
                 if last != b:
-                    last, set_b = b, shingles(tb, hashes, width)
-                set_a = shingles(ta, hashes, width)
+                    last, (set_b,) = b, shingles([tb], width)
                 both = len(np.intersect1d(set_a, set_b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -261,9 +266,8 @@ def _late_links(found: DataFrame, members: DataFrame, held: DataFrame, width: in
     involved = stored(every.groupBy(*by).applyInPandas(lambda key, pdf: _agreeing_members(key, pdf, least), schema), "neardup-involved")
 
     def run(batches):
-        hashes = WordHashes()
-        for b in slices(batches):
-            yield pa.record_batch([b.column(0), pa.array([shingles(t, hashes, width).tobytes() for t in texts(b.column(1))], pa.binary())], ["id", "shingles"])
+        for b in gathered(batches, 1, GATHER):
+            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingles(texts(b.column(1)), width)], pa.binary())], ["id", "shingles"])
 
     sets = stored(held.join(involved.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
     return involved.join(sets, "id").groupBy(*by).applyInPandas(lambda key, pdf: _linked_members(key, pdf, least, percent), "a long, b long")
