@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import WordHashes, mix64, slices, stored, texts
+from skylattice.llm.common import BASE, bounded, gathered, hashed_words, mix64, slices, stored, texts
 
 #: A word is a run of digits, letters and non-ASCII characters; texts are lower-cased in A-Z first.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -54,12 +54,19 @@ DRIFT = 4
 VOTES, VERIFIED = 0.4, 0.9
 #: k-grams that a row carries to the join.
 CHUNK = 4096
+#: Bytes of text that a task cuts into k-grams together.
+GATHER = 1 << 20
 #: Candidate texts up to which they are broadcast to the texts; more are joined by a shuffle.
 MAX_BROADCAST = 50_000
 
 
+def folded(text: bytes) -> bytes:
+    """The text in lower case, with blanks for what isn't part of a word."""
+    return text.translate(_FOLD)
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+    return folded(text).split()
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -68,7 +75,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return h[:0]
     g = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
-        g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
+        g = mix64(g * np.uint64(BASE) + h[i : len(h) - k + 1 + i])
     return g
 
 
@@ -82,8 +89,8 @@ class Templates:
 
     def rows(self) -> list[tuple[int, int, int]]:
         """(k-gram hash, template, place) of every k-gram of every template."""
-        hashes = WordHashes()
-        return [(int(g), t, i) for t, (_, w, _) in enumerate(self.all) for i, g in enumerate(gram_hashes(hashes.of(w), self.k[t]).view(np.int64).tolist())]
+        hashes = [hashed_words([b" ".join(w)])[0] for _, w, _ in self.all]
+        return [(g, t, i) for t, h in enumerate(hashes) for i, g in enumerate(gram_hashes(h, self.k[t]).view(np.int64).tolist())]
 
     def grams(self, t: int) -> int:
         return len(self.all[t][1]) - self.k[t] + 1
@@ -98,11 +105,10 @@ def gram_rows(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """key_a, key_b, place and gram of every rolling k-gram of every text."""
 
     def run(batches):
-        hashes = WordHashes()
-        for b in slices(batches, 250):
+        for b in gathered(batches, 2, GATHER):
             a, z, at, grams = [], [], [], []
-            for x, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)), strict=True):
-                h = hashes.of(words_of(t))
+            h, counts = hashed_words([folded(t) for t in texts(b.column(2))])
+            for x, y, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), np.split(h, np.cumsum(counts)[:-1]), strict=True):
                 for k in lengths:
                     g = gram_hashes(h, k)
                     for i in range(0, len(g), CHUNK):
@@ -114,7 +120,7 @@ def gram_rows(docs: DataFrame, lengths: list[int]) -> DataFrame:
             flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
             yield pa.record_batch({"key_a": pa.array(a, pa.int64()), "key_b": pa.array(z, pa.int64()), "at": pa.array(at, pa.int64()), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
-    chunks = docs.select(*_keys(), "text").mapInArrow(run, "key_a long, key_b long, at long, grams array<long>")
+    chunks = bounded(docs).select(*_keys(), "text").mapInArrow(run, "key_a long, key_b long, at long, grams array<long>")
     return chunks.select("key_a", "key_b", "at", F.posexplode("grams").alias("nth", "gram")).select("key_a", "key_b", (F.col("at") + F.col("nth")).alias("place"), "gram")
 
 
