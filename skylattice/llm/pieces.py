@@ -5,10 +5,10 @@ No piece has a space mark after another character, so a text is cut before every
 (and around line feeds, which no piece holds) without changing its encoding. The distinct cuts
 of a batch that a task has not met yet are concatenated and indexed by a suffix array; every
 piece is looked up in it by binary search, which gives the range of its occurrences. These edges
-are sorted by position and relaxed from left to right: of the pieces that end at a place exactly
-one can follow the piece that ends where it begins, namely the one with which it would not merge
-again, and that one is the last piece of the encoding up to there. Characters without a piece
-become bytes. Decoding joins pieces and bytes and turns marks into spaces.
+are sorted by position (into a bucket for each place and length) and relaxed from left to right, in
+all cuts together: of the pieces that end at a place exactly one can follow the piece that ends
+where it begins, namely the one with which it would not merge again, and that one is the last piece
+of the encoding up to there. Characters without a piece become bytes. Decoding joins pieces and bytes and turns marks into spaces.
 
 Nulls and other cases: a null or empty text has no ids and decodes to an empty text; texts that
 hold the space mark itself come back with spaces and say so in round_trip; null or repeated
@@ -21,13 +21,15 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import MAX_CACHED_WORDS, slices
+from skylattice.llm.common import bounded, gathered, slices
 
 #: The model file; a parameter, as tokenizers are never part of this repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,8 +38,16 @@ MARK = "▁"
 CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Pair checks that a task remembers.
-MAX_PAIRS = 500_000
+#: Pair checks that a task remembers, as a power of two.
+PAIR_BITS = 20
+#: Longer cuts are relaxed one by one.
+LONG_CUT = 400
+#: Bytes of text that a task encodes together.
+GATHER = 1 << 20
+#: Characters of new cuts that are indexed at once, about.
+LEARNED = 1 << 18
+#: Cuts that a task remembers in a generation; it keeps two, and cuts met again move to the newer.
+MAX_CUTS = 200_000
 
 
 def _fields(buf: bytes):
@@ -87,7 +97,10 @@ class Vocabulary:
         self.rank = {p: r for r, p in enumerate(self.pieces)}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(every) if kind == BYTE}
         self.unknown = next(i for i, (_, _, kind) in enumerate(every) if kind == UNKNOWN)
-        self.plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in every]
+        plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARK, " ").encode() for p, _, kind in every]
+        self.plain = np.frombuffer(b"".join(plain), np.uint8)
+        self.plain_size = np.array([len(p) for p in plain])
+        self.plain_at = np.cumsum(self.plain_size) - self.plain_size
         self.merges, self.split = {}, [(r, r) for r in range(len(self.pieces))]
         for r, p in enumerate(self.pieces):
             for k in range(1, len(p)):
@@ -128,10 +141,16 @@ class Vocabulary:
                 limit, b = b + 1, right
 
 
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Every three characters in one integer; blanks of 0 beyond the end."""
+    c = np.concatenate([codes, np.zeros(2, np.int64)])
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of a text's suffixes in the order of their first depth characters (prefix doubling)."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-    step = 1
+    """Positions of a text's suffixes in the order of their first depth characters (prefix doubling from three on)."""
+    rank = np.unique(packed(codes), return_inverse=True)[1].astype(np.int64) + 1
+    step = 3
     while step < depth:
         nxt = np.zeros_like(rank)
         nxt[:-step] = rank[step:]
@@ -152,21 +171,30 @@ class Encoder:
         self.codes = np.full((len(usable), self.depth), -1, np.int64)
         for k, r in enumerate(usable):
             self.codes[k, : self.sizes[k]] = [ord(c) for c in v.pieces[r]]
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
+        head = np.maximum(self.codes[:, :3], 0)
+        self.head = head[:, 0] << 42 | head[:, 1] << 21 | head[:, 2]
+        self.head_end = self.head + np.array([0, 1 << 42, 1 << 21, 1])[np.minimum(self.sizes, 3)]
+        self.known: list[dict[str, bytes]] = [{}, {}]  # ids of cuts as they stand, and of words after a mark
+        self.before: list[dict[str, bytes]] = [{}, {}]  # the older generation of each
+        self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_ok = np.zeros(1 << PAIR_BITS, bool)
 
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the suffixes that begin with each piece begin and end in the suffix array."""
-        padded = np.concatenate([codes, np.zeros(self.depth, np.int64)])
+        heads = packed(codes)[order]
+        first, last = np.searchsorted(heads, self.head), np.searchsorted(heads, self.head_end)
+        more = np.flatnonzero((self.sizes > 3) & (first < last))
+        rest = np.concatenate([codes, np.zeros(self.depth, np.int64)])
+        want_all, beyond = self.codes[more, 3:], np.arange(3, self.depth)
         out = []
         for upper in (False, True):
-            lo, hi = np.zeros(len(self.codes), np.int64), np.full(len(self.codes), len(order), np.int64)
+            lo, hi = first[more], last[more]
             while True:
                 live = np.flatnonzero(lo < hi)
                 if not len(live):
                     break
                 mid = (lo[live] + hi[live]) >> 1
-                have, want = padded[order[mid][:, None] + np.arange(self.depth)], self.codes[live]
+                have, want = rest[order[mid][:, None] + beyond], want_all[live]
                 differs = (have != want) & (want >= 0)
                 at = differs.argmax(axis=1)
                 row = np.arange(len(live))
@@ -174,90 +202,153 @@ class Encoder:
                 lo[live] = np.where(less, mid + 1, lo[live])
                 hi[live] = np.where(less, hi[live], mid)
             out.append(lo)
-        return out[0], out[1]
-
-    def learn(self, cuts: list[str]) -> None:
-        """Encode cuts and remember them."""
-        joined = "￿".join(cuts)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first[more], last[more] = out
+        return first, last
+
+    def follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each piece a may stand before its b."""
+        key = a << 20 | b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        ok = self.pair_ok[slot]
+        miss = np.flatnonzero(self.pair_keys[slot] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            judged = np.array([self.v.follows(k >> 20, k & 0xFFFFF) for k in new.tolist()])
+            ok[miss] = judged[back]
+            self.pair_keys[slot[miss]], self.pair_ok[slot[miss]] = key[miss], ok[miss]
+        return ok
+
+    def learn(self, cuts: list[str]) -> list[bytes]:
+        """The ids of cuts."""
+        codes = np.frombuffer("\uffff".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         order = suffix_array(codes, self.depth)
         lo, hi = self.ranges(codes, order)
         count = hi - lo
         piece = np.repeat(np.arange(len(count)), count)
         start = order[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + lo[piece]]
-        end = start + self.sizes[piece]
-        by = np.lexsort((start, end))
-        end = end[by]
-        start, rank = start[by].tolist(), self.ranks[piece[by]].tolist()
-        first = np.searchsorted(end, np.arange(len(codes) + 2)).tolist()
-        pairs, follows, ids = self.pairs, self.v.follows, self.v.ids
-        if len(pairs) > MAX_PAIRS:
-            pairs.clear()
-        base = 0
-        for cut in cuts:
-            n = len(cut)
-            last, begin = [-1] * (n + 1), [0] * (n + 1)
-            for e in range(1, n + 1):
-                at = base + e
-                for k in range(first[at], first[at + 1]):
-                    s, r = start[k] - base, rank[k]
-                    before = last[s]
-                    if before >= 0:
-                        pair = before << 20 | r
-                        ok = pairs.get(pair)
-                        if ok is None:
-                            ok = pairs[pair] = follows(before, r)
-                        if not ok:
-                            continue
-                    last[e], begin[e] = r, s
-                    break
-                else:
-                    begin[e] = e - 1  # no piece for this character
-            out, e = [], n
-            while e > 0:
+        edges = np.full((len(codes) + 1, self.depth + 1), -1, np.int32)  # by end and length
+        edges[start + self.sizes[piece], self.sizes[piece]] = self.ranks[piece]
+        size = np.array([len(c) for c in cuts])
+        base = np.cumsum(size + 1) - size - 1
+        last, begin = np.full(len(codes) + 1, -1, np.int64), np.arange(-1, len(codes))
+        self._relax(edges, base[size <= LONG_CUT], size[size <= LONG_CUT], last, begin)
+        for k in np.flatnonzero(size > LONG_CUT):
+            self._relax_long(edges, int(base[k]), int(size[k]), last, begin)
+        last, begin, ids, out = last.tolist(), begin.tolist(), self.v.ids, []
+        for cut, at, n in zip(cuts, base.tolist(), size.tolist(), strict=True):
+            found, e = [], at + n
+            while e > at:
                 if last[e] >= 0:
-                    out.append(ids[last[e]])
+                    found.append(ids[last[e]])
                 else:
-                    out += [self.v.bytes.get(c, self.v.unknown) for c in reversed(cut[e - 1].encode("utf-8", "replace"))]
+                    found += [self.v.bytes.get(c, self.v.unknown) for c in reversed(cut[e - 1 - at].encode("utf-8", "replace"))]
                 e = begin[e]
-            self.known[cut] = out[::-1]
-            base += n + 1
-
-    def encode_batch(self, batch: list[str]) -> list[list[int]]:
-        cuts = [CUT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in batch]
-        if len(self.known) > MAX_CACHED_WORDS:
-            self.known.clear()
-        new = list(dict.fromkeys(c for cs in cuts for c in cs if c not in self.known))
-        if new:
-            self.learn(new)
-        out, known = [], self.known
-        for cs in cuts:
-            ids: list[int] = []
-            for c in cs:
-                ids += known[c]
-            out.append(ids)
+            out.append(array("i", found[::-1]).tobytes())
         return out
 
+    def _relax(self, edges, base, size, last, begin) -> None:
+        """Find the last piece up to every place of every cut: place by place, the longest piece first, all cuts together."""
+        for e in range(1, int(size.max(initial=0)) + 1):
+            at = base[size >= e] + e
+            left = np.arange(len(at))
+            for n in range(min(e, self.depth), 0, -1):
+                rank = edges[at[left], n]
+                there = np.flatnonzero(rank >= 0)
+                if not len(there):
+                    continue
+                rank, place = rank[there].astype(np.int64), at[left[there]]
+                before = last[place - n]
+                ok = before < 0
+                check = np.flatnonzero(~ok)
+                if len(check):
+                    ok[check] = self.follow(before[check], rank[check])
+                last[place[ok]], begin[place[ok]] = rank[ok], place[ok] - n
+                left = np.delete(left, there[ok])
+                if not len(left):
+                    break
 
-def decode(ids, plain: list[bytes]) -> bytes:
-    """The UTF-8 text of ids; plain: the bytes of every id."""
-    text = b"".join([plain[i] for i in ids]).replace(MARK.encode(), b" ")
-    return text[1:] if text.startswith(b" ") else text
-
+    def _relax_long(self, edges, base: int, size: int, last, begin) -> None:
+        """The same for one cut."""
+        pairs: dict[tuple[int, int], bool] = {}
+        for at in range(base + 1, base + size + 1):
+            row = edges[at].tolist()
+            for n in range(min(at - base, self.depth), 0, -1):
+                if row[n] >= 0:
+                    pair = int(last[at - n]), row[n]
+                    ok = pair[0] < 0 or pairs.get(pair)
+                    if ok is None:
+                        ok = pairs[pair] = self.v.follows(*pair)
+                    if ok:
+                        last[at], begin[at] = row[n], at - n
+                        break
+
+    @staticmethod
+    def cuts(text: str) -> list[tuple[int, list[str]]]:
+        """Runs of (0, cuts as they stand) and (1, words that each follow a mark)."""
+        if not text:
+            return []
+        if MARK in text or "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+            return [(0, CUT.findall(MARK + text.replace(" ", MARK)))]
+        head, *lines = text.split("\n")
+        out = [(1, head.split(" ")) if head else (0, [MARK])]
+        for line in lines:
+            first, _, rest = line.partition(" ")
+            out.append((0, ["\n", first] if first else ["\n"]))
+            if rest:
+                out.append((1, rest.split(" ")))
+        return out
 
-_ENCODERS: dict[int, Encoder] = {}
+    def encode_batch(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit integers."""
+        texts = [self.cuts(t) for t in batch]
+        for which in (0, 1):
+            if len(self.known[which]) > MAX_CUTS:
+                self.before[which], self.known[which] = self.known[which], {}
+            known, before, new = self.known[which], self.before[which], []
+            for c in dict.fromkeys(chain.from_iterable(cs for t in texts for w, cs in t if w == which)):
+                if c not in known:
+                    if c in before:
+                        known[c] = before[c]
+                    else:
+                        new.append(c)
+            at = size = 0
+            for k, c in enumerate(new):
+                size += len(c) + 2
+                if size >= LEARNED or k + 1 == len(new):
+                    part = new[at : k + 1]
+                    known.update(zip(part, self.learn([MARK + c for c in part] if which else part), strict=True))
+                    at, size = k + 1, 0
+        plain, marked = (k.__getitem__ for k in self.known)
+        return [b"".join([b"".join(map(marked if w else plain, cs)) for w, cs in t]) for t in texts]
+
+
+def decode_batch(batch: list[bytes], v: Vocabulary) -> list[bytes]:
+    """The UTF-8 texts of ids."""
+    if not batch:
+        return []
+    ids = np.frombuffer(b"".join(batch), "<i4")
+    size = v.plain_size[ids]
+    ends = np.cumsum(size)
+    flat = v.plain[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(v.plain_at[ids] - ends + size, size)].tobytes()
+    ends = np.concatenate([[0], ends])[np.cumsum([0] + [len(b) // 4 for b in batch])].tolist()
+    return [flat[a + (flat[a : a + 1] == b" ") : z] if z > a else b"" for a, z in zip(ends[:-1], ends[1:], strict=True)]
+
+
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
 def _encoder(held) -> Encoder:
-    """One encoder a worker and vocabulary."""
-    if held.value[0] not in _ENCODERS:
-        _ENCODERS[held.value[0]] = Encoder(held.value[1])
-    return _ENCODERS[held.value[0]]
+    """The encoder of a model file's bytes; a worker keeps the one that it used last."""
+    if held.value not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[held.value] = Encoder(Vocabulary(held.value))
+    return _ENCODERS[held.value]
 
 
 def vocabulary(docs: DataFrame, model: str):
-    data = open(model, "rb").read()
-    return docs.sparkSession.sparkContext.broadcast((hash(data), Vocabulary(data)))
+    """The model file, broadcast: half a megabyte from which each worker builds its encoder."""
+    with open(model, "rb") as f:
+        return bounded(docs).sparkSession.sparkContext.broadcast(f.read())
 
 
 def encoded(docs: DataFrame, model: str = MODEL, checked: bool = False) -> DataFrame:
@@ -267,16 +358,15 @@ def encoded(docs: DataFrame, model: str = MODEL, checked: bool = False) -> DataF
     more = ["n_pieces", "round_trip"] if checked else []
 
     def run(batches):
-        for b in slices(batches, 1000):
+        for b in gathered(batches, 0, GATHER):
             batch = [t or "" for t in b.column(0).to_pylist()]
             ids = _encoder(held).encode_batch(batch)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             extra = []
             if checked:
-                plain = held.value[1].plain
-                same = [decode(x, plain) == t.encode() for x, t in zip(ids, batch, strict=True)]
-                extra = [pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
+                same = [x == t.encode() for x, t in zip(decode_batch(ids, _encoder(held).v), batch, strict=True)]
+                extra = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())]
             yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *extra, *b.columns[1:]], ["ids", *[f"x{i}" for i in range(len(extra))], *[f"c{i}" for i in range(len(rest))]])
 
     types = ", ".join(["ids array<int>", *(["x0 long", "x1 boolean"] if checked else []), *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
@@ -290,8 +380,8 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         for b in slices(batches, 1000):
-            plain = held.value[1].plain
-            new = [decode(x or [], plain).decode("utf-8", "replace") for x in b.column(0).to_pylist()]
+            ids = [array("i", x or []).tobytes() for x in b.column(0).to_pylist()]
+            new = [x.decode("utf-8", "replace") for x in decode_batch(ids, _encoder(held).v)]
             yield pa.record_batch([pa.array(new, pa.string()), *b.columns[1:]], ["text", *[f"c{i}" for i in range(len(rest))]])
 
     types = ", ".join(["text string", *[f"c{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
@@ -303,15 +393,16 @@ def encoding_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     held = vocabulary(docs, model)
 
     def run(batches):
-        for b in slices(batches, 1000):
+        for b in gathered(batches, 1, GATHER):
             batch = [t or "" for t in b.column(1).to_pylist()]
             size, n, sha, same = [], [], [], []
-            for t, ids in zip(batch, _encoder(held).encode_batch(batch), strict=True):
+            coded = _encoder(held).encode_batch(batch)
+            for t, ids, back in zip(batch, coded, decode_batch(coded, _encoder(held).v), strict=True):
                 raw = t.encode()
                 size.append(len(raw))
-                n.append(len(ids))
-                sha.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
-                same.append(decode(ids, held.value[1].plain) == raw)
+                n.append(len(ids) // 4)
+                sha.append(hashlib.sha256(ids).hexdigest())
+                same.append(back == raw)
             yield pa.record_batch({"doc_id": b.column(0), "n_bytes": pa.array(size, pa.int64()), "n_pieces": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, round_trip boolean")
