@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skylattice.llm.common import stored
+
 #: Page ids to a WARC file.
 FILE_IDS = 512
 #: Children of a tree node.
@@ -79,6 +81,7 @@ def audit(left: DataFrame, right: DataFrame, levels: int = LEVELS) -> DataFrame:
             up = F.lit(0).cast("long") if k + 1 == levels else F.floor(F.col("node") / FANOUT).cast("long")
             parents = bad.select("file_id", F.col("node").alias("parent"))
             a, b = (x.withColumn("parent", up).join(parents, ["file_id", "parent"], "left_semi").drop("parent") for x in (a, b))
-        bad = a.join(b, ["file_id", "node"], "full_outer").where(~F.col("l_hash").eqNullSafe(F.col("r_hash")))
+        differ = a.join(b, ["file_id", "node"], "full_outer").where(~F.col("l_hash").eqNullSafe(F.col("r_hash")))
+        bad = stored(differ, "fixity-differ")  # read for both replicas at the next level
     fault = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "extra").otherwise("corrupt")
     return bad.select("file_id", F.col("node").alias("record_no"), fault.alias("fault"))
