@@ -137,19 +137,21 @@ def ground_sampling_distance(points: DataFrame, every: int, radius: float = 1.0)
     return near.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("d2")).alias("gsd"))
 
 
-def smooth(cells: DataFrame, layer: str, size: int = 5, kind: str = "median", sigma_value: float = 25.0, sigma_space: float = 25.0) -> DataFrame:
+def smooth(cells: DataFrame, layer: str, size: int = 5, kind: str = "median", sigma_value: float = 25.0, sigma_space: float = 25.0, by: tuple[str, ...] = ()) -> DataFrame:
     """A layer filtered over size x size neighbours (those that are there): median or bilateral.
 
-    Each cell sends its value to the cells around it, so the stencil is one aggregation."""
+    Each cell sends its value to the cells around it, so the stencil is one aggregation. A table of several lattices
+    names in by the columns that tell them apart; cells of different ones are no neighbours."""
     half = size // 2
     around = F.sequence(F.lit(-half), F.lit(half))
-    there = cells.where(F.col(layer).isNotNull()).select("gx", "gy", layer)
-    sent = there.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select((F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "dx", "dy", F.col(layer).alias("v"))
+    key = [*by, "gx", "gy"]
+    there = cells.where(F.col(layer).isNotNull()).select(*key, layer)
+    sent = there.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select(*by, (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "dx", "dy", F.col(layer).alias("v"))
     if kind == "median":
-        got = sent.groupBy("gx", "gy").agg(F.percentile("v", 0.5).alias("smooth"))
+        got = sent.groupBy(*key).agg(F.percentile("v", 0.5).alias("smooth"))
     else:
         own = there.withColumnRenamed(layer, "own")
         diff = F.col("v") - F.col("own")
         w = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2 * sigma_space**2) - diff * diff / (2 * sigma_value**2))
-        got = sent.join(own, ["gx", "gy"]).groupBy("gx", "gy").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("smooth"))
-    return cells.join(got, ["gx", "gy"], "left").withColumn(layer, F.when(F.col(layer).isNotNull(), F.col("smooth"))).drop("smooth")
+        got = sent.join(own, key).groupBy(*key).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("smooth"))
+    return cells.join(got, key, "left").withColumn(layer, F.when(F.col(layer).isNotNull(), F.col("smooth"))).drop("smooth")

@@ -128,6 +128,24 @@ def smooth_bilateral(spark, sf_dir):
     return spatial.smooth(cells, "v", kind="bilateral").withColumn("v", F.round("v", 4))
 
 
+def _depth_cells(spark, sf_dir):
+    return depth_maps(spark, sf_dir).where("depth is not null").select("frame_id", F.col("c").alias("gx"), F.col("r").alias("gy"), F.col("depth").alias("v"))
+
+
+@query("smooth_median_frames", f"""with {DEPTH}, a as (select frame_id, c as gx, r as gy, depth as v from depth where depth is not null), d as (select unnest(range(-2, 3)) as d),
+    s as (select frame_id, gx + i.d as gx, gy + j.d as gy, v from a, d i, d j) select a.frame_id, a.gx, a.gy, median(s.v) as v from a join s using (frame_id, gx, gy) group by a.frame_id, a.gx, a.gy""")
+def smooth_median_frames(spark, sf_dir):
+    return spatial.smooth(_depth_cells(spark, sf_dir), "v", by=("frame_id",))
+
+
+@query("smooth_bilateral_frames", f"""with {DEPTH}, a as (select frame_id, c as gx, r as gy, depth as v from depth where depth is not null), d as (select unnest(range(-2, 3)) as d),
+    s as (select frame_id, gx + i.d as gx, gy + j.d as gy, i.d as dx, j.d as dy, v from a, d i, d j),
+    w as (select a.frame_id, a.gx, a.gy, s.v, exp(-(dx * dx + dy * dy) / 1250e0 - (s.v - a.v) * (s.v - a.v) / 1250e0) as w from a join s using (frame_id, gx, gy))
+    select frame_id, gx, gy, round(sum(w * v) / sum(w), 4) as v from w group by frame_id, gx, gy""")
+def smooth_bilateral_frames(spark, sf_dir):
+    return spatial.smooth(_depth_cells(spark, sf_dir), "v", kind="bilateral", by=("frame_id",)).withColumn("v", F.round("v", 4))
+
+
 @query("depth_stats", f"""with {DEPTH}, a as (select frame_id, depth, coalesce(depth, -1) as d from depth),
     k as (select frame_id, d, row_number() over (partition by frame_id order by d) - 1 as rn, count(*) over (partition by frame_id) as n from a)
     select frame_id, (select count(*) from a where a.frame_id = k.frame_id) as n, (select min(depth) from a where a.frame_id = k.frame_id) as min_depth,

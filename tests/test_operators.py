@@ -191,6 +191,23 @@ def test_mesh_and_smoothing(spark):
     assert {round(r.v, 9) for r in spatial.smooth(cells, "v", kind="bilateral").collect()} == {2.0}
 
 
+def test_smoothing_keeps_frames_apart(spark):
+    import math
+    import statistics
+
+    rng = random.Random(8)
+    rows = [(f, x, y, float(rng.randrange(100) + 1000 * f)) for f in range(3) for x in range(6) for y in range(5) if rng.random() < 0.8]
+    cells = spark.createDataFrame(rows, "frame_id long, gx long, gy long, v double")
+    for kind in ("median", "bilateral"):
+        want = {}
+        for f, x, y, v in rows:
+            near = [(a - x, b - y, u) for g, a, b, u in rows if g == f and abs(a - x) <= 2 and abs(b - y) <= 2]
+            w = [math.exp(-(i * i + j * j) / 1250 - (u - v) ** 2 / 1250) for i, j, u in near]
+            want[f, x, y] = statistics.median(u for _, _, u in near) if kind == "median" else sum(k * u for k, (_, _, u) in zip(w, near, strict=True)) / sum(w)
+        got = {(r.frame_id, r.gx, r.gy): r.v for r in spatial.smooth(cells, "v", kind=kind, by=("frame_id",)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_warp_keeps_values(spark):
     cells = spark.range(400).select((60400 + F.col("id") % 20).alias("gx"), (579200 + F.floor(F.col("id") / 20)).alias("gy"), (F.col("id") * 1.0).alias("elevation"))
     got = tiles.warp_to_mercator(cells, 10.0, 32, "elevation", 10.0).collect()
