@@ -26,6 +26,12 @@ def mesh_faces(spark, sf_dir):
     return export.mesh(_mosaic(spark, sf_dir).where("gx < 40")).select("gx", "gy", "half", F.col("a.gx").alias("ax"), F.col("a.gy").alias("ay"))
 
 
+@query("mesh_faces_all", f"""with {OBS}, {MOSAIC}, v as (select gx, gy from m), q as (select a.gx, a.gy from v a join v b on b.gx = a.gx + 1 and b.gy = a.gy join v c on c.gx = a.gx and c.gy = a.gy + 1 join v d on d.gx = a.gx + 1 and d.gy = a.gy + 1)
+    select gx, gy, half, case half when 0 then gx else gx + 1 end as ax, gy as ay from q, (select unnest([0, 1]) as half)""")
+def mesh_faces_all(spark, sf_dir):
+    return export.mesh(_mosaic(spark, sf_dir)).select("gx", "gy", "half", F.col("a.gx").alias("ax"), F.col("a.gy").alias("ay"))
+
+
 @query("color_scale", f"with {OBS}, {MOSAIC}, s as (select min(elevation) as lo, max(elevation) as hi from m) select gx, gy, cast(floor(255e0 * (elevation - lo) / (hi - lo) + 0.5e0) as int) as level from m, s")
 def color_scale(spark, sf_dir):
     return algebra.color_scale(_mosaic(spark, sf_dir), "elevation")
