@@ -26,8 +26,10 @@ from skylattice.llm.common import stored, words_count
 WEIGHTS = (1.0, 2.0, 3.0)
 #: A source's target is at most this many times its size, and so is a document's share.
 MAX_REPEATS = 3
-#: The mix is planned on the driver per source, not per document; more sources than this are refused.
+#: The mix is planned on the driver for as many sources as this, beyond it in Spark with the same result.
 MAX_SOURCES = 100_000
+#: Sources of one range when Spark numbers them.
+RANGED = 50_000
 #: Budget in words that the dynamic program fits; greater remainders are first reduced by the largest sizes.
 KNAPSACK = 1 << 15
 #: Documents per salt; a size's documents are ranked in as many salts as the table has such shares.
@@ -48,7 +50,8 @@ def fit_targets(sizes: list[int], weights: list[float], total: float, cap: float
         for i in over:
             out[i] = float(cap * sizes[i])
             left -= out[i]
-        free = [i for i in free if i not in set(over)]
+        capped = set(over)
+        free = [i for i in free if i not in capped]
     return out
 
 
@@ -118,6 +121,45 @@ def plan_targets(totals: list[tuple[str | None, int]], weights=WEIGHTS) -> list[
     return [(r[0], s, t) for r, s, t in zip(rows, sizes, fit_targets(sizes, w, sum(sizes)), strict=True)]
 
 
+def numbered_sources(totals: DataFrame) -> DataFrame:
+    """totals with the number of each source from 0: code-point order, null last."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranges = max(2, -(-totals.count() // RANGED))
+    dealt = totals.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id())
+    dealt = stored(dealt, "mix-ranges")  # the limits of the ranges are sampled: fixed from here on
+    starts, start = [], 0
+    for k, n in sorted((r[0], r[1]) for r in dealt.groupBy("range").agg(F.count(F.lit(1))).collect()):
+        starts.append((k, start))
+        start += n
+    first = dealt.sparkSession.createDataFrame(starts, "range int, start long")
+    nth = F.row_number().over(W.partitionBy("range").orderBy(*order))
+    return dealt.withColumn("nth", nth).join(F.broadcast(first), "range").select("source", "source_size", (F.col("start") + F.col("nth") - 1).alias("k"))
+
+
+def spark_targets(totals: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
+    """plan_targets for any number of sources, as a table: t_source, source_size, target.
+
+    The water level only rises from round to round, so it alone says which sources are capped; a round returns a row a weight."""
+    sources = stored(
+        numbered_sources(totals).select(F.col("source").alias("t_source"), "source_size", F.pmod("k", F.lit(len(weights))).cast("int").alias("w")), "mix-sources"
+    )
+    whole = sources.agg(F.sum("source_size")).first()[0] or 0
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("w") + 1)
+    level, capped = None, -1
+    while True:
+        over = F.lit(False) if level is None else weight * F.lit(level) > cap * F.col("source_size")
+        sums = sources.groupBy("w").agg(F.count_if(~over), F.count_if(over), F.sum(F.when(over, cap * F.col("source_size")).otherwise(0))).collect()
+        found = sum(r[2] for r in sums)
+        if found == capped:
+            break
+        capped, free = found, sum(r[1] * float(weights[r[0]]) for r in sorted(sums))
+        if not free:
+            break
+        level = (float(whole) - sum(r[3] for r in sums)) / free
+    target = F.least(weight * F.lit(level or 0.0), (cap * F.col("source_size")).cast("double"))
+    return sources.select("t_source", "source_size", target.alias("target"))
+
+
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("size", kind="stable").reset_index(drop=True)
     whole = int(pdf["source_size"].iloc[0])
@@ -147,8 +189,9 @@ def mix_sources(docs: DataFrame, seed: int = 17, weights=WEIGHTS, keep_text: boo
     totals = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     found = [(r[0], r[1]) for r in totals.limit(MAX_SOURCES + 1).collect()]
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    planned = spark.createDataFrame(plan_targets(found, weights), "t_source string, source_size long, target double")
+        planned = spark_targets(totals, weights)
+    else:
+        planned = spark.createDataFrame(plan_targets(found, weights), "t_source string, source_size long, target double")
     fitted = (
         hist.join(planned, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
         .groupBy("source")

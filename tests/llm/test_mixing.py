@@ -51,3 +51,15 @@ def test_mixed_documents_repeat(spark, docs_of):
     taken = {r.doc_id: r.taken // max(1, r.size) for r in mixing.mix_sources(docs).collect()}
     assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {k: v for k, v in taken.items() if v}
     assert mixed.columns == docs.columns
+
+
+def test_many_sources_are_planned_alike_in_spark(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [None, "", "\U0001f30d", "\uffee", *(f"host{rng.randrange(10**6)}" for _ in range(120))]
+    rows = [(i, "w " * int(rng.paretovariate(0.7)) if rng.random() < 0.95 else None, rng.choice(names)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix_sources(docs).collect()))
+    assert any(r[3] == 3 * r[2] > 0 for r in want) and any(0 < r[3] < 3 * r[2] for r in want)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 10)
+    monkeypatch.setattr(mixing, "RANGED", 20)
+    assert sorted(map(tuple, mixing.mix_sources(docs).collect())) == want
