@@ -58,3 +58,27 @@ def substrings(pairs, window=20):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def largest_sum(sizes, counts, budget):
+    """The largest sum of sizes not above budget, by the uncapped table of reachable sums."""
+    reach = 1
+    for size, n in zip(sizes, counts, strict=True):
+        for _ in range(n):
+            reach |= reach << size
+    return (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def targets(sizes, weights, cap=3):
+    """Words of each source: shares by weight, none above cap x size, the excess shared again."""
+    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while free:
+        unit = left / sum(weights[i] for i in free)
+        over = {i for i in free if weights[i] * unit > cap * sizes[i]}
+        for i in over or free:
+            out[i] = float(cap * sizes[i]) if over else weights[i] * unit
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
