@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one temporary folder where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="skylattice-"))
     return got
 
@@ -34,28 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.stored_path = path
+    return again
 
 
 def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables made by stored(), once nothing reads them any more."""
+    """Delete tables made by stored(), once nothing reads them any more: what a result still reads has to stay."""
     for df in frames:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-#: Rows of a record batch that Spark hands to Python where the session has its default of 10,000: texts can be long.
-BATCH_ROWS = 500
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """df, with the session's record batches bounded in rows, unless the user has set a bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

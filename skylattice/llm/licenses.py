@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BASE, bounded, gathered, hashed_words, mix64, slices, stored, texts
+from skylattice.llm.common import BASE, gathered, hashed_words, mix64, slices, stored, texts
 
 #: A word is a run of digits, letters and non-ASCII characters; texts are lower-cased in A-Z first.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -120,7 +120,7 @@ def gram_rows(docs: DataFrame, lengths: list[int]) -> DataFrame:
             flat = np.concatenate(grams).view(np.int64) if grams else np.zeros(0, np.int64)
             yield pa.record_batch({"key_a": pa.array(a, pa.int64()), "key_b": pa.array(z, pa.int64()), "at": pa.array(at, pa.int64()), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
-    chunks = bounded(docs).select(*_keys(), "text").mapInArrow(run, "key_a long, key_b long, at long, grams array<long>")
+    chunks = docs.select(*_keys(), "text").mapInArrow(run, "key_a long, key_b long, at long, grams array<long>")
     return chunks.select("key_a", "key_b", "at", F.posexplode("grams").alias("nth", "gram")).select("key_a", "key_b", (F.col("at") + F.col("nth")).alias("place"), "gram")
 
 

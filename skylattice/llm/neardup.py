@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BASE, bounded, gathered, hashed_words, mix64, slices, stored, texts
+from skylattice.llm.common import BASE, drop_stored, gathered, hashed_words, mix64, slices, stored, texts
 
 #: Bands of minima, and minima a band.
 BANDS, ROWS = 26, 5
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 sigs.append(signature(s) if len(s) else None)
             yield pa.record_batch({"id": b.column(0), "no_id": b.column(1), "n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(f1, pa.int64()), "fp2": pa.array(f2, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
-    rows = bounded(docs).select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text"))
+    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text"))
     return rows.mapInArrow(run, "id long, no_id boolean, n_shingles long, fp1 long, fp2 long, sig binary")
 
 
@@ -142,22 +142,23 @@ def confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> Da
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """(id, component) of every node of the edges (a, b): alternating large-star and small-star to a fixpoint."""
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """(id, component) of every node of the edges (a, b): alternating large-star and small-star until no edge changes."""
     edges = stored(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), name)
-    seen = None
-    for _ in range(most):
+    size = edges.count()
+    while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))  # v is a neighbour of u
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct(), name)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if now == seen:
+        new = stored(small.distinct(), name)
+        n = new.count()
+        done = n == size and new.join(edges, ["u", "v"], "left_anti").isEmpty()
+        drop_stored(edges)
+        edges, size = new, n
+        if done:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-        seen = now
-    raise RuntimeError(f"no fixpoint after {most} rounds")
 
 
 def agreeing(percent: int) -> int:

@@ -13,7 +13,8 @@ of the encoding up to there. Characters without a piece become bytes. Decoding j
 Nulls and other cases: a null or empty text has no ids and decodes to an empty text; texts that
 hold the space mark itself come back with spaces and say so in round_trip; null or repeated
 doc_ids are rows like any other; an empty table gives an empty result; other columns are passed
-over.
+over, or kept as they are, but for those with the names of results, which are replaced. A model file
+that is no BPE model, rewrites texts or has pieces beyond this method is refused.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import bounded, gathered, slices
+from skylattice.llm.common import gathered, slices
 
 #: The model file; a parameter, as tokenizers are never part of this repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -85,11 +86,28 @@ def read_pieces(data: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+def unsupported(data: bytes, every: list[tuple[str, float, int]]) -> str | None:
+    """Why a model file can't be encoded with here, if it can't."""
+    spec = dict(_fields(data))
+    trainer, normalizer = dict(_fields(spec.get(2, b""))), dict(_fields(spec.get(3, b"")))
+    if trainer.get(3, 1) != 2:
+        return "only BPE models are supported"
+    if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
+        return "only models that leave texts as they are, but for marks in place of spaces and one before the text, are supported"
+    if any(kind in (USER, UNUSED) for _, _, kind in every):
+        return "user-defined and unused pieces are not supported"
+    if any(kind == NORMAL and (MARK in p.lstrip(MARK) or "\n" in p) for p, _, kind in every):
+        return "pieces with a space mark after another character, or with a line feed, are not supported"
+    return None
+
+
 class Vocabulary:
     """Pieces by rank: single characters first, then merged pieces from the best score on."""
 
     def __init__(self, data: bytes) -> None:
         every = read_pieces(data)
+        if why := unsupported(data, every):
+            raise ValueError(why)
         normal = [(len(p) > 1, -score, i) for i, (p, score, kind) in enumerate(every) if kind == NORMAL and p]
         order = [i for _, _, i in sorted(normal)]
         self.ids = order
@@ -348,14 +366,19 @@ def _encoder(held) -> Encoder:
 def vocabulary(docs: DataFrame, model: str):
     """The model file, broadcast: half a megabyte from which each worker builds its encoder."""
     with open(model, "rb") as f:
-        return bounded(docs).sparkSession.sparkContext.broadcast(f.read())
+        data = f.read()
+    if why := unsupported(data, read_pieces(data)):
+        raise ValueError(f"{model}: {why}")
+    return docs.sparkSession.sparkContext.broadcast(data)
 
 
 def encoded(docs: DataFrame, model: str = MODEL, checked: bool = False) -> DataFrame:
-    """The rows with ids, and without their text; checked adds n_pieces and round_trip (whether decoding gives the text)."""
+    """The rows with ids, and without their text; checked adds n_pieces and round_trip (whether decoding gives the text).
+
+    Columns of the input that have these names are replaced."""
     held = vocabulary(docs, model)
-    rest = [c for c in docs.columns if c != "text"]
     more = ["n_pieces", "round_trip"] if checked else []
+    rest = [c for c in docs.columns if c not in ("text", "ids", *more)]
 
     def run(batches):
         for b in gathered(batches, 0, GATHER):
@@ -370,13 +393,13 @@ def encoded(docs: DataFrame, model: str = MODEL, checked: bool = False) -> DataF
             yield pa.record_batch([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *extra, *b.columns[1:]], ["ids", *[f"x{i}" for i in range(len(extra))], *[f"c{i}" for i in range(len(rest))]])
 
     types = ", ".join(["ids array<int>", *(["x0 long", "x1 boolean"] if checked else []), *[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
-    return docs.select("text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).mapInArrow(run, types).toDF("ids", *more, *rest)
+    return docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).mapInArrow(run, types).toDF("ids", *more, *rest)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """The rows with the text of their ids, and without the ids."""
+    """The rows with the text of their ids, and without the ids; an input column text is replaced."""
     held = vocabulary(rows, model)
-    rest = [c for c in rows.columns if c != "ids"]
+    rest = [c for c in rows.columns if c not in ("ids", "text")]
 
     def run(batches):
         for b in slices(batches, 1000):
@@ -385,7 +408,7 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.record_batch([pa.array(new, pa.string()), *b.columns[1:]], ["text", *[f"c{i}" for i in range(len(rest))]])
 
     types = ", ".join(["text string", *[f"c{i} {rows.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)]])
-    return rows.select("ids", *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).mapInArrow(run, types).toDF("text", *rest)
+    return rows.select("ids", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).mapInArrow(run, types).toDF("text", *rest)
 
 
 def encoding_report(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import MAX_CACHED_WORDS, bounded, mix64, slices, texts
+from skylattice.llm.common import MAX_CACHED_WORDS, mix64, slices, texts
 
 #: Labelled documents that training reads at most.
 MAX_TRAIN = 4000
@@ -42,7 +42,7 @@ _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a")
 def shape(word: bytes) -> bytes:
     for run, sign in _RUNS:
         word = run.sub(sign, word)
-    return word[:24]
+    return word
 
 
 class Grams:
@@ -125,16 +125,14 @@ def train_ftrl(samples: list[tuple[bytes, int]]) -> tuple[np.ndarray, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> list[tuple[bytes, int]]:
-    """At most so many (text, label) of rows outside the held-out fold, in an order fixed by hashes."""
+    """At most so many (text, label) of documents outside the held-out fold, in an order fixed by hashes; repeated rows count once."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    picked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != held_out))
-        .select("doc_id", F.col(label).cast("int").alias("label")).distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    )
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # at most `most` rows
-    got = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", "text").toPandas()
-    got = got.sort_values(["h", "doc_id", "label", "text"], kind="stable")
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != held_out)).select("doc_id", F.col(label).cast("int").alias("label"))
+    texts_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    picked = texts_of.select("doc_id", "hash").join(marked.distinct(), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label", "hash").limit(most)
+    rows = texts_of.join(F.broadcast(picked), ["doc_id", "hash"]).groupBy("doc_id", "hash", "label").agg(F.first("text").alias("text"))  # at most `most` rows
+    got = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "label", "hash", "text").toPandas()
+    got = got.sort_values(["h", "doc_id", "label", "hash"], kind="stable")
     return [(t.encode(), int(y)) for t, y in zip(got["text"], got["label"], strict=True)]
 
 
@@ -147,7 +145,7 @@ def scored(docs: DataFrame, make_scorer, model) -> DataFrame:
         for b in slices(batches):
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array([score(t) for t in texts(b.column(1))], pa.float64())})
 
-    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def with_folds(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
@@ -180,4 +178,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
             yield b.filter(pa.array([score(t) >= threshold for t in texts(b.column(at))], pa.bool_()))
 
     types = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return bounded(docs).toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, types).toDF(*names)
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, types).toDF(*names)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BASE, bounded, gathered, hashed_words, mix64, powers, stored, texts
+from skylattice.llm.common import BASE, gathered, hashed_words, mix64, powers, stored, texts
 from skylattice.llm.neardup import node_id
 
 #: Words of a window, and words of the hashes that anchor it.
@@ -176,7 +176,7 @@ def removed_words(p: Batch, firsts, first_windows) -> np.ndarray:
 
 def _parsed(docs: DataFrame, extra: list) -> DataFrame:
     """Every row with what its text has first: its phrases (firsts; the lowest bit marks those to be looked into) and their windows."""
-    rows = bounded(docs).select(node_id(F.col("doc_id"), F.col("text")).alias("id"), "text", *extra)
+    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), "text", *extra)
     classes = stored(phrase_rows(rows).groupBy("anchor", "key").agg(F.min("id").alias("id")), "substring-phrases")
     shared = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", F.lit(1).cast("long").alias("edge"))
     value = F.col("key") + F.coalesce("edge", F.lit(0).cast("long"))
