@@ -28,35 +28,61 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-#: The audited replica of op9 differs from the archive in the pages whose id leaves this remainder.
-ROTTEN = (211, 7)
+#: The audited replica of op9 differs in the pages whose id leaves these remainders: one of each kind in ROTTEN pages.
+ROTTEN, DAMAGED, LOST, LENGTHENED, INSERTED = 211, 7, 50, 101, 160
+TAIL = "<!-- tail -->"
+
+
+def _sql_id(text: str) -> str:
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return "'urn:uuid:' || " + " || '-' || ".join(f"substr(sha256({text}), {a}, {n})" for a, n in cuts)
+
+
+def _sql_record(record_id: str, url: str, html: str) -> str:
+    end = "chr(13) || chr(10)"
+    return (
+        f"'WARC/1.0' || {end} || 'WARC-Type: resource' || {end} || 'WARC-Record-ID: <' || {record_id} || '>' || {end} || 'WARC-Date: {fixity.DATE}' || {end} || 'WARC-Target-URI: ' "
+        f"|| coalesce(nullif(regexp_replace({url}, '[\\r\\n]', ' ', 'g'), ''), {record_id}) || {end} || 'Content-Type: text/html' || {end} || 'WARC-Block-Digest: sha256:' || sha256({html}) "
+        f"|| {end} || 'Content-Length: ' || strlen({html}) || {end} || {end} || {html} || {end} || {end}"
+    )
 
 
 @query(
     "op9_warc_fixity",
     f"""
-    with r as (
-      select page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-        || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(coalesce(html, ''))
-        || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-        || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as rec, length(html) > 0 as has_html
-      from pages),
-    s as (select page_id, page_id // {fixity.FILE_IDS} as file_id, cast(strlen(rec) as bigint) as n_bytes, sha256(rec) as record_sha256, has_html from r)
-    select page_id, file_id, row_number() over w - 1 as record_no, cast(sum(n_bytes) over w as bigint) - n_bytes as record_at, n_bytes, record_sha256,
-      case when page_id % {ROTTEN[0]} = {ROTTEN[1]} and has_html then 'corrupt' else 'none' end as fault
-    from s window w as (partition by file_id order by page_id, record_sha256 rows between unbounded preceding and current row)
+    with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+    i as (select *, {_sql_id("page_id || '|' || url || '|' || sha256(html) || '|0'")} as record_id from p),
+    r as (select page_id, (page_id // {fixity.FILE_IDS}) || '-0' as file, record_id, {_sql_record("record_id", "url", "html")} as record from i),
+    s as (select page_id, file, record_id, cast(strlen(record) as bigint) as n_bytes, sha256(record) as record_sha256 from r),
+    x as (select page_id, (page_id // {fixity.FILE_IDS}) || '-0' as file, {_sql_id("'inserted|' || page_id")} as record_id from p where page_id % {ROTTEN} = {INSERTED}),
+    e as (select page_id, file, record_id, {_sql_record("record_id", "''", "'inserted'")} as record from x)
+    select page_id, file, record_id, row_number() over w - 1 as record_no, cast(sum(n_bytes) over w as bigint) - n_bytes as record_at, n_bytes, record_sha256,
+      case page_id % {ROTTEN} when {DAMAGED} then 'corrupt' when {LENGTHENED} then 'corrupt' when {LOST} then 'missing' else 'none' end as fault
+    from s window w as (partition by file order by page_id, record_id rows between unbounded preceding and current row)
+    union all
+    select page_id, file, record_id, null, null, cast(strlen(record) as bigint), sha256(record), 'extra' from e
     """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, audit a replica with planted bit rot, and report every record with its fault."""
-    pages = table(spark, sf_dir, "pages")
-    rot = F.col("page_id") % ROTTEN[0] == ROTTEN[1]
-    replica = pages.withColumn("html", F.when(rot & (F.length("html") > 0), F.overlay(F.col("html"), F.lit("#"), F.lit(1))).otherwise(F.col("html")))
-    ours, theirs = (stored(fixity.warc_records(p), "warc") for p in (pages, replica))
+    """Archive all pages, audit a replica with planted damaged, lost, lengthened and inserted records, and report every record with its fault."""
+    held = fixity.archive(table(spark, sf_dir, "pages"))
+    is_ = lambda k: F.col("page_id") % ROTTEN == k
+    last = F.expr("substring(record, length(record) - 4, 1)")
+    damaged = F.overlay(F.col("record"), F.when(last == "#", "!").otherwise("#"), F.length("record") - 4)
+    record = F.when(is_(DAMAGED), damaged).when(is_(LENGTHENED), F.concat("record", F.lit(TAIL))).otherwise(F.col("record"))
+    spoilt = held.where(F.coalesce(~is_(LOST), F.lit(True))).withColumn("record", record)
+    other = held.where(is_(INSERTED)).withColumn("record_id", fixity.named_id(F.lit("inserted"), F.col("page_id").cast("string")))
+    text = F.lit("inserted")
+    other = other.withColumn("record", fixity.record_text(F.col("record_id"), F.lit(""), text, F.sha2(text, 256)))
+    ours, theirs = (stored(fixity.described(r, "page_id", "record_id"), "warc") for r in (held, spoilt.unionByName(other)))
     found = fixity.audit(stored(fixity.merkle_tree(ours), "merkle"), stored(fixity.merkle_tree(theirs), "merkle"))
-    return ours.join(found, ["file_id", "record_no"], "left").select(
-        "page_id", "file_id", "record_no", "record_at", "n_bytes", "record_sha256", F.coalesce("fault", F.lit("none")).alias("fault")
+    found = found.withColumnRenamed("node", "record_id")
+    fault = F.coalesce("fault", F.lit("none")).alias("fault")
+    known = ours.join(found, ["file", "record_id"], "left").select(*ours.columns, fault)
+    extra = theirs.join(found.where("fault = 'extra'"), ["file", "record_id"]).select(
+        *[F.lit(None).cast("long").alias(c) if c in ("record_no", "record_at") else F.col(c) for c in theirs.columns], fault
     )
+    return known.unionByName(extra)
 
 
 OP3_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
