@@ -5,6 +5,8 @@ Overlap is an equi-join, extension of a sparse map is free, and merging is an ou
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +114,31 @@ def color_scale(cells: DataFrame, layer: str) -> DataFrame:
     wide = F.col("hi") - F.col("lo")
     level = F.when(F.col(layer).isNull() | (wide == 0), 0).otherwise(F.floor(255.0 * (F.col(layer) - F.col("lo")) / F.when(wide != 0, wide) + 0.5))
     return cells.crossJoin(F.broadcast(span)).select(*KEY, level.cast("int").alias("level"))
+
+
+def require_same_resolution(left: float, right: float) -> None:
+    """Maps are only joined at one resolution; others are resampled first."""
+    if abs(left - right) > 1e-9 * max(abs(left), abs(right)):
+        raise ValueError(f"resolutions {left} and {right} differ")
+
+
+def resample_to(cells: DataFrame, from_res: float, to_res: float, *layers: str) -> DataFrame:
+    """Layers of a raster at another resolution: each new cell takes the value of the nearest old one."""
+    ratio = from_res / to_res
+    half = math.ceil(ratio / 2) + 1
+    near = lambda c: F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.round(F.col(c) * ratio).cast("long") + k))
+    sent = cells.select(F.col("gx").alias("ox"), F.col("gy").alias("oy"), *layers).withColumn("gx", near("ox")).withColumn("gy", near("oy"))
+    own = (F.floor(F.col("gx") / ratio + 0.5) == F.col("ox")) & (F.floor(F.col("gy") / ratio + 0.5) == F.col("oy"))
+    return sent.where(own).select("gx", "gy", *layers)
+
+
+def jet(level: Column) -> list[Column]:
+    """Red, green and blue (0..255) of a level 0..255 on the map from blue over green to red."""
+    v = level / 255.0
+    part = lambda peak: F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(4 * v - peak))) + 0.5).cast("int")
+    return [part(3.0), part(2.0), part(1.0)]
+
+
+def normal_colors(nx: Column, ny: Column, nz: Column) -> list[Column]:
+    """Red, green and blue (0..255) of the components -1..1 of a unit vector."""
+    return [F.floor((c + 1) * 127.5 + 0.5).cast("int") for c in (nx, ny, nz)]

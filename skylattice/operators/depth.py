@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skylattice.functions.camera import Pinhole
+from skylattice.functions.camera import Pinhole, heading_rotation, to_world
 
 VALID = "depth > 0"
+EYE = ("easting", "northing", "altitude")
 
 
 def stats(depth: DataFrame) -> DataFrame:
@@ -46,8 +47,10 @@ def from_points(points: DataFrame, camera: Pinhole, order: str = "point_id") ->
     return on.where(F.col("c").between(0, camera.width - 1) & F.col("r").between(0, camera.height - 1)).groupBy("r", "c").agg(F.max_by("z", order).alias("depth"))
 
 
-def normals(depth: DataFrame) -> DataFrame:
-    """Unit normals by central differences, where all four neighbours have a depth."""
+def normals(depth: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Unit normals by central differences, where all four neighbours have a depth.
+
+    With the shape (rows, columns) of the maps, pixels on the border have the normals of those next to them inside."""
     across, down = W.partitionBy("frame_id", "r").orderBy("c"), W.partitionBy("frame_id", "c").orderBy("r")
     there = depth.where(F.col("depth").isNotNull())
     near = lambda f, w, at, step: F.when(f(at).over(w) == F.col(at) + step, f("depth").over(w))
@@ -55,7 +58,15 @@ def normals(depth: DataFrame) -> DataFrame:
     got = got.withColumns({"north": near(F.lag, down, "r", -1), "south": near(F.lead, down, "r", 1)}).dropna(subset=["west", "east", "north", "south"])
     dx, dy = (F.col("east") - F.col("west")) / 2, (F.col("south") - F.col("north")) / 2
     length = F.sqrt(dx * dx + dy * dy + 1)
-    return got.select("frame_id", "r", "c", (-dx / length).alias("nx"), (-dy / length).alias("ny"), (1 / length).alias("nz"))
+    inner = got.select("frame_id", "r", "c", (-dx / length).alias("nx"), (-dy / length).alias("ny"), (1 / length).alias("nz"))
+    if shape is None:
+        return inner
+
+    def reflected(c: str, n: int):
+        own = F.col(c)
+        return F.explode(F.array_compact(F.array(own, F.when(own == 1, own - 1), F.when(own == n - 2, own + 1))))
+
+    return inner.withColumn("r", reflected("r", shape[0])).withColumn("c", reflected("c", shape[1]))
 
 
 def votes(depth: DataFrame, tolerance: float = 0.1, before: int = 2, after: int = 1, least: int = 2) -> DataFrame:
@@ -85,3 +96,20 @@ def scene_depth(points: DataFrame, r2: tuple[float, float, float], tz: float, *b
     """min, lower median and max of the points' depth in a camera: third row of its rotation, and translation."""
     d = points.withColumn("d", r2[0] * F.col("x") + r2[1] * F.col("y") + r2[2] * F.col("z") + tz)
     return d.groupBy(*by).agg(F.min("d").alias("min_depth"), F.expr("percentile_disc(0.5) within group (order by d)").alias("median_depth"), F.max("d").alias("max_depth"))
+
+
+def placed(depth: DataFrame, frames: DataFrame, camera: Pinhole) -> DataFrame:
+    """frame_id, r, c, x, y, z: world points of valid pixels; frames hold the pose (easting, northing, altitude, heading)."""
+    posed = reproject(depth, camera).join(frames.select("frame_id", *EYE, "heading"), "frame_id")
+    at = to_world(heading_rotation(F.col("heading")), tuple(F.col(c) for c in EYE), tuple(F.col(c) for c in ("x", "y", "z")))
+    return posed.select("frame_id", "r", "c", *[v.alias(c) for v, c in zip(at, ("x", "y", "z"), strict=True)])
+
+
+def dense_points(depth: DataFrame, frames: DataFrame, camera: Pinhole, low: float = 0.25, high: float = 1.75, **how) -> DataFrame:
+    """frame_id, r, c, x, y, z and nx, ny, nz: world points and normals of depth maps that are clamped to a range about their median and
+    checked against their neighbours."""
+    clamped = clamp(depth, low, high)
+    local = normals(clamped, (camera.height, camera.width)).join(frames.select("frame_id", "heading"), "frame_id")
+    up = to_world(heading_rotation(F.col("heading")), (F.lit(0.0),) * 3, tuple(-F.col(c) for c in ("nx", "ny", "nz")))
+    up = local.select("frame_id", "r", "c", *[v.alias(c) for v, c in zip(up, ("nx", "ny", "nz"), strict=True)])
+    return placed(consistent(clamped, **how), frames, camera).join(up, ["frame_id", "r", "c"], "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.camera import distance
+from skylattice.operators.folds import folded
 
 GIS, VIS = ("gx", "gy", "gz"), ("vx", "vy", "vz")
 #: Metres that two GNSS positions must be apart to give a scale (fixed value).
@@ -32,7 +33,7 @@ def scales(poses: DataFrame, least_visual: float) -> DataFrame:
 def scale_drift(poses: DataFrame, scale: float, least_visual: float, samples: int = 3) -> DataFrame:
     """Percent by which the newest measurement's mean scale against earlier ones, sampled evenly, differs from scale; -1 with fewer than two."""
     size = poses.groupBy("camera_id").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct(*GIS, *VIS), "seq").alias("last"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("n") / samples))
+    stride = F.greatest(F.lit(1), F.floor((F.col("n") - 1) / samples))
     ranked = poses.withColumn("nth", F.row_number().over(W.partitionBy("camera_id").orderBy("seq")) - 1)
     picked = ranked.join(size, "camera_id").where((F.col("nth") % stride == 0) & (F.col("nth") < F.col("n") - 1))
     s = two_point_scale(F.col, lambda c: F.col("last")[c], least_visual)
@@ -83,24 +84,107 @@ def umeyama(poses: DataFrame) -> DataFrame:
     return moments.mapInPandas(solve, f"camera_id {kind}, n long, " + ", ".join(f"{n} double" for n in names))
 
 
-def greedy_unique(poses: DataFrame, least_visual: float) -> DataFrame:
-    """Measurements that give a positive scale against every one chosen before them (newest first), a sequential choice per camera.
+def judged_unique(poses: DataFrame, least_visual: float) -> DataFrame:
+    """camera_id, seq, whether a measurement gives a positive scale against every one chosen before it, and the sum and number of the scales met
+    on the way (newest first, up to the first that is none).
+
+    The choice depends on itself; a task folds its cameras' tracks in order and holds the measurements chosen so far."""
+
+    def start():
+        chosen = [np.empty((64, 6)), 0]
+
+        def step(row):
+            held, n = chosen
+            at = np.array(row[2:8], float)
+            apart = (held[:n] - at) ** 2
+            gis, vis = np.sqrt(apart[:, :3].sum(1))[::-1], np.sqrt(apart[:, 3:].sum(1))[::-1]
+            good = (gis > MIN_GIS) & (vis > least_visual)
+            met = int(n if good.all() else good.argmin())
+            if met == n:
+                if n == len(held):
+                    held = chosen[0] = np.concatenate([held, np.empty_like(held)])
+                held[n] = at
+                chosen[1] = n + 1
+            return row[0], row[1], met == n, float((gis[:met] / vis[:met]).sum()), met
 
-    The choice depends on itself, so each camera's track is folded in order inside a task."""
-    cols = [*GIS, *VIS]
+        return step
 
-    def fold(key, pdf):
-        pdf = pdf.sort_values("seq")
-        rows, n, out = pdf[cols].to_numpy(float), 0, []
-        chosen = np.empty_like(rows)
-        for seq, row in zip(pdf["seq"].to_numpy(), rows, strict=True):
-            apart = (chosen[:n] - row) ** 2
-            if ((apart[:, :3].sum(1) > MIN_GIS**2) & (apart[:, 3:].sum(1) > least_visual**2)).all():
-                chosen[n], n = row, n + 1
-                out.append(seq)
-        return pd.DataFrame({"camera_id": [key[0]] * len(out), "seq": out})
+    return folded(poses.select("camera_id", "seq", *GIS, *VIS), "camera_id", ["seq"], start, "camera_id long, seq long, chosen boolean, total double, n long")
 
-    return poses.select("camera_id", "seq", *cols).groupBy("camera_id").applyInPandas(fold, "camera_id long, seq long")
+
+def greedy_unique(poses: DataFrame, least_visual: float) -> DataFrame:
+    """camera_id and seq of the measurements that judged_unique chooses."""
+    return judged_unique(poses, least_visual).where("chosen").select("camera_id", "seq")
+
+
+#: Rotation columns of a measurement's GNSS pose and visual pose; a transform is an array of 16 values, row by row.
+GROT, VROT = tuple(f"g{i}{j}" for i in range(3) for j in range(3)), tuple(f"v{i}{j}" for i in range(3) for j in range(3))
+
+
+def _times(t, rot: list[Column], p: list[Column]) -> tuple[list[list[Column]], list[Column]]:
+    """T * (rot | p) with the columns of the rotation at length 1; t(i, j) gives the transform."""
+    r = [[sum((t(i, k) * rot[3 * k + j] for k in range(3)), F.lit(0.0)) for j in range(3)] for i in range(3)]
+    length = [F.sqrt(sum((r[i][j] * r[i][j] for i in range(3)), F.lit(0.0))) for j in range(3)]
+    at = [sum((t(i, k) * p[k] for k in range(3)), F.lit(0.0)) + t(i, 3) for i in range(3)]
+    return [[r[i][j] / length[j] for j in range(3)] for i in range(3)], at
+
+
+def georeferenced(poses: DataFrame, transforms: DataFrame) -> DataFrame:
+    """poses (v00..v22, vx, vy, vz) with their geographic pose: g00..g22 and gx, gy, gz of T * pose, without scale; transforms: camera_id, t."""
+    r, at = _times(lambda i, j: F.col("t")[4 * i + j], [F.col(c) for c in VROT], [F.col(c) for c in VIS])
+    new = {f"g{i}{j}": r[i][j] for i in range(3) for j in range(3)} | dict(zip(GIS, at, strict=True))
+    return poses.join(transforms, "camera_id").withColumns(new).drop("t")
+
+
+def pose_points(poses: DataFrame, transforms: DataFrame, z_weight: float) -> DataFrame:
+    """Four points of every measurement, its origin and the ends of its axes (that of z drawn out): vx.. of the transformed visual pose, gx.. of the GNSS pose."""
+    r, at = _times(lambda i, j: F.col("t")[4 * i + j], [F.col(c) for c in VROT], [F.col(c) for c in VIS])
+    g = [[F.col(f"g{i}{j}") for j in range(3)] for i in range(3)]
+    ends = []
+    for axis, size in ((None, 0.0), (0, 1.0), (1, 1.0), (2, z_weight)):
+        move = lambda m: [m[i][axis] * size if axis is not None else F.lit(0.0) for i in range(3)]
+        vis, gis = move(r), move(g)
+        ends.append(F.struct(*[(at[i] + vis[i]).alias(VIS[i]) for i in range(3)], *[(F.col(GIS[i]) + gis[i]).alias(GIS[i]) for i in range(3)]))
+    return poses.join(transforms, "camera_id").select("camera_id", "seq", F.posexplode(F.array(*ends)).alias("point", "p")).select("camera_id", "seq", "point", "p.*")
+
+
+def refined(poses: DataFrame, transforms: DataFrame, z_weight: float) -> DataFrame:
+    """transforms (camera_id, t) improved by a similarity fit over the four points of every measurement; axes keep a straight track from turning."""
+    fit = umeyama(pose_points(poses, transforms, z_weight))
+    s = lambda i, j: F.col("scale") * F.col(f"r{i}{j}")
+    move = ("tx", "ty", "tz")
+    old = lambda k, j: F.col("t")[4 * k + j]
+    new = [sum((s(i, k) * old(k, j) for k in range(3)), F.lit(0.0)) + (F.col(move[i]) if j == 3 else F.lit(0.0)) for i in range(3) for j in range(4)]
+    return transforms.join(fit, "camera_id").select("camera_id", F.array(*new, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("t"))
+
+
+def georef_init(poses: DataFrame, least_visual: float, min_frames: int, most_change: float | None = None, before: float = 0.0, z_weight: float = 5.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First georeference of each camera: (report, measurements kept, transforms).
+
+    The report holds n_unique, the mean scale and whether the camera stands: with min_frames unique measurements at least, and a scale that
+    differs from the one before by most_change at most. Only cameras that stand have measurements and a transform."""
+    judged = judged_unique(poses, least_visual)
+    report = judged.groupBy("camera_id").agg(F.count_if("chosen").alias("n_unique"), (F.sum("total") / F.when(F.sum("n") > 0, F.sum("n"))).alias("scale"))
+    stands = (F.col("n_unique") >= min_frames) & F.col("scale").isNotNull()
+    if most_change is not None:
+        stands &= F.abs(F.col("scale") - before) <= most_change
+    report = report.withColumn("stands", stands)
+    ready = report.where("stands")
+    kept = poses.join(judged.where("chosen").select("camera_id", "seq"), ["camera_id", "seq"], "left_semi").join(ready.select("camera_id"), "camera_id", "left_semi")
+    size = lambda i, j: F.col("scale") if i == j and i < 3 else F.lit(float(i == j))
+    first = ready.select("camera_id", F.array(*[size(i, j) for i in range(4) for j in range(4)]).alias("t"))
+    return report, kept, refined(kept, first, z_weight)
+
+
+def georef_update(kept: DataFrame, new: DataFrame, transforms: DataFrame, least_visual: float, z_weight: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(measurements, transforms) after one new measurement a camera: it counts if it gives a scale against the newest one kept."""
+    last = kept.groupBy("camera_id").agg(F.max_by(F.struct(*GIS, *VIS), "seq").alias("last"))
+    s = two_point_scale(F.col, lambda c: F.col("last")[c], least_visual)
+    good = new.join(last, "camera_id").where(s > 0).select(*kept.columns)
+    more = kept.unionByName(good)
+    touched = good.select("camera_id").distinct()
+    again = refined(more.join(touched, "camera_id", "left_semi"), transforms.join(touched, "camera_id", "left_semi"), z_weight)
+    return more, transforms.join(touched, "camera_id", "left_anti").unionByName(again)
 
 
 def without_scale(t) -> tuple[np.ndarray, float]:
@@ -115,8 +199,11 @@ def without_scale(t) -> tuple[np.ndarray, float]:
 
 
 def georeference_difference(old, new) -> np.ndarray:
-    """The rigid transform that leads from an old georeference to a new one."""
-    return np.linalg.inv(without_scale(old)[0]) @ without_scale(new)[0]
+    """The transform that leads points of an old georeference to a new one, with the change of scale."""
+    (a, size_a), (b, size_b) = without_scale(old), without_scale(new)
+    diff = np.linalg.inv(a) @ b
+    diff[:3, :3] *= size_b / size_a
+    return diff
 
 
 def pose_guess(frames: DataFrame, t, cols=("easting", "northing", "altitude")) -> DataFrame:

@@ -1,9 +1,9 @@
 """Mosaic and tile aggregation: the best observation of each cell wins.
 
 The sequential fold over frames is an argmax: an observation replaces a cell's content if its
-angle is strictly greater, so the earliest observation of the greatest angle stays. Observations
-are first reduced to the earliest of each angle in each cell, a partial aggregate that bounds
-what a much observed cell sends through the shuffle.
+angle is strictly greater, so the earliest observation of the greatest angle stays. An observation
+that beats all before it also beats those before it in any part of the cell's observations, so a
+cell's observations are dealt over parts first, and only the few that rise within a part go on.
 """
 
 from __future__ import annotations
@@ -15,22 +15,25 @@ from pyspark.sql import functions as F
 KEY = ["gx", "gy"]
 
 
+#: Parts that a cell's observations are dealt over.
+PARTS = 16
+
+
+def rising(observations: DataFrame, *by: str) -> DataFrame:
+    """The observations whose angle is greater than all earlier ones (by seq) of their group."""
+    before = F.max("angle").over(W.partitionBy(*by).orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    return observations.withColumn("beaten", before).where(F.col("beaten").isNull() | (F.col("angle") > F.col("beaten"))).drop("beaten")
+
+
 def blend(observations: DataFrame) -> DataFrame:
     """gx, gy, color, elevation, angle and n_obs of the mosaic of (seq, gx, gy, color, elevation, angle).
 
     n_obs counts how often a cell's greatest angle was beaten, the first observation included."""
-    seen = observations.where((F.col("angle") > 0) & F.col("elevation").isNotNull())
-    by_angle = seen.groupBy(*KEY, "angle").agg(F.min(F.struct("seq", "color", "elevation")).alias("first"))
-    before = W.partitionBy(*KEY).orderBy("first.seq").rowsBetween(W.unboundedPreceding, -1)
-    best_before = F.max("angle").over(before)
-    record = F.when(best_before.isNull() | (F.col("angle") > best_before), 1).otherwise(0)
-    best = F.max_by("first", "angle")
-    return (
-        by_angle.withColumn("record", record)
-        .groupBy(*KEY)
-        .agg(best.alias("best"), F.max("angle").alias("angle"), F.sum("record").alias("n_obs"))
-        .select(*KEY, F.col("best.color").alias("color"), F.col("best.elevation").alias("elevation"), "angle", F.col("n_obs").cast("long").alias("n_obs"))
-    )
+    seen = observations.where((F.col("angle") > 0) & F.col("elevation").isNotNull()).select("seq", *KEY, "color", "elevation", "angle")
+    dealt = seen.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(PARTS)))
+    records = rising(rising(dealt, *KEY, "part"), *KEY)
+    best = F.max_by(F.struct("color", "elevation"), "angle")
+    return records.groupBy(*KEY).agg(best.alias("best"), F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n_obs")).select(*KEY, "best.color", "best.elevation", "angle", "n_obs")
 
 
 def elevated(observations: DataFrame) -> DataFrame:
@@ -44,16 +47,17 @@ def first_valid(observations: DataFrame, layer: str = "elevation") -> DataFrame:
     return there.groupBy(*KEY).agg(F.min_by(layer, "seq").alias(layer))
 
 
-def blend_tiles(new: DataFrame, cached: DataFrame) -> DataFrame:
+def blend_tiles(new: DataFrame, cached: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Cells of two versions of a tile; the cached one stays if it is valid, seen at no smaller angle, and not flat where the new one is raised.
 
     elevated is 0 for reconstructed cells and 255 for flat ones."""
-    n = new.select(*KEY, F.struct("color", "elevation", "angle", "elevated").alias("n"))
-    o = cached.select(*KEY, F.struct("color", "elevation", "angle", "elevated").alias("o"))
+    key = key or KEY
+    n = new.select(*key, F.struct("color", "elevation", "angle", "elevated").alias("n"))
+    o = cached.select(*key, F.struct("color", "elevation", "angle", "elevated").alias("o"))
     beaten = (F.col("o.angle") < F.col("n.angle")) | ((F.col("o.elevated") > 0) & (F.col("n.elevated") == 0))
     keep = F.col("o.elevation").isNotNull() & (F.col("n").isNull() | ~F.coalesce(beaten, F.lit(False)))
     chosen = F.when(keep, F.col("o")).otherwise(F.coalesce("n", "o"))
-    return n.join(o, KEY, "full_outer").select(*KEY, chosen.alias("c")).select(*KEY, "c.color", "c.elevation", "c.angle", "c.elevated")
+    return n.join(o, key, "full_outer").select(*key, chosen.alias("c")).select(*key, "c.color", "c.elevation", "c.angle", "c.elevated")
 
 
 def merge_latest(observations: DataFrame) -> DataFrame:

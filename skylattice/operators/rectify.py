@@ -1,4 +1,4 @@
-"""Rectification: which pixel of which frame shows each lattice cell of a surface."""
+"""Rectification: which pixel of which frame shows each lattice cell of a surface, and the orthophoto made of them."""
 
 from __future__ import annotations
 
@@ -43,12 +43,34 @@ def rectify_surface(frames: DataFrame, surface: DataFrame, camera: C.Pinhole, re
     return _shown(ground.join(spread, ["bx", "by"]), camera, (F.col("gx") * res, F.col("gy") * res, F.col("elevation")))
 
 
-def _shown(cells: DataFrame, camera: C.Pinhole, p: tuple) -> DataFrame:
+def rectify_frames(frames: DataFrame, surfaces: DataFrame, camera: C.Pinhole, res: float) -> DataFrame:
+    """The same for surfaces of single frames (frame_id, gx, gy, elevation and further columns, which are kept)."""
+    ground = surfaces.where(F.col("elevation").isNotNull())
+    rest = [c for c in ground.columns if c not in ("frame_id", "gx", "gy")]
+    return _shown(frames.join(ground, "frame_id"), camera, (F.col("gx") * res, F.col("gy") * res, F.col("elevation")), rest)
+
+
+def colored(rectified: DataFrame, images: DataFrame) -> DataFrame:
+    """Rectified cells with the color of their pixel (images: frame_id, r, c, color)."""
+    pixels = images.select("frame_id", F.col("r").cast("int").alias("py"), F.col("c").cast("int").alias("px"), "color")
+    return rectified.join(pixels, ["frame_id", "px", "py"], "left")
+
+
+def orthophotos(frames: DataFrame, surfaces: DataFrame, images: DataFrame, camera: C.Pinhole, res: float) -> DataFrame:
+    """frame_id, gx, gy, color, elevation, angle, elevated and n_obs of every cell of every frame's surface that its image shows.
+
+    elevated is 0 on surfaces of ELEVATION and 255 on planar ones. Its rows, with a seq, are what a mosaic blends."""
+    cells = colored(rectify_frames(frames, surfaces, camera, res), images)
+    flag = F.when(F.col("assumption") == "ELEVATION", 0).otherwise(255)
+    return cells.select("frame_id", "gx", "gy", "color", "elevation", "angle", flag.alias("elevated"), F.lit(1).alias("n_obs"))
+
+
+def _shown(cells: DataFrame, camera: C.Pinhole, p: tuple, keep: list[str] | None = None) -> DataFrame:
     r, t = C.heading_rotation(F.col("heading")), tuple(F.col(c) for c in _EYE)
     u, v = camera.to_image(*C.to_camera(r, t, p))
     seen = cells.withColumns({"u": u, "v": v, "angle": C.elevation_angle(t, p)})
     inside = (F.col("u") > 0) & (F.col("u") < camera.width) & (F.col("v") > 0) & (F.col("v") < camera.height)
-    return seen.where(inside).select("frame_id", "gx", "gy", F.floor("u").cast("int").alias("px"), F.floor("v").cast("int").alias("py"), "angle")
+    return seen.where(inside).select("frame_id", "gx", "gy", F.floor("u").cast("int").alias("px"), F.floor("v").cast("int").alias("py"), "angle", *(keep or []))
 
 
 def visible_cells(frames: DataFrame, camera: C.Pinhole, res: float, height: float) -> DataFrame:

@@ -68,25 +68,26 @@ def near_nodes(points: DataFrame, res: float, radius: float, gx0: int, gy0: int,
     return on.withColumn("d2", square(F.col("x"), F.col("y"), F.col("gx") * res, F.col("gy") * res)).where(F.col("d2") < radius * radius)
 
 
-def idw_surface(points: DataFrame, res: float, rounds: int, window: tuple[int, int, int, int], values: tuple[str, ...] = ("z",)) -> DataFrame:
+def idw_surface(points: DataFrame, res: float, rounds: int, window: tuple[int, int, int, int], values: tuple[str, ...] = ("z",), by: tuple[str, ...] = (), rings: bool = False) -> DataFrame:
     """Inverse-distance means of values at lattice nodes, over the first ring that holds three points.
 
     Ring i holds the points with d2 < i * res; a node with fewer than three points in ring rounds - 1 stays empty. A
-    point on the node gives its value. Points are summed by ring before the shuffle, so a node's row is one per ring."""
-    reach = math.sqrt((rounds - 1) * res)
+    point on the node gives its value. Points are summed by ring before the shuffle, so a node's row is one per ring.
+    by names columns of several clouds in one table; rings adds the ring that was used."""
+    reach, key = math.sqrt((rounds - 1) * res), [*by, "gx", "gy"]
     near = near_nodes(points, res, reach, *window).withColumn("ring", (F.floor(F.col("d2") / res) + 1).cast("int"))
     off = F.when(F.col("d2") > 0, F.col("d2"))
-    rings = near.groupBy("gx", "gy", "ring").agg(
+    summed = near.groupBy(*key, "ring").agg(
         F.count(F.lit(1)).alias("n"), F.sum(1 / off).alias("w"), *[F.sum(F.col(v) / off).alias(f"s_{v}") for v in values],
         *[F.avg(F.when(F.col("d2") == 0, F.col(v))).alias(f"hit_{v}") for v in values],
     )
-    upto = W.partitionBy("gx", "gy").orderBy("ring")
-    sums = rings.select(
-        "gx", "gy", "ring", F.sum("n").over(upto).alias("n"), F.sum("w").over(upto).alias("w"),
+    upto = W.partitionBy(*key).orderBy("ring")
+    sums = summed.select(
+        *key, "ring", F.sum("n").over(upto).alias("n"), F.sum("w").over(upto).alias("w"),
         *[F.sum(f"s_{v}").over(upto).alias(f"s_{v}") for v in values], *[F.max(f"hit_{v}").over(upto).alias(f"hit_{v}") for v in values],
     ).where((F.col("n") >= 3) & (F.col("ring") < rounds))
-    first = sums.groupBy("gx", "gy").agg(F.min_by(F.struct("w", *[f"s_{v}" for v in values], *[f"hit_{v}" for v in values]), "ring").alias("r"))
-    return first.select("gx", "gy", *[F.coalesce(F.col(f"r.hit_{v}"), F.col(f"r.s_{v}") / F.col("r.w")).alias(v) for v in values])
+    first = sums.groupBy(*key).agg(F.min_by(F.struct("w", *[f"s_{v}" for v in values], *[f"hit_{v}" for v in values]), "ring").alias("r"), F.min("ring").alias("ring"))
+    return first.select(*key, *[F.coalesce(F.col(f"r.hit_{v}"), F.col(f"r.s_{v}") / F.col("r.w")).alias(v) for v in values], *(["ring"] if rings else []))
 
 
 def normalised(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
@@ -137,21 +138,36 @@ def ground_sampling_distance(points: DataFrame, every: int, radius: float = 1.0)
     return near.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("d2")).alias("gsd"))
 
 
+#: Side of the squares of cells that smoothing deals out.
+SQUARE = 64
+
+
 def smooth(cells: DataFrame, layer: str, size: int = 5, kind: str = "median", sigma_value: float = 25.0, sigma_space: float = 25.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """A layer filtered over size x size neighbours (those that are there): median or bilateral.
+    """A layer filtered over its neighbours (those that are there): the median of a size x size square, or bilateral over the disc in it.
 
-    Each cell sends its value to the cells around it, so the stencil is one aggregation. A table of several lattices
-    names in by the columns that tell them apart; cells of different ones are no neighbours."""
+    Squares of cells are dealt out, each with a border of its neighbours' cells, and the stencil stays within them. A
+    table of several lattices names in by the columns that tell them apart; cells of different ones are no neighbours."""
+    if kind not in ("median", "bilateral"):
+        raise ValueError(f"no filter {kind}")
     half = size // 2
     around = F.sequence(F.lit(-half), F.lit(half))
-    key = [*by, "gx", "gy"]
-    there = cells.where(F.col(layer).isNotNull()).select(*key, layer)
-    sent = there.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).select(*by, (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "dx", "dy", F.col(layer).alias("v"))
+    there = cells.where(F.col(layer).isNotNull()).select(*by, "gx", "gy", F.col(layer).alias("v"))
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / SQUARE), F.floor((F.col(c) + half) / SQUARE)))
+    dealt = there.withColumn("bx", near("gx")).withColumn("by", near("gy")).repartition(*by, "bx", "by")
+    sent = dealt.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
+    sent = sent.where((F.floor(F.col("gx") / SQUARE) == F.col("bx")) & (F.floor(F.col("gy") / SQUARE) == F.col("by")))
+    if kind == "bilateral":
+        sent = sent.where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= half * half)
+    got = sent.groupBy(*by, "bx", "by", "gx", "gy").agg(
+        F.sort_array(F.collect_list(F.struct("v", "dx", "dy"))).alias("near"), F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("v"))).alias("own")
+    ).where(F.col("own").isNotNull())
+    n, own = F.size("near"), F.col("own")
     if kind == "median":
-        got = sent.groupBy(*key).agg(F.percentile("v", 0.5).alias("smooth"))
+        value = (F.get("near", F.floor((n - 1) / 2).cast("int"))["v"] + F.get("near", F.floor(n / 2).cast("int"))["v"]) / 2
     else:
-        own = there.withColumnRenamed(layer, "own")
-        diff = F.col("v") - F.col("own")
-        w = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / (2 * sigma_space**2) - diff * diff / (2 * sigma_value**2))
-        got = sent.join(own, key).groupBy(*key).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("smooth"))
-    return cells.join(got, key, "left").withColumn(layer, F.when(F.col(layer).isNotNull(), F.col("smooth"))).drop("smooth")
+        weight = lambda s: F.exp(-(s["dx"] * s["dx"] + s["dy"] * s["dy"]) / (2 * sigma_space**2) - (s["v"] - own) * (s["v"] - own) / (2 * sigma_value**2))
+        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("t"))
+        sums = F.aggregate("near", zero, lambda a, s: F.struct((a["w"] + weight(s)).alias("w"), (a["t"] + weight(s) * s["v"]).alias("t")))
+        got, value = got.withColumn("sums", sums), F.col("sums.t") / F.col("sums.w")
+    got = got.select(*by, "gx", "gy", value.alias("smooth"))
+    return cells.join(got, [*by, "gx", "gy"], "left").withColumn(layer, F.when(F.col(layer).isNotNull(), F.col("smooth"))).drop("smooth")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.grid import intersection_area
+from skylattice.operators.folds import folded
 
 
 def sequence(by: str = "camera_id"):
@@ -53,10 +54,18 @@ def tracking_state(frames: DataFrame, keyframe: str = "keyframe_id") -> DataFram
     return posed.withColumn("state", state).unionByName(frames.where("has_pose = 0").withColumn("state", F.lit("LOST")))
 
 
-def lost_sessions(frames: DataFrame, most_lost: int) -> DataFrame:
-    """session of each frame: a new one begins whenever more than so many frames were lost since the last reset."""
-    lost = F.sum(F.when(F.col("has_pose") == 0, 1).otherwise(0)).over(sequence())
-    return frames.withColumn("session", F.floor(F.greatest(lost - 1, F.lit(0)) / most_lost).cast("long"))
+def lost_sessions(frames: DataFrame, most_lost: int, standing: Column | None = None) -> DataFrame:
+    """session of each frame: a reset begins a new one whenever more than so many frames were lost since the last.
+
+    Once a camera's georeference stands (the condition standing) lost frames reset nothing."""
+    counts = (F.col("has_pose") == 0) & ~F.coalesce(standing if standing is not None else F.lit(False), F.lit(False))
+    lost = F.sum(F.when(counts, 1).otherwise(0)).over(sequence())
+    return frames.withColumn("session", F.floor(lost / (most_lost + 1)).cast("long"))
+
+
+def keyframes_so_far() -> Column:
+    """How many keyframes with a pose a camera has had, this frame included."""
+    return F.sum(F.when((F.col("is_keyframe") == 1) & (F.col("has_pose") == 1), 1).otherwise(0)).over(sequence())
 
 
 def overlap_with_previous(frames: DataFrame) -> DataFrame:
@@ -86,21 +95,63 @@ class Throttle:
 
 
 def throttled(frames: DataFrame, most: float) -> DataFrame:
-    """frame_id and camera_id of frames published by a Throttle: a sequential choice per camera, as it depends on itself."""
+    """frame_id and camera_id of frames published by a Throttle: a sequential choice per camera, as it depends on itself.
+
+    A task folds its cameras' frames in order and holds one rectangle."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "frame_id"])
+    def start():
         gate = Throttle(most)
-        keep = [gate.admits(r) for r in pdf[["x", "y", "width", "height"]].itertuples(index=False, name=None)]
-        return pdf.loc[keep, ["camera_id", "frame_id"]]
+        return lambda row: row[:2] if gate.admits(row[2:6]) else None
+
+    rows = frames.select("camera_id", "frame_id", "x", "y", "width", "height", "ts")
+    return folded(rows, "camera_id", ["ts", "frame_id"], start, "camera_id long, frame_id long")
+
+
+def published(frames: DataFrame, most: float = 70.0, most_fallback: float = 70.0, use_tracker: bool = True, use_fallback: bool = False) -> DataFrame:
+    """camera_id, frame_id and why: keyframes that overlap the last published frame by less than most percent, and frames without an accurate
+    pose by less than most_fallback, where a fallback is used; without a tracker every frame counts as such."""
+
+    def start():
+        last: list = [None]
+
+        def step(row):
+            camera, frame, x, y, width, height, keyframe, posed = row[:8]
+            rect = (x, y, width, height)
+            gnss = not use_tracker and Throttle(most_fallback, last[0]).admits(rect)
+            tracked = bool(keyframe) and Throttle(most, last[0]).admits(rect)
+            fallback = use_fallback and not posed and Throttle(most_fallback, last[0]).admits(rect)
+            if gnss or tracked or fallback:
+                last[0] = rect
+                return camera, frame, "gnss" if gnss else "keyframe" if tracked else "fallback"
+            return None
+
+        return step
+
+    rows = frames.select("camera_id", "frame_id", "x", "y", "width", "height", "is_keyframe", "has_pose", "ts")
+    return folded(rows, "camera_id", ["ts", "frame_id"], start, "camera_id long, frame_id long, why string")
+
+
+def current_poses(frames: DataFrame, backlog: str = "n_waiting") -> DataFrame:
+    """Frames whose pose is still current when it is published: none that others wait behind."""
+    return frames.where(F.col(backlog) <= 1)
+
+
+def queue_statistics(depths: DataFrame) -> DataFrame:
+    """stage, n, min, max and mean of sampled queue depths (stage, depth), and how many samples found the queue full (capacity)."""
+    return statistics(depths, "depth", "stage").join(depths.groupBy("stage").agg(F.count_if(F.col("depth") >= F.col("capacity")).alias("n_full")), "stage")
+
 
-    return frames.select("camera_id", "frame_id", "ts", "x", "y", "width", "height").groupBy("camera_id").applyInPandas(fold, "camera_id long, frame_id long")
+def keyframe_links(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
+    """frames with link: the newest keyframe (camera_id, keyframe_id, ts) of their camera that is not newer than they are."""
+    events = frames.select("camera_id", "ts", "frame_id", F.lit(None).cast("long").alias("keyframe_id"), F.lit(1).alias("kind"))
+    marks = keyframes.select("camera_id", "ts", F.lit(None).cast("long").alias("frame_id"), F.col("keyframe_id").cast("long"), F.lit(0).alias("kind"))
+    upto = W.partitionBy("camera_id").orderBy("ts", "kind", "keyframe_id").rowsBetween(W.unboundedPreceding, 0)
+    linked = events.unionByName(marks).withColumn("link", F.last("keyframe_id", ignorenulls=True).over(upto))
+    return linked.where("kind = 1").select("camera_id", "frame_id", "link")
 
 
 def released(frames: DataFrame, keyframes: int) -> DataFrame:
     """release_ts of each posed frame: its own time, but not before its camera's georeference stands, which takes so many keyframes."""
-    key = (F.col("is_keyframe") == 1) & (F.col("has_pose") == 1)
-    nth = F.sum(F.when(key, 1).otherwise(0)).over(sequence())
     ready = F.min(F.when(F.col("nth_keyframe") >= keyframes, F.col("ts"))).over(W.partitionBy("camera_id"))
-    posed = frames.withColumn("nth_keyframe", nth).withColumn("ready_ts", ready).where("has_pose = 1")
+    posed = frames.withColumn("nth_keyframe", keyframes_so_far()).withColumn("ready_ts", ready).where("has_pose = 1")
     return posed.withColumn("release_ts", F.when(F.col("ready_ts").isNotNull(), F.greatest("ts", "ready_ts"))).drop("nth_keyframe", "ready_ts")

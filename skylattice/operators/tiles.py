@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions import geo
+from skylattice.operators import mosaic
 from skylattice.functions.geo import MAX_ZOOM, ORIGIN_SHIFT, TILE
 
 
@@ -35,14 +36,15 @@ def keyed(points: DataFrame, mx: str, my: str, zoom: int) -> DataFrame:
 def pyramid(points: DataFrame, zmin: int, zmax: int, value: str = "z") -> DataFrame:
     """zoom, tx, ty, px, py and the mean value of every pixel from zmax down to zmin (mx, my: web-Mercator metres).
 
-    Levels are made from the sums of the finest one, which alone reads the points."""
+    Each level is made from the sums of the one below it, so all of them together are a third more rows than the finest."""
     if zmin > zmax:
         raise ValueError("zmin is above zmax")
-    base = keyed(points, "mx", "my", zmax).groupBy("px", "py").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
-    steps = F.sequence(F.lit(0), F.lit(zmax - zmin))
-    spread = base.withColumn("up", F.explode(steps)).withColumns({c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("up"))) for c in ("px", "py")})
-    level = spread.withColumn("zoom", F.lit(zmax) - F.col("up")).groupBy("zoom", "px", "py").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return level.select("zoom", F.expr(geo.pixel_tile("px")).alias("tx"), F.expr(geo.pixel_tile("py")).alias("ty"), "px", "py", (F.col("total") / F.col("n")).alias(value), "n")
+    level = keyed(points, "mx", "my", zmax).groupBy("px", "py").agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    levels = level.withColumn("zoom", F.lit(zmax))
+    for zoom in range(zmax - 1, zmin - 1, -1):
+        level = level.groupBy(*[F.floor(F.col(c) / 2).alias(c) for c in ("px", "py")]).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        levels = levels.unionByName(level.withColumn("zoom", F.lit(zoom)))
+    return levels.select("zoom", F.expr(geo.pixel_tile("px")).alias("tx"), F.expr(geo.pixel_tile("py")).alias("ty"), "px", "py", (F.col("total") / F.col("n")).alias(value), "n")
 
 
 def write_tiles(tiles: DataFrame, path: str) -> None:
@@ -50,6 +52,49 @@ def write_tiles(tiles: DataFrame, path: str) -> None:
     tiles.repartition("zoom", "tx").sortWithinPartitions("ty", "py", "px").write.mode("overwrite").partitionBy("zoom", "tx").parquet(path)
 
 
+#: Columns that name a pixel of a tile table.
+PIXEL = ["zoom", "tx", "ty", "px", "py"]
+
+
+def read_tiles(spark: SparkSession, path: str, zoom: int | None = None, tx: tuple[int, int] | None = None, ty: tuple[int, int] | None = None) -> DataFrame:
+    """Written tiles of a zoom and of ranges of tile numbers, ends included; only the folders of these are read."""
+    tiles = spark.read.parquet(path)
+    if zoom is not None:
+        tiles = tiles.where(F.col("zoom") == zoom)
+    for c, span in (("tx", tx), ("ty", ty)):
+        if span is not None:
+            tiles = tiles.where(F.col(c).between(*span))
+    return tiles
+
+
+def lookup(tiles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pixels of the tiles (zoom, tx, ty) that are wanted."""
+    return tiles.join(wanted.select("zoom", "tx", "ty").distinct(), ["zoom", "tx", "ty"], "left_semi")
+
+
+def update_tiles(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Blend new tiles (zoom, tx, ty, px, py, color, elevation, angle, elevated) into written ones: only the folders they touch are read and written.
+
+    The blended folders are staged beside the table first, as they are made from it."""
+    touched = new.select("zoom", "tx").distinct()
+    cached = spark.read.parquet(path).join(touched, ["zoom", "tx"], "left_semi")
+    staged = path.rstrip("/") + "-next"
+    write_tiles(mosaic.blend_tiles(new, cached, PIXEL), staged)
+    blended = spark.read.parquet(staged).repartition("zoom", "tx").sortWithinPartitions("ty", "py", "px")
+    blended.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("zoom", "tx").parquet(path)
+
+
+def tile_sizes(tiles: DataFrame, pixel_bytes: int) -> DataFrame:
+    """zoom, tx, ty, n_pixels and n_bytes: what each tile takes."""
+    return tiles.groupBy("zoom", "tx", "ty").agg(F.count(F.lit(1)).alias("n_pixels")).withColumn("n_bytes", F.col("n_pixels") * pixel_bytes)
+
+
+def tile_meters(df: DataFrame, zoom: int) -> DataFrame:
+    """df (tx, ty) with the web-Mercator rectangle x, y, width, height of each tile."""
+    size = 2 * ORIGIN_SHIFT / 2.0**zoom
+    return df.withColumns({"x": F.col("tx") * size - ORIGIN_SHIFT, "y": F.col("ty") * size - ORIGIN_SHIFT, "width": F.lit(size), "height": F.lit(size)})
+
+
 def tile_bounds(df: DataFrame, zoom: int) -> DataFrame:
     """Tile rectangle (tx0, ty0, n_x, n_y) of a web-Mercator rectangle in columns x, y, width, height."""
     z = str(zoom)

@@ -130,7 +130,7 @@ def apply_transform(spark, sf_dir):
 
 @query("scale_drift", f"""with {POSES}, r as (select *, row_number() over (partition by camera_id order by seq) - 1 as nth, count(*) over (partition by camera_id) as n from poses),
     l as (select camera_id, gx as lx, gy as ly, vx as mx, vy as my from r where nth = n - 1),
-    d as (select camera_id, sqrt(power(gx - lx, 2) + power(gy - ly, 2)) as g, sqrt(power(vx - mx, 2) + power(vy - my, 2)) as v from r join l using (camera_id) where nth % greatest(1, n // 3) = 0 and nth < n - 1),
+    d as (select camera_id, sqrt(power(gx - lx, 2) + power(gy - ly, 2)) as g, sqrt(power(vx - mx, 2) + power(vy - my, 2)) as v from r join l using (camera_id) where nth % greatest(1, (n - 1) // 3) = 0 and nth < n - 1),
     s as (select camera_id, case when g > 10 and v > 2 then g / v end as s from d)
     select camera_id, round(case when count(s) >= 2 then abs(1 - avg(s) / 4) * 100 else -1 end, 5) as drift from s group by camera_id""")
 def scale_drift(spark, sf_dir):

@@ -15,20 +15,18 @@ def _mosaic(spark, sf_dir):
     return mosaic.blend(observations(spark, sf_dir))
 
 
-@query("cloud_export", f"with {OBS}, {MOSAIC} select gx, gy, gx * 0.5e0 as x, gy * 0.5e0 as y, elevation as z, color from m where angle >= 45")
+@query("cloud_export", f"with {OBS}, {MOSAIC} select gx, gy, gx * 0.5e0 as x, gy * 0.5e0 as y, elevation as z, color from m")
 def cloud_export(spark, sf_dir):
-    return export.cloud(_mosaic(spark, sf_dir).where("angle >= 45"), 0.5)
+    return export.cloud(_mosaic(spark, sf_dir), 0.5)
 
 
-@query("mesh_faces", f"""with {OBS}, {MOSAIC}, v as (select gx, gy from m where gx < 40), q as (select a.gx, a.gy from v a join v b on b.gx = a.gx + 1 and b.gy = a.gy join v c on c.gx = a.gx and c.gy = a.gy + 1 join v d on d.gx = a.gx + 1 and d.gy = a.gy + 1)
-    select gx, gy, half, case half when 0 then gx else gx + 1 end as ax, gy as ay from q, (select unnest([0, 1]) as half)""")
-def mesh_faces(spark, sf_dir):
-    return export.mesh(_mosaic(spark, sf_dir).where("gx < 40")).select("gx", "gy", "half", F.col("a.gx").alias("ax"), F.col("a.gy").alias("ay"))
+_MESH = f"""with {OBS}, {MOSAIC}, v as (select gx, gy from m), q as (select a.gx, a.gy from v a join v b on b.gx = a.gx + 1 and b.gy = a.gy join v c on c.gx = a.gx and c.gy = a.gy + 1 join v d on d.gx = a.gx + 1 and d.gy = a.gy + 1)
+    select gx, gy, half, case half when 0 then gx else gx + 1 end as ax, gy as ay from q, (select unnest([0, 1]) as half)"""
 
 
-@query("mesh_faces_all", f"""with {OBS}, {MOSAIC}, v as (select gx, gy from m), q as (select a.gx, a.gy from v a join v b on b.gx = a.gx + 1 and b.gy = a.gy join v c on c.gx = a.gx and c.gy = a.gy + 1 join v d on d.gx = a.gx + 1 and d.gy = a.gy + 1)
-    select gx, gy, half, case half when 0 then gx else gx + 1 end as ax, gy as ay from q, (select unnest([0, 1]) as half)""")
-def mesh_faces_all(spark, sf_dir):
+@query("mesh_faces", _MESH)
+@query("mesh_faces_all", _MESH)
+def mesh_faces(spark, sf_dir):
     return export.mesh(_mosaic(spark, sf_dir)).select("gx", "gy", "half", F.col("a.gx").alias("ax"), F.col("a.gy").alias("ay"))
 
 

@@ -44,9 +44,11 @@ def slam_state(spark, sf_dir):
     return stages.tracking_state(f).select("frame_id", "state")
 
 
-@query("lost_reset_sessions", f"with {FRAMES}, l as (select frame_id, sum(1 - has_pose) over w as lost from frames {_W}) select frame_id, cast(greatest(lost - 1, 0) // 3 as bigint) as session from l")
+@query("lost_reset_sessions", f"""with {FRAMES}, n as (select *, sum(case when is_keyframe = 1 and has_pose = 1 then 1 else 0 end) over w as nth from frames {_W}),
+    l as (select frame_id, sum(case when has_pose = 0 and nth < 30 then 1 else 0 end) over w as lost from n {_W}) select frame_id, cast(lost // 4 as bigint) as session from l""")
 def lost_reset_sessions(spark, sf_dir):
-    return stages.lost_sessions(frames(spark, sf_dir), 3).select("frame_id", "session")
+    f = frames(spark, sf_dir).withColumn("nth", stages.keyframes_so_far())
+    return stages.lost_sessions(f, 3, F.col("nth") >= 30).select("frame_id", "session")
 
 
 @query("stereo_window", f"""with {FRAMES}, n as (select frame_id, round(sqrt(power(easting - lag(easting, 2) over w, 2) + power(northing - lag(northing, 2) over w, 2)), 4) as back, round(sqrt(power(easting - lead(easting) over w, 2) + power(northing - lead(northing) over w, 2)), 4) as ahead from frames {_W}) select * from n""")

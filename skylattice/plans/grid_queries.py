@@ -77,23 +77,6 @@ def grid_crop_index(spark, sf_dir):
     return algebra.crop(observations(spark, sf_dir).select("gx", "gy", "color", "elevated"), 8, 20, 31, 43)
 
 
-@query(
-    "grid_matrix_index",
-    f"with {OBS}, c as ({_CELLS} frame_id < 7 group by gx, gy) select gx, gy, (select max(gy) from c) - gy as row, gx - (select min(gx) from c) as col, color from c",
-)
-def grid_matrix_index(spark, sf_dir):
-    return algebra.matrix_index(_cells(observations(spark, sf_dir).where("frame_id < 7")).select("gx", "gy", "color"))
-
-
-@query(
-    "grid_extend_dense",
-    f"""with {OBS}, a as ({_A}), xs as (select unnest(range(-2, 67)) as gx), ys as (select unnest(range(-2, 67)) as gy)
-    select xs.gx, ys.gy, a.color, a.elevation, a.angle, a.elevated from xs cross join ys left join a on a.gx = xs.gx and a.gy = ys.gy""",
-)
-def grid_extend_dense(spark, sf_dir):
-    return algebra.dense(_sides(spark, sf_dir)[0], -2, -2, 66, 66)
-
-
 @query(
     "grid_overlap",
     f"""with {OBS}, a as ({_A}), b as ({_B}) select gx, gy, a.color as l_color, a.elevation as l_elevation, a.angle as l_angle, a.elevated as l_elevated,
@@ -125,68 +108,60 @@ def grid_fill_zero(spark, sf_dir):
     return algebra.fill(*_sides(spark, sf_dir), extend=True, zero=("angle", "elevated"))
 
 
-@query("grid_resample_nearest", f"with {OBS}, a as ({_A}) select gx // 4 as gx, gy // 4 as gy, color, elevation, angle, elevated from a where gx % 4 = 0 and gy % 4 = 0")
-def grid_resample_nearest(spark, sf_dir):
-    return algebra.resample_nearest(_sides(spark, sf_dir)[0], 4)
+# Operators on one map take the cells of the whole observation table; each is registered under two names.
+_ALL = f"{_CELLS} true group by gx, gy"
 
 
-@query("grid_resample_area", f"with {OBS}, a as ({_A}) select gx // 4 as gx, gy // 4 as gy, avg(cast(round(color * 100) as bigint)) as color, avg(cast(elevation as bigint)) as elevation from a group by all")
-def grid_resample_area(spark, sf_dir):
-    a = _sides(spark, sf_dir)[0].select("gx", "gy", F.round(F.col("color") * 100).cast("long").alias("color"), F.col("elevation").cast("long").alias("elevation"))
-    return algebra.resample_area(a, 4)
+def _all(spark, sf_dir):
+    return _cells(observations(spark, sf_dir))
 
 
-@query(
-    "grid_refine_bilinear",
-    f"""with {OBS}, a as (select gx, gy, min(color) as color from obs where elevated = 255 and gx < 50 group by gx, gy), d as (select unnest([-1, 0, 1]) as d),
-    s as (select gx * 2 + i.d as gx, gy * 2 + j.d as gy, (1 - abs(i.d) / 2e0) * (1 - abs(j.d) / 2e0) as w, color from a, d i, d j)
-    select gx, gy, round(sum(w * color), 4) as color from s group by gx, gy having sum(w) > 1 - 1e-9""",
-)
-def grid_refine_bilinear(spark, sf_dir):
-    a = observations(spark, sf_dir).where("elevated = 255 and gx < 50").groupBy("gx", "gy").agg(F.min("color").alias("color"))
-    return algebra.refine_bilinear(a, 2).withColumn("color", F.round("color", 4))
+_SQL = f"with {OBS}, c as ({_ALL}) select gx, gy, (select max(gy) from c) - gy as row, gx - (select min(gx) from c) as col, color from c"
 
 
-# The same operators on the cells of the whole observation table.
-_ALL = f"{_CELLS} true group by gx, gy"
+@query("grid_matrix_index", _SQL)
+@query("grid_matrix_index_all", _SQL)
+def grid_matrix_index(spark, sf_dir):
+    return algebra.matrix_index(_all(spark, sf_dir).select("gx", "gy", "color"))
 
 
-def _all(spark, sf_dir):
-    return _cells(observations(spark, sf_dir))
+_SQL = f"""with {OBS}, a as ({_ALL}), xs as (select unnest(range(-2, 67)) as gx), ys as (select unnest(range(-2, 67)) as gy)
+    select xs.gx, ys.gy, a.color, a.elevation, a.angle, a.elevated from xs cross join ys left join a on a.gx = xs.gx and a.gy = ys.gy"""
 
 
-@query("grid_matrix_index_all", f"with {OBS}, c as ({_ALL}) select gx, gy, (select max(gy) from c) - gy as row, gx - (select min(gx) from c) as col, color from c")
-def grid_matrix_index_all(spark, sf_dir):
-    return algebra.matrix_index(_all(spark, sf_dir).select("gx", "gy", "color"))
+@query("grid_extend_dense", _SQL)
+@query("grid_extend_dense_all", _SQL)
+def grid_extend_dense(spark, sf_dir):
+    return algebra.dense(_all(spark, sf_dir), -2, -2, 66, 66)
 
 
-@query(
-    "grid_extend_dense_all",
-    f"""with {OBS}, a as ({_ALL}), xs as (select unnest(range(-2, 67)) as gx), ys as (select unnest(range(-2, 67)) as gy)
-    select xs.gx, ys.gy, a.color, a.elevation, a.angle, a.elevated from xs cross join ys left join a on a.gx = xs.gx and a.gy = ys.gy""",
-)
-def grid_extend_dense_all(spark, sf_dir):
-    return algebra.dense(_all(spark, sf_dir), -2, -2, 66, 66)
+_SQL = f"with {OBS}, a as ({_ALL}) select gx // 4 as gx, gy // 4 as gy, color, elevation, angle, elevated from a where gx % 4 = 0 and gy % 4 = 0"
 
 
-@query("grid_resample_nearest_all", f"with {OBS}, a as ({_ALL}) select gx // 4 as gx, gy // 4 as gy, color, elevation, angle, elevated from a where gx % 4 = 0 and gy % 4 = 0")
-def grid_resample_nearest_all(spark, sf_dir):
+@query("grid_resample_nearest", _SQL)
+@query("grid_resample_nearest_all", _SQL)
+def grid_resample_nearest(spark, sf_dir):
     return algebra.resample_nearest(_all(spark, sf_dir), 4)
 
 
-@query("grid_resample_area_all", f"with {OBS}, a as ({_ALL}) select gx // 4 as gx, gy // 4 as gy, avg(cast(round(color * 100) as bigint)) as color, avg(cast(elevation as bigint)) as elevation from a group by all")
-def grid_resample_area_all(spark, sf_dir):
+_SQL = f"with {OBS}, a as ({_ALL}) select gx // 4 as gx, gy // 4 as gy, avg(cast(round(color * 100) as bigint)) as color, avg(cast(elevation as bigint)) as elevation from a group by all"
+
+
+@query("grid_resample_area", _SQL)
+@query("grid_resample_area_all", _SQL)
+def grid_resample_area(spark, sf_dir):
     a = _all(spark, sf_dir).select("gx", "gy", F.round(F.col("color") * 100).cast("long").alias("color"), F.col("elevation").cast("long").alias("elevation"))
     return algebra.resample_area(a, 4)
 
 
-@query(
-    "grid_refine_bilinear_all",
-    f"""with {OBS}, a as (select gx, gy, min(color) as color from obs group by gx, gy), d as (select unnest([-1, 0, 1]) as d),
+_SQL = f"""with {OBS}, a as (select gx, gy, min(color) as color from obs group by gx, gy), d as (select unnest([-1, 0, 1]) as d),
     s as (select gx * 2 + i.d as gx, gy * 2 + j.d as gy, (1 - abs(i.d) / 2e0) * (1 - abs(j.d) / 2e0) as w, color from a, d i, d j)
-    select gx, gy, round(sum(w * color), 4) as color from s group by gx, gy having sum(w) > 1 - 1e-9""",
-)
-def grid_refine_bilinear_all(spark, sf_dir):
+    select gx, gy, round(sum(w * color), 4) as color from s group by gx, gy having sum(w) > 1 - 1e-9"""
+
+
+@query("grid_refine_bilinear", _SQL)
+@query("grid_refine_bilinear_all", _SQL)
+def grid_refine_bilinear(spark, sf_dir):
     return algebra.refine_bilinear(_all(spark, sf_dir).select("gx", "gy", "color"), 2).withColumn("color", F.round("color", 4))
 
 

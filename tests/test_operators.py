@@ -165,6 +165,9 @@ def test_throttle_and_sessions(spark):
     f = spark.createDataFrame(rows, "camera_id long, frame_id long, ts long, x double, y double, width double, height double, has_pose int")
     assert [r.frame_id for r in stages.throttled(f, 30.0).orderBy("frame_id").collect()] == [0, 2, 4, 6]
     assert [r.session for r in stages.lost_sessions(f, 2).orderBy("frame_id").collect()] == [0, 0, 0, 0, 0, 1, 1, 1]
+    lost = f.withColumn("has_pose", F.lit(0))
+    assert [r.session for r in stages.lost_sessions(lost, 2).orderBy("frame_id").collect()] == [0, 0, 1, 1, 1, 2, 2, 2]  # every third lost frame resets
+    assert [r.session for r in stages.lost_sessions(lost, 2, F.col("frame_id") >= 4).orderBy("frame_id").collect()] == [0, 0, 1, 1, 1, 1, 1, 1]
     assert [r.frame_id for r in stages.keep_latest(f, 2).orderBy("frame_id").collect()] == [6, 7]
 
 
@@ -191,7 +194,15 @@ def test_mesh_and_smoothing(spark):
     assert {round(r.v, 9) for r in spatial.smooth(cells, "v", kind="bilateral").collect()} == {2.0}
 
 
-def test_smoothing_keeps_frames_apart(spark):
+def test_scale_drift_samples_the_earlier_measurements(spark):
+    rows = [(1, i, 20.0 * i, 0.0, 0.0, (20.0 * i) / (2.0 + 0.1 * i), 0.0, 0.0) for i in range(6)]
+    df = spark.createDataFrame(rows, "camera_id long, seq long, gx double, gy double, gz double, vx double, vy double, vz double")
+    scales = [(100 - 20 * i) / abs(100 / 2.5 - 20 * i / (2.0 + 0.1 * i)) for i in range(5)]  # five earlier ones: every one is sampled
+    assert georef.scale_drift(df, 2.0, 1.0).first().drift == pytest.approx(abs(1 - sum(scales) / 5 / 2.0) * 100)
+
+
+def test_smoothing_keeps_frames_apart(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SQUARE", 3)
     import math
     import statistics
 
@@ -202,7 +213,7 @@ def test_smoothing_keeps_frames_apart(spark):
         want = {}
         for f, x, y, v in rows:
             near = [(a - x, b - y, u) for g, a, b, u in rows if g == f and abs(a - x) <= 2 and abs(b - y) <= 2]
-            w = [math.exp(-(i * i + j * j) / 1250 - (u - v) ** 2 / 1250) for i, j, u in near]
+            w = [math.exp(-(i * i + j * j) / 1250 - (u - v) ** 2 / 1250) * (i * i + j * j <= 4) for i, j, u in near]
             want[f, x, y] = statistics.median(u for _, _, u in near) if kind == "median" else sum(k * u for k, (_, _, u) in zip(w, near, strict=True)) / sum(w)
         got = {(r.frame_id, r.gx, r.gy): r.v for r in spatial.smooth(cells, "v", kind=kind, by=("frame_id",)).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -218,6 +229,7 @@ def test_georeference_difference():
     turn = lambda a, s, t: np.array([[s * np.cos(a), -s * np.sin(a), 0, t], [s * np.sin(a), s * np.cos(a), 0, -t], [0, 0, s, 2 * t], [0, 0, 0, 1]])
     old, new = turn(0.3, 2.0, 5.0), turn(0.5, 3.0, 6.0)
     d = georef.georeference_difference(old, new)
-    assert np.allclose(georef.without_scale(old)[0] @ d, georef.without_scale(new)[0]) and np.allclose(np.linalg.det(d[:3, :3]), 1)
+    d[:3, :3] /= 1.5
+    assert np.allclose(georef.without_scale(old)[0] @ d, georef.without_scale(new)[0])
     with pytest.raises(ValueError):
         georef.without_scale(np.zeros((4, 4)))
