@@ -73,6 +73,10 @@ class Pinhole:
         d = F.when(depth > 0, depth)
         return (u - self.cx) / self.fx * d, (v - self.cy) / self.fy * d, d
 
+    def undistorted_corners(self) -> list[tuple[Column, Column]]:
+        """Ideal pixels of the corners of the image as the lens shows it."""
+        return [self.undistorted(F.lit(u), F.lit(v)) for u, v in self.corners()]
+
     def corners(self) -> list[tuple[float, float]]:
         return [(0.0, 0.0), (0.0, float(self.height)), (float(self.width), float(self.height)), (float(self.width), 0.0)]
 
@@ -102,7 +106,7 @@ def projection_matrix(camera: Pinhole, r: list[list[Column]], t: tuple) -> list[
     return [[sum((k[i][m] * ext[m][j] for m in range(3) if k[i][m]), F.lit(0.0)) for j in range(4)] for i in range(3)]
 
 
-def plane_hit(r: list[list[Column]], t: tuple, camera: Pinhole, u: float, v: float, z: Column) -> tuple[Column, Column]:
+def plane_hit(r: list[list[Column]], t: tuple, camera: Pinhole, u: float | Column, v: float | Column, z: Column) -> tuple[Column, Column]:
     """Where the ray of a pixel meets the horizontal plane at height z."""
     d = ((u - camera.cx) / camera.fx, (v - camera.cy) / camera.fy, 1.0)
     w = [r[i][0] * d[0] + r[i][1] * d[1] + r[i][2] * d[2] for i in range(3)]
@@ -120,3 +124,8 @@ def elevation_angle(eye: tuple, p: tuple) -> Column:
     flat = F.sqrt(v[0] * v[0] + v[1] * v[1])
     full = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
     return F.acos(flat / F.when(full > 0, full)) * 180.0 / COARSE_PI
+
+
+def frame_pose(posed: Column, visual: tuple, default: tuple) -> tuple[Column, ...]:
+    """The pose that a frame is used with: the visual one where it is known, else the one of its geotag."""
+    return tuple(F.when(posed, v).otherwise(d) for v, d in zip(visual, default, strict=True))

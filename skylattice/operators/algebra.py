@@ -55,22 +55,25 @@ def _pick(a: DataFrame, b: DataFrame, rule) -> list[Column]:
     return out
 
 
-def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Cells that both maps have: l_ and r_ columns of the layers."""
+def overlap(a: DataFrame, b: DataFrame, res: tuple[float, float] | None = None) -> DataFrame:
+    """Cells that both maps have: l_ and r_ columns of the layers; maps of two resolutions (res) are refused."""
+    require_same_resolution(*res or (1.0, 1.0))
     left = a.select(*KEY, *[F.col(c).alias(f"l_{c}") for c in layers(a)])
     return left.join(b.select(*KEY, *[F.col(c).alias(f"r_{c}") for c in layers(b)]), KEY)
 
 
-def upsert(a: DataFrame, b: DataFrame, extend: bool = False) -> DataFrame:
-    """b's layers written over a's, empty values too; extend keeps the cells that only b has."""
+def upsert(a: DataFrame, b: DataFrame, extend: bool = False, res: tuple[float, float] | None = None) -> DataFrame:
+    """b's layers written over a's, empty values too; extend keeps the cells that only b has. Maps of two resolutions (res) are refused."""
+    require_same_resolution(*res or (1.0, 1.0))
     joined = _sides(a, b, "full_outer" if extend else "left")
     def rule(c, x, y):
         return F.when(F.col("r").isNotNull(), y).otherwise(x) if c in b.columns else x
     return joined.select(*KEY, *_pick(a, b, rule))
 
 
-def fill(a: DataFrame, b: DataFrame, extend: bool = False, zero: tuple[str, ...] = ()) -> DataFrame:
-    """a's layers, empty ones filled from b; layers in zero count 0 as empty and take values above 0."""
+def fill(a: DataFrame, b: DataFrame, extend: bool = False, zero: tuple[str, ...] = (), res: tuple[float, float] | None = None) -> DataFrame:
+    """a's layers, empty ones filled from b; layers in zero count 0 as empty and take values above 0. Maps of two resolutions (res) are refused."""
+    require_same_resolution(*res or (1.0, 1.0))
     def rule(c, x, y):
         if c in zero:
             return F.when((F.coalesce(x, F.lit(0)) == 0) & (y > 0), y).otherwise(x)
@@ -142,3 +145,25 @@ def jet(level: Column) -> list[Column]:
 def normal_colors(nx: Column, ny: Column, nz: Column) -> list[Column]:
     """Red, green and blue (0..255) of the components -1..1 of a unit vector."""
     return [F.floor((c + 1) * 127.5 + 0.5).cast("int") for c in (nx, ny, nz)]
+
+
+def resample(cells: DataFrame, from_res: float, to_res: float, methods: dict[str, str]) -> DataFrame:
+    """Every layer at another resolution by its own method: nearest, or linear between the four cells around."""
+    if unknown := set(methods.values()) - {"nearest", "linear"}:
+        raise ValueError(f"no methods {sorted(unknown)}")
+    plain = [c for c, m in methods.items() if m == "nearest"]
+    out = resample_to(cells, from_res, to_res, *plain)
+    smooth = [c for c, m in methods.items() if m == "linear"]
+    if smooth:
+        out = out.join(_linear(cells, from_res / to_res, smooth), KEY, "left")
+    return out
+
+
+def _linear(cells: DataFrame, ratio: float, names: list[str]) -> DataFrame:
+    """Layers between the four cells around each new one; of those that are empty the others' weights make up."""
+    reach = lambda c: F.explode(F.sequence(F.ceil((F.col(c) - 1) * ratio), F.floor((F.col(c) + 1) * ratio)))
+    sent = cells.select(F.col("gx").alias("ox"), F.col("gy").alias("oy"), *names).withColumn("gx", reach("ox")).withColumn("gy", reach("oy"))
+    near = lambda c, o: F.greatest(F.lit(0.0), 1 - F.abs(F.col(c) / ratio - F.col(o)))
+    w = near("gx", "ox") * near("gy", "oy")
+    part = lambda c: F.sum(F.when(F.col(c).isNotNull(), w * F.col(c))) / F.sum(F.when(F.col(c).isNotNull() & (w > 0), w))
+    return sent.groupBy(*KEY).agg(*[part(c).alias(c) for c in names])

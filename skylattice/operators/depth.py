@@ -92,8 +92,11 @@ def consistent(depth: DataFrame, **how) -> DataFrame:
     return voted.join(stays, "frame_id", "left_semi").select("frame_id", "r", "c", F.when(F.col("kept"), F.col("depth")).alias("depth"))
 
 
-def scene_depth(points: DataFrame, r2: tuple[float, float, float], tz: float, *by: str) -> DataFrame:
-    """min, lower median and max of the points' depth in a camera: third row of its rotation, and translation."""
+def scene_depth(points: DataFrame, r2: tuple[float, float, float], tz: float, *by: str, most: int | None = None, order: str = "point_id") -> DataFrame:
+    """min, lower median and max of the points' depth in a camera: third row of its rotation, and translation; of the first most points by order, if given."""
+    if most is not None:
+        nth = F.row_number().over(W.partitionBy(*by).orderBy(order))
+        points = points.withColumn("nth", nth).where(F.col("nth") <= most)
     d = points.withColumn("d", r2[0] * F.col("x") + r2[1] * F.col("y") + r2[2] * F.col("z") + tz)
     return d.groupBy(*by).agg(F.min("d").alias("min_depth"), F.expr("percentile_disc(0.5) within group (order by d)").alias("median_depth"), F.max("d").alias("max_depth"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,75 @@ def mesh(cells: DataFrame) -> DataFrame:
     return squares.select("gx", "gy", F.explode(faces).alias("f")).select("gx", "gy", "f.*")
 
 
+def mesh_over_mask(cells: DataFrame) -> DataFrame:
+    """mesh, and one triangle (half 2) for every lattice square that lacks one corner: the edge of a mask is followed, holes stay open."""
+    corner = lambda dx, dy: F.struct((F.col("gx") - dx).alias("gx"), (F.col("gy") - dy).alias("gy"), F.lit(2 * dy + dx).alias("k"))
+    each = cells.select(F.explode(F.array(*[corner(dx, dy) for dx in (0, 1) for dy in (0, 1)])).alias("s"))
+    squares = each.groupBy("s.gx", "s.gy").agg(F.sort_array(F.collect_set("s.k")).alias("k")).where(F.size("k") == 3)
+    at = lambda i: F.struct((F.col("gx") + F.col("k")[i] % 2).alias("gx"), (F.col("gy") + F.floor(F.col("k")[i] / 2)).alias("gy"))
+    turn = F.col("k")[1] == 2  # corners 0 2 3 and 1 2 3 run the other way round than 0 1 2 and 0 1 3
+    b, c = F.when(turn, at(2)).otherwise(at(1)), F.when(turn, at(1)).otherwise(at(2))
+    return mesh(cells).unionByName(squares.select("gx", "gy", F.lit(2).alias("half"), at(0).alias("a"), b.alias("b"), c.alias("c")))
+
+
+def indexed_mesh(cells: DataFrame, faces: DataFrame, res: float, side: int = 256, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of meshes by squares of lattice cells: vertices mesh, id, x, y, z and the columns to keep, faces mesh, a, b, c by vertex id.
+
+    Ids count from 0 within a mesh, so each mesh is a file of its own and no numbering spans the whole table."""
+    name = F.concat_ws("_", F.floor(F.col("gx") / side).cast("string"), F.floor(F.col("gy") / side).cast("string"))
+    own = faces.select(name.alias("mesh"), "gx", "gy", "half", "a", "b", "c")
+    used = own.select("mesh", F.explode(F.array("a", "b", "c")).alias("v")).select("mesh", "v.gx", "v.gy").distinct()
+    placed = used.join(cells.select("gx", "gy", "elevation", *keep), ["gx", "gy"])
+    nth = (F.row_number().over(W.partitionBy("mesh").orderBy("gx", "gy")) - 1).cast("long")
+    vertices = placed.select("mesh", nth.alias("id"), "gx", "gy", (F.col("gx") * res).alias("x"), (F.col("gy") * res).alias("y"), F.col("elevation").alias("z"), *keep)
+    found = own
+    for k in ("a", "b", "c"):
+        ids = vertices.select("mesh", F.struct("gx", "gy").alias(k), F.col("id").alias(f"id_{k}"))
+        found = found.join(ids, ["mesh", k])
+    return vertices.drop("gx", "gy"), found.select("mesh", *[F.col(f"id_{k}").alias(k) for k in ("a", "b", "c")])
+
+
+def mesh_rows(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """Vertices and faces in one table (kind 0 and 1), as the data source plymesh writes them: a file for each mesh."""
+    extra = [c for c in vertices.columns if c not in ("mesh", "id", "x", "y", "z")]
+    points = vertices.select("mesh", F.lit(0).alias("kind"), "id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z", *extra)], *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "c")])
+    sides = faces.select("mesh", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "z", *extra)], "a", "b", "c")
+    return points.unionByName(sides).repartition("mesh").sortWithinPartitions("mesh", "kind", "id", "a", "b", "c")
+
+
+def depth_sidecars(depth: DataFrame, frames: DataFrame) -> DataFrame:
+    """frame_id, least and greatest depth and the pose that a scaled depth map needs beside it."""
+    span = depth.groupBy("frame_id").agg(F.min("depth").alias("min"), F.max("depth").alias("max"))
+    return span.join(frames.select("frame_id", F.struct("easting", "northing", "altitude", "heading").alias("pose")), "frame_id")
+
+
+def layer_sidecars(cells: DataFrame, res: float, zone: int, band: str, *by: str) -> DataFrame:
+    """Rectangle, resolution, zone and band of the raster that the cells of each group span."""
+    m = raster_metadata(cells, res, *by)
+    low = F.col("y_top") - (F.col("rows") - 1) * res
+    roi = F.struct(F.col("x0").alias("x"), low.alias("y"), ((F.col("cols") - 1) * res).alias("width"), ((F.col("rows") - 1) * res).alias("height"))
+    return m.select(*by, roi.alias("roi"), F.lit(res).alias("resolution"), F.lit(zone).alias("zone"), F.lit(band).alias("band"), "rows", "cols")
+
+
+def scene_lines(views: DataFrame, frames: DataFrame) -> DataFrame:
+    """value: a scene as JSON lines, a line a camera and a line a point with the frames that see it; positions are relative to the least corner of the cameras."""
+    origin = frames.agg(F.min("easting").alias("ox"), F.min("northing").alias("oy"))
+    cameras = frames.crossJoin(F.broadcast(origin)).select(
+        F.to_json(F.struct(F.lit("camera").alias("kind"), "frame_id", (F.col("easting") - F.col("ox")).alias("x"), (F.col("northing") - F.col("oy")).alias("y"), F.col("altitude").alias("z"), "heading")).alias("value")
+    )  # one row of origin
+    moved = views.crossJoin(F.broadcast(origin))
+    points = moved.select(F.to_json(F.struct(F.lit("point").alias("kind"), "point_id", (F.col("x") - F.col("ox")).alias("x"), (F.col("y") - F.col("oy")).alias("y"), "z", "views")).alias("value"))
+    return cameras.unionByName(points)
+
+
+def save_enabled(tables: dict[str, DataFrame], settings, path: str) -> list[str]:
+    """Write each table whose setting save_<name> is on, to path/<name>; the names written."""
+    on = [n for n in tables if getattr(settings, f"save_{n}", False)]
+    for n in on:
+        tables[n].write.mode("overwrite").parquet(f"{path}/{n}")
+    return on
+
+
 def overviews(cells: DataFrame, factors: tuple[int, ...]) -> DataFrame:
     """Nearest-sample reductions of a raster by each factor."""
     each = cells.withColumn("factor", F.explode(F.array(*[F.lit(f) for f in factors])))

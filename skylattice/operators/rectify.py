@@ -12,10 +12,10 @@ from skylattice.functions import camera as C
 _EYE = ("easting", "northing", "altitude")
 
 
-def footprints(frames: DataFrame, camera: C.Pinhole, ground: float = 0.0) -> DataFrame:
-    """frames with x, y, width, height: the bounding box of their image on the plane at a height."""
+def footprints(frames: DataFrame, camera: C.Pinhole, ground: float = 0.0, distorted: bool = False) -> DataFrame:
+    """frames with x, y, width, height: the bounding box of their image on the plane at a height; distorted takes the corners that the lens shows."""
     r, t = C.heading_rotation(F.col("heading")), tuple(F.col(c) for c in _EYE)
-    hits = [C.plane_hit(r, t, camera, u, v, F.lit(ground)) for u, v in camera.corners()]
+    hits = [C.plane_hit(r, t, camera, u, v, F.lit(ground)) for u, v in (camera.undistorted_corners() if distorted else camera.corners())]
     xs, ys = zip(*hits, strict=True)
     low = lambda c: reduce(lambda a, b: F.least(a, b), c)
     high = lambda c: reduce(lambda a, b: F.greatest(a, b), c)

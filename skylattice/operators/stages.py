@@ -34,10 +34,21 @@ def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
 
 
-def frame_rates(frames: DataFrame, period: str = "10 seconds") -> DataFrame:
-    """Frames a second of each camera and period."""
+def frame_rates(frames: DataFrame, period: str = "10 seconds", *by: str) -> DataFrame:
+    """Frames a second of each camera and period; by names further columns, such as whether frames came in or went out."""
     seconds = pd.Timedelta(period).total_seconds()
-    return frames.groupBy("camera_id", F.window("ts", period).alias("w")).agg((F.count(F.lit(1)) / seconds).alias("fps")).select("camera_id", F.col("w.start").alias("start"), "fps")
+    counted = frames.groupBy("camera_id", *by, F.window("ts", period).alias("w")).agg((F.count(F.lit(1)) / seconds).alias("fps"))
+    return counted.select("camera_id", *by, F.col("w.start").alias("start"), "fps")
+
+
+def frame_counters(frames: DataFrame, admitted: Column, size: int = 5) -> DataFrame:
+    """n_total, n_bad (not admitted), n_dropped (admitted, but pushed out of a queue of that size by newer ones) and n_processed of each camera.
+
+    A frame's n_newer counts the frames that came in before the stage took it."""
+    dropped = admitted & (F.col("n_newer") >= size)
+    return frames.groupBy("camera_id").agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(~admitted).alias("n_bad"), F.count_if(dropped).alias("n_dropped"), F.count_if(admitted & ~dropped).alias("n_processed")
+    )
 
 
 def every_nth(frames: DataFrame, n: int) -> DataFrame:

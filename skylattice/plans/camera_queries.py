@@ -22,8 +22,10 @@ def heading_rotation(spark, sf_dir):
 
 @query("default_pose", f"with {FRAMES} select frame_id, case when has_pose = 1 then easting + 0.5e0 else easting end as px, case when has_pose = 1 then northing - 0.5e0 else northing end as py, altitude as pz from frames")
 def default_pose(spark, sf_dir):
-    posed = F.col("has_pose") == 1
-    return frames(spark, sf_dir).select("frame_id", F.when(posed, F.col("easting") + 0.5).otherwise(F.col("easting")).alias("px"), F.when(posed, F.col("northing") - 0.5).otherwise(F.col("northing")).alias("py"), F.col("altitude").alias("pz"))
+    at = (F.col("easting"), F.col("northing"), F.col("altitude"))
+    visual = (F.col("easting") + 0.5, F.col("northing") - 0.5, F.col("altitude"))
+    pose = C.frame_pose(F.col("has_pose") == 1, visual, at)
+    return frames(spark, sf_dir).select("frame_id", *[p.alias(c) for p, c in zip(pose, ("px", "py", "pz"), strict=True)])
 
 
 @query("projection_matrix", f"""with {FRAMES}, f as ({_CS}) select frame_id, round(1200 * c, 4) + 0 as p00, round(1200 * s, 4) + 0 as p01, round(-600e0, 4) as p02,

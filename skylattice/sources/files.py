@@ -1,4 +1,4 @@
-"""Data sources for raster and mesh files: "gridbin" (read, write) and "ply" (write).
+"""Data sources for raster and mesh files: "gridbin" (read, write), "ply", "plymesh" and "matrix" (write).
 
 Register with register(spark). A task reads whole files or writes its own file, named by its
 partition, into a folder that all executors share.
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from skylattice.sources.images import DEPTHS
+from skylattice.sources.images import DEPTHS, matrix_bytes
 
 
 def grid_bytes(roi: tuple[float, float, float, float], res: float, layers: dict[str, tuple[np.ndarray, int]]) -> bytes:
@@ -130,14 +130,95 @@ class _GridWriter(_Writer):
 
 
 class _PlyWriter(_Writer):
-    """Points x, y, z and, where there are such columns, nx, ny, nz become the vertices of a binary PLY file."""
+    """Points x, y, z and, where there are such columns, nx, ny, nz and red, green, blue become the vertices of a binary PLY file."""
 
     suffix = ".ply"
 
     def encode(self, rows: list) -> bytes:
         names = [c for c in ("x", "y", "z", "nx", "ny", "nz") if c in rows[0].asDict()]
-        head = "ply\nformat binary_little_endian 1.0\n" + f"element vertex {len(rows)}\n" + "".join(f"property float {c}\n" for c in names) + "end_header\n"
-        return head.encode() + np.array([[r[c] for c in names] for r in rows], "<f4").tobytes()
+        colors = [c for c in ("red", "green", "blue") if c in rows[0].asDict()]
+        head = "ply\nformat binary_little_endian 1.0\n" + f"element vertex {len(rows)}\n" + "".join(f"property float {c}\n" for c in names) + "".join(f"property uchar {c}\n" for c in colors) + "end_header\n"
+        kind = np.dtype([(c, "<f4") for c in names] + [(c, "u1") for c in colors])
+        return head.encode() + np.array([tuple(r[c] for c in names) + tuple(int(r[c]) for c in colors) for r in rows], kind).tobytes()
+
+
+class _NamedWriter(_Writer):
+    """Rows sorted by a name become a file for each name; only one name's rows are held."""
+
+    key = ""
+
+    def write(self, iterator):
+        from itertools import groupby
+
+        from pyspark import TaskContext
+
+        message = WriterCommitMessage()
+        message.path, message.names = "", []
+        for name, rows in groupby(iterator, lambda r: r[self.key]):
+            os.makedirs(self.path, exist_ok=True)
+            file = f"{name}{self.suffix}"
+            temporary = os.path.join(self.path, f".{file}.{TaskContext.get().taskAttemptId()}")
+            with open(temporary, "wb") as f:
+                f.write(self.encode(list(rows)))
+            os.replace(temporary, os.path.join(self.path, file))
+            message.names.append(file)
+        return message
+
+    def commit(self, messages):
+        pass
+
+    def abort(self, messages):
+        for m in messages:
+            for n in m.names if m else []:
+                os.remove(os.path.join(self.path, n))
+
+
+class _MeshWriter(_NamedWriter):
+    """Vertices (kind 0: x, y, z and, where they are, red, green, blue, nx, ny, nz) and faces (kind 1: a, b, c) of a mesh become a binary PLY file."""
+
+    suffix, key = ".ply", "mesh"
+
+    def encode(self, rows: list) -> bytes:
+        there = rows[0].asDict()
+        names = [c for c in ("x", "y", "z", "nx", "ny", "nz") if c in there]
+        colors = [c for c in ("red", "green", "blue") if c in there]
+        vertices, faces = [r for r in rows if r["kind"] == 0], [r for r in rows if r["kind"] == 1]
+        head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(vertices)}", *(f"property float {c}" for c in names), *(f"property uchar {c}" for c in colors)]
+        head += [f"element face {len(faces)}", "property list uchar int vertex_indices", "end_header", ""]
+        kind = np.dtype([(c, "<f4") for c in names] + [(c, "u1") for c in colors])
+        points = np.array([tuple(r[c] for c in names) + tuple(int(r[c]) for c in colors) for r in vertices], kind)
+        sides = np.array([(3, r["a"], r["b"], r["c"]) for r in faces], np.dtype([("n", "u1"), ("a", "<i4"), ("b", "<i4"), ("c", "<i4")]))
+        return "\n".join(head).encode() + points.tobytes() + sides.tobytes()
+
+
+class _MatrixWriter(_NamedWriter):
+    """Pixels (name, r, c, value) become a raw matrix file of 32-bit floats for each name; missing pixels are NaN."""
+
+    suffix, key = ".bin", "name"
+
+    def encode(self, rows: list) -> bytes:
+        r, c = (np.array([x[k] for x in rows]) for k in ("r", "c"))
+        m = np.full((r.max() + 1, c.max() + 1), np.nan, np.float32)
+        m[r, c] = [np.nan if x["value"] is None else x["value"] for x in rows]
+        return matrix_bytes(m)
+
+
+class MeshSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "plymesh"
+
+    def writer(self, schema, overwrite):
+        return _MeshWriter(self.options["path"], overwrite)
+
+
+class MatrixSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "matrix"
+
+    def writer(self, schema, overwrite):
+        return _MatrixWriter(self.options["path"], overwrite)
 
 
 class GridSource(DataSource):
@@ -167,3 +248,5 @@ class PlySource(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GridSource)
     spark.dataSource.register(PlySource)
+    spark.dataSource.register(MeshSource)
+    spark.dataSource.register(MatrixSource)

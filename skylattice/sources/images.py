@@ -23,9 +23,9 @@ DEPTHS = {0: np.uint8, 2: np.uint16, 5: np.float32, 6: np.float64}
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """Paths of all files below a folder with a suffix, sorted."""
+    """Paths and lengths of all files below a folder with a suffix; in no order, as a table has none."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
-    return found.select("path", "length").orderBy("path")
+    return found.select("path", "length")
 
 
 def _directory(tiff: bytes, at: int, order: str) -> dict[int, object]:
