@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +50,19 @@ def drop_stored(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of a row but maps and variants, which Spark doesn't hash."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -131,6 +145,6 @@ def gathered(batches, column: int, most: int, rows: int = 2000):
             at, done = end, int(ends[min(end, b.num_rows) - 1])
 
 
-def words_count(text) -> "F.Column":
+def words_count(text) -> Column:
     """Words of a text column; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skylattice.llm.common import stored, words_count
+from skylattice.llm.common import row_hash, stored, words_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -210,20 +209,11 @@ def _quotas(batches):
         yield pa.record_batch([*b.columns, pa.array(epochs, pa.int32()), pa.array(quotas, pa.list_(pa.int64()))], [*b.schema.names, "epochs", "quotas"])
 
 
-def _hashable(kind: T.DataType) -> bool:
-    if isinstance(kind, T.ArrayType):
-        return _hashable(kind.elementType)
-    if isinstance(kind, T.StructType):
-        return all(_hashable(f.dataType) for f in kind.fields)
-    return not isinstance(kind, (T.MapType, T.VariantType))
-
-
 def _keyed(docs: DataFrame, seed: int, *keep) -> DataFrame:
     """The columns kept, and source, size, and rank and rest, by which the rows of a size are ordered."""
-    every = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]
     return docs.select(
         *keep, F.col("source"), words_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("rank"), F.xxhash64(F.lit(seed), *every).alias("rest"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("rank"), row_hash(docs, seed).alias("rest"),
     )
 
 

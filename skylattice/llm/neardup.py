@@ -1,27 +1,29 @@
 """MinHash near-duplicate classes.
 
-Texts become sets of hashed word shingles. Rows with equal sets form one class first, which one
-row represents from then on, so exact copies of any number cost one row. Representatives get
-many universal-hash minima, of which a byte each is kept, and rows of bands put them into
-buckets. Links are then found in two rounds, neither of which emits the pairs of a bucket:
+Texts become sets of hashed word shingles. Rows with equal sets form one class, a node, so exact
+copies of any number cost one row. Nodes get many universal-hash minima, of which a byte each is
+kept, and rows of bands put them into buckets. Links are found in rounds, none of which emits the
+pairs of a bucket, each with rows in proportion to the members:
 
 1. every member is paired with the best-connected member of one of its buckets, the one it
-   shares most bands with; pairs are confirmed on their full shingle sets, and connected;
-   members with the same partner form a family;
-2. in buckets that still hold more than one component, signatures of members of different
-   components are compared, block by block inside tasks, and a task reports which families have
-   members that agree often enough. Of such families, those members are compared on their full
-   shingle sets, again block by block inside tasks; a task keeps the components that it has found
-   so far and emits only links that join two of them, so its output grows with its members.
-
-Components come from alternating large-star and small-star steps, written to the shared folder
-between rounds. With BANDS x ROWS minima two texts of similarity 0.85 meet in no bucket with
-probability 4e-7, and texts that meet fail the signature test with probability 1e-5 at most.
+   shares most bands with;
+2. in buckets that still hold several components, every member outside the largest of them is
+   compared, by signature, with one member of each of its buckets that a hash of the round picks
+   among a few; the pair that agrees best is tried. This goes on while it links a good part of them;
+3. what is left outside the largest component of a bucket is compared with all its members, block
+   by block inside tasks: signatures first, then those that agree on their full shingle sets. A task
+   keeps the components that it has found so far and emits only links that join two of them.
+
+Pairs are always confirmed on full shingle sets, and components come from alternating large-star
+and small-star steps, written to the shared folder between rounds. With BANDS x ROWS minima two texts
+of similarity 0.85 meet in no bucket with probability 4e-7, and texts that meet fail the signature
+test with probability 1e-5 at most; for 0.8 these are 1e-5 and 1e-5.
 
 Nulls and other cases: a null or empty text has no shingles, links with nothing and is its own
 component; a text shorter than a shingle is one shingle; rows with a null doc_id link like others
-through surrogate ids that sort last and are returned as null; rows that share a doc_id count as
-one node; an empty table gives an empty result; other columns are passed over.
+through surrogate ids that sort last and are returned as null; rows that share a doc_id are told
+apart by their text, so one may stay where another goes; of repeated rows deduplicated() keeps one; an
+empty table gives an empty result; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -32,14 +34,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import BASE, drop_stored, gathered, hashed_words, mix64, slices, stored, texts
+from skylattice.llm.common import BASE, drop_stored, gathered, hashed_words, mix64, row_hash, slices, stored, texts
 
 #: Bands of minima, and minima a band.
 BANDS, ROWS = 26, 5
 #: Standard deviations below the expected number of equal signature bytes at which a pair is still confirmed.
 MARGIN = 4.3
-#: Members of a bucket or family that are compared at once, and their shingles.
+#: Members of a bucket that are compared at once, and their shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Members of a bucket of which one is picked to be compared with the others of them in a round.
+PICKED = 8
+#: Rounds go on while one links this share of the members that are still apart; it decides only who finds a link.
+YIELD = 0.25
 #: Bytes of text that a task cuts into shingles together.
 GATHER = 1 << 20
 #: Surrogate ids of rows without doc_id start here.
@@ -86,21 +92,21 @@ def node_id(doc_id, text):
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """id, no_id, n_shingles, fp1, fp2 (of the set) and sig of every row."""
+    """id, no_id, h (hash of the text), n_shingles, fp1, fp2 (of the set) and sig of every row."""
 
     def run(batches):
-        for b in gathered(batches, 2, GATHER):
+        for b in gathered(batches, 3, GATHER):
             n, f1, f2, sigs = [], [], [], []
-            for s in shingles(texts(b.column(2)), width):
+            for s in shingles(texts(b.column(3)), width):
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 f1.append(int.from_bytes(d[:8], "little", signed=True))
                 f2.append(int.from_bytes(d[8:], "little", signed=True))
                 sigs.append(signature(s) if len(s) else None)
-            yield pa.record_batch({"id": b.column(0), "no_id": b.column(1), "n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(f1, pa.int64()), "fp2": pa.array(f2, pa.int64()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.record_batch({"id": b.column(0), "no_id": b.column(1), "h": b.column(2), "n_shingles": pa.array(n, pa.int64()), "fp1": pa.array(f1, pa.int64()), "fp2": pa.array(f2, pa.int64()), "sig": pa.array(sigs, pa.binary())})
 
-    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text"))
-    return rows.mapInArrow(run, "id long, no_id boolean, n_shingles long, fp1 long, fp2 long, sig binary")
+    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("h"), F.col("text"))
+    return rows.mapInArrow(run, "id long, no_id boolean, h long, n_shingles long, fp1 long, fp2 long, sig binary")
 
 
 def _bands(sigs: np.ndarray) -> np.ndarray:
@@ -158,7 +164,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         drop_stored(edges)
         edges, size = new, n
         if done:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+            found = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
+            found.stored_path = edges.stored_path
+            return found
 
 
 def agreeing(percent: int) -> int:
@@ -167,17 +175,14 @@ def agreeing(percent: int) -> int:
     return int(BANDS * ROWS * p - MARGIN * (BANDS * ROWS * p * (1 - p)) ** 0.5)
 
 
-def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, comps: np.ndarray, ids: np.ndarray, least: int, same_block: bool, band: int | None = None):
-    """Chunks (left members, matrix of which right members agree with them and lie in another component)."""
+def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, comps: np.ndarray, least: int, band: int):
+    """Chunks (left members, matrix of which right members agree with them, lie in another component and share no bucket of a band before this one)."""
     for at in range(0, len(left), 32):
         x = left[at : at + 32]
         same = sigs[x][:, None] == sigs[right][None]
         agree = same.sum(axis=(2, 3)) >= least
         agree &= comps[x][:, None] != comps[right][None]
-        if band is not None:
-            agree &= same.all(axis=3).argmax(axis=2) == band  # in the first of the buckets that they share
-        if same_block:
-            agree &= ids[x][:, None] < ids[right][None]
+        agree &= same.all(axis=3).argmax(axis=2) == band
         yield x, agree
 
 
@@ -185,40 +190,24 @@ def _signatures(pdf) -> np.ndarray:
     return np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BANDS, ROWS)
 
 
-def _agreeing_families(key, pdf, least: int):
-    """Pairs of families with members of different components, in two blocks of a bucket, whose signatures agree."""
-    import pandas as pd
-
-    _, band, i, j = key
-    ids, comps, families, block = (pdf[c].to_numpy() for c in ("id", "component", "family", "block"))
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    found = set()
-    for x, agree in _agreement(_signatures(pdf), left, right, comps, ids, least, i == j, band):
-        p, q = np.nonzero(agree)
-        f, g = families[x][p], families[right][q]
-        found.update(map(tuple, np.unique(np.stack([np.minimum(f, g), np.maximum(f, g)], 1), axis=0).tolist()))
-    return pd.DataFrame(sorted(found), columns=["f", "g"], dtype=np.int64)
-
-
 def _agreeing_members(key, pdf, least: int):
-    """Members of two blocks of families whose signatures agree with one in another component."""
+    """Members of a block that is apart (side 0) and of a block of the bucket (side 1) whose signatures agree with one of another component on the other side."""
     import pandas as pd
 
-    f, g, i, j = key
+    k, band, i, j = key
     ids, comps, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     there = np.zeros(len(ids), bool)
-    for x, agree in _agreement(_signatures(pdf), left, right, comps, ids, least, f == g and i == j):
+    for x, agree in _agreement(_signatures(pdf), left, right, comps, least, band):
         there[x[agree.any(axis=1)]] = True
         there[right[agree.any(axis=0)]] = True
-    return pd.DataFrame({"f": f, "g": g, "i": i, "j": j, "side": side[there], "id": ids[there], "component": comps[there], "sig": pdf["sig"].to_numpy()[there]})
+    return pd.DataFrame({"key": k, "band": band, "i": i, "j": j, "side": side[there], "id": ids[there], "component": comps[there], "sig": pdf["sig"].to_numpy()[there]})
 
 
 def _linked_members(key, pdf, least: int, percent: int):
-    """Links between members of two blocks of families, judged on full shingle sets; only those that join components."""
+    """Links between members of two blocks, judged on full shingle sets; only those that join components."""
     import pandas as pd
 
-    f, g, i, j = key
     ids, comps, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
     sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
     sizes = np.array([len(x) for x in sets])
@@ -226,9 +215,9 @@ def _linked_members(key, pdf, least: int, percent: int):
     cut = np.split(number, np.cumsum(sizes)[:-1])
     mark = np.zeros(int(number.max()) + 1, bool)
     _, now = np.unique(comps, return_inverse=True)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     out = []
-    for chunk, agree in _agreement(_signatures(pdf), left, right, comps, ids, least, f == g and i == j):
+    for chunk, agree in _agreement(_signatures(pdf), left, right, comps, least, key[1]):
         for x, row in zip(chunk, agree, strict=True):
             partners = right[row]
             partners = partners[now[partners] != now[x]]
@@ -245,48 +234,91 @@ def _linked_members(key, pdf, least: int, percent: int):
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _late_links(found: DataFrame, members: DataFrame, held: DataFrame, width: int, percent: int, least: int) -> DataFrame:
-    """Links (a, b) of the members (id, component, family, sig, n_shingles) of pairs of families (f, g)."""
-    size = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    n = lambda k: size.select(F.col("family").alias(k), F.col("blocks").alias(f"n_{k}"))
-    pairs = found.join(n("f"), "f").join(n("g"), "g")
-    numbers = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
-    cells = []
-    for k, other in (("f", "g"), ("g", "f")):
-        mine = pairs.where("f < g").join(members, F.col("family") == F.col(k)).withColumns({"own": block(f"n_{k}"), "to": F.explode(numbers(f"n_{other}"))})
-        i, j = ("own", "to") if k == "f" else ("to", "own")
-        cells.append(mine.select("f", "g", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(int(k == "g")).alias("side"), "id", "component", "sig"))
-    alone = pairs.where("f = g").join(members, F.col("family") == F.col("f")).withColumn("own", block("n_f")).withColumn("to", F.explode(numbers("n_f")))
-    low, high = F.least("own", "to"), F.greatest("own", "to")
-    which = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1)  # 2: on both sides
-    cells.append(alone.select("f", "g", low.alias("i"), high.alias("j"), which.alias("side"), "id", "component", "sig"))
-    by = ["f", "g", "i", "j"]
-    schema = "f long, g long, i long, j long, side int, id long, component long, sig binary"
-    every = cells[0].unionByName(cells[1]).unionByName(cells[2])
-    involved = stored(every.groupBy(*by).applyInPandas(lambda key, pdf: _agreeing_members(key, pdf, least), schema), "neardup-involved")
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (id, component) of every node after more links (a, b)."""
+    to = lambda k: comp.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
+    lifted = links.join(to("a"), "a").join(to("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    found = components(lifted, "neardup-edges")
+    top = found.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    new = stored(comp.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "neardup-components")
+    drop_stored(comp, found)
+    return new
+
+
+def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (key, band, id, size, component) of buckets with several components, and whether they are outside the largest of them."""
+    placed = shared.join(comp, "id")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    return stored(placed.join(largest.select("key", "largest"), "key").withColumn("apart", F.col("component") != F.col("largest")).drop("largest"), "neardup-apart")
+
+
+def _tried(members: DataFrame, sigs: DataFrame, turn: int, least: int) -> DataFrame:
+    """One pair (a, b) of each member that is apart: with the picked member of one of its buckets that it agrees with best, if it does well enough."""
+
+    def run(batches):
+        for b in slices(batches, 5000):
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
+                agree = (x == y).sum(axis=1)
+                out = pa.record_batch([b.column(0), b.column(1), pa.array(agree.astype(np.int32))], ["a", "b", "agree"])
+                yield out.filter(pa.array(agree >= least))
+
+    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / PICKED).cast("long"))
+    dealt = members.withColumn("part", part)
+    picked = dealt.groupBy("key", "part").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(-turn))).alias("p"))
+    pairs = dealt.where("apart").join(picked, ["key", "part"]).where(F.col("component") != F.col("p.component")).select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct()
+    of = lambda k: sigs.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"))
+    judged = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, agree int")
+    return judged.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+
+
+def _late_links(members: DataFrame, sigs: DataFrame, held: DataFrame, width: int, percent: int, least: int) -> DataFrame:
+    """Links (a, b) of the members that are apart with all members of their buckets, block by block."""
+    signed = members.join(sigs, "id")
+    blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.count(where) / BLOCK), F.ceil(F.sum(F.when(where.isNotNull(), F.col("n_shingles"))) / BLOCK_SHINGLES))
+    sizes = signed.groupBy("key").agg(blocks(F.when(F.col("apart"), 1)).alias("n_i"), blocks(F.lit(1)).alias("n_j"))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    columns = ("key", "band", "i", "j", "side", "id", "component", "sig")
+    sized = signed.join(sizes, "key")
+    left = sized.where("apart").withColumns({"i": own("n_i"), "j": numbers("n_j"), "side": F.lit(0)}).select(*columns)
+    right = sized.withColumns({"j": own("n_j"), "i": numbers("n_i"), "side": F.lit(1)}).select(*columns)
+    by = ["key", "band", "i", "j"]
+    schema = "key long, band int, i long, j long, side int, id long, component long, sig binary"
+    involved = left.unionByName(right).groupBy(*by).applyInPandas(lambda key, pdf: _agreeing_members(key, pdf, least), schema)
+    involved = stored(involved, "neardup-involved")
 
     def run(batches):
         for b in gathered(batches, 1, GATHER):
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingles(texts(b.column(1)), width)], pa.binary())], ["id", "shingles"])
 
-    sets = stored(held.join(involved.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
-    return involved.join(sets, "id").groupBy(*by).applyInPandas(lambda key, pdf: _linked_members(key, pdf, least, percent), "a long, b long")
+    sets = stored(held.join(involved.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
+    links = involved.join(sets, "id").groupBy(*by).applyInPandas(lambda key, pdf: _linked_members(key, pdf, least, percent), "a long, b long")
+    links = stored(links, "neardup-late")
+    drop_stored(involved, sets)
+    return links
 
 
 def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, no_id, n_shingles and found (the least id of its component) of every row."""
+    """id, no_id, h, n_shingles and found (id and h of the first row of its component) of every row."""
     least = agreeing(percent)
     rows = stored(sketches(docs, width), "neardup-rows")
     known = rows.where("n_shingles > 0")
-    classes = stored(known.groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("rep")), "neardup-classes")
-    nodes = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "sig")
-    banded = stored(buckets(nodes).distinct(), "neardup-bands")
+    classes = known.groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct("id", "h")).alias("rep"))
+    crowd = classes.groupBy("rep.id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("many"))
+    node = F.when(F.col("many").isNull(), F.col("rep.id")).otherwise(F.lit(NO_ID) + F.pmod(F.xxhash64("fp1", "fp2", F.lit(1)), F.lit(1 << 60)))
+    classes = stored(classes.join(crowd, F.col("rep.id") == F.col("many"), "left").withColumn("node", node).drop("many"), "neardup-classes")
+    reps = classes.select("node", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
+    sigs = known.select("id", "h", "sig", "n_shingles").join(reps, ["id", "h"]).groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    sigs = stored(sigs.withColumnRenamed("node", "id"), "neardup-nodes")
+    banded = stored(buckets(sigs).distinct(), "neardup-bands")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(banded.join(sizes, "key"), "neardup-shared")
-
-    held = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi")
-    held = stored(held, "neardup-texts")
+    drop_stored(banded)
+    wanted = reps.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    held = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id", "h"])
+    held = stored(held.groupBy("node").agg(F.first("text").alias("text")).withColumnRenamed("node", "id"), "neardup-texts")
 
     # round 1: one pair a member, with the best-connected member of its buckets
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
@@ -294,58 +326,61 @@ def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"), F.col("top.degree").alias("degree"))
     met = shared.select("key", "id").join(centre, "key").where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"), F.max("degree").alias("degree"))
     best = met.groupBy("id").agg(F.max(F.struct("bands", "degree", "centre")).alias("best")).select(F.col("id").alias("a"), F.col("best.centre").alias("b"))
-    best = stored(best, "neardup-best")
-    star = stored(confirmed(best, held, width, percent), "neardup-star")
-    first = stored(components(star, "neardup-first"), "neardup-first")
-
-    # round 2: members of different components that still share a bucket
-    families = best.select(F.col("a").alias("id"), F.col("b").alias("family"))
-    placed = shared.select("key", "band", "id", "size").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stored(placed.join(families, "id", "left").withColumn("family", F.coalesce("family", "id")), "neardup-placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    sigs = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "sig", "n_shingles").dropDuplicates(["id"])
-    part = placed.join(mixed, "key", "left_semi").join(sigs.select("id", "sig"), "id")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    part = part.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    part = part.withColumn("pair", F.explode(others)).select("key", "band", "id", "component", "family", "sig", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    agreed = part.groupBy("key", "band", "i", "j").applyInPandas(lambda key, pdf: _agreeing_families(key, pdf, least), "f long, g long")
-    agreed = stored(agreed.distinct(), "neardup-families")
-    wanted = agreed.select(F.col("f").alias("family")).unionByName(agreed.select(F.col("g").alias("family"))).distinct()
-    members = placed.select("id", "component", "family").distinct().join(wanted, "family", "left_semi").join(sigs, "id")
-    late = stored(_late_links(agreed, stored(members, "neardup-members"), held, width, percent, least), "neardup-late")
-    to = lambda k: first.select(F.col("id").alias(k), F.col("component").alias(f"c_{k}"))
-    lifted = late.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    second = components(lifted, "neardup-second").select(F.col("id").alias("mid"), F.col("component").alias("top"))
-
-    out = rows.select("id", "no_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
-    out = out.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("mid", F.coalesce("component", "rep", "id"))
-    out = out.join(second, "mid", "left").withColumn("found", F.coalesce("top", "mid"))
-    return out.select("id", "no_id", "n_shingles", "found")
+    comp = stored(shared.select("id", F.col("id").alias("component")).distinct(), "neardup-components")
+    comp = _merged(comp, confirmed(best, held, width, percent))
+
+    # round 2: members that are apart, each with picked members of its buckets
+    turn = 1
+    while True:
+        members = _apart(shared, comp)
+        apart = members.where("apart").select("id").distinct().count()
+        if not apart:
+            break
+        links = stored(confirmed(_tried(members, sigs, turn, least), held, width, percent), "neardup-tried")
+        n = links.count()
+        if n:
+            comp = _merged(comp, links)
+        drop_stored(links)
+        if n < YIELD * apart:
+            if n:
+                drop_stored(members)
+                members = _apart(shared, comp)
+            break
+        drop_stored(members)
+        turn += 1
+
+    # round 3: what is still apart, with everything in its buckets
+    if apart:
+        links = _late_links(members, sigs, held, width, percent, least)
+        comp = _merged(comp, links)
+        drop_stored(links)
+    drop_stored(members, sigs, shared, held)
+
+    of = classes.join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = of.groupBy("component").agg(F.min("rep").alias("found"))
+    of = of.join(first, "component").select("n_shingles", "fp1", "fp2", "found")
+    out = rows.select("id", "no_id", "h", "n_shingles", "fp1", "fp2").join(of, ["n_shingles", "fp1", "fp2"], "left")
+    return out.select("id", "no_id", "h", "n_shingles", F.coalesce("found", F.struct("id", "h")).alias("found"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return _placed(docs, width, percent).select(
-        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_shingles", real("found").alias("component_id"), (F.col("id") == F.col("found")).alias("kept"),
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_shingles", real("found.id").alias("component_id"), (F.col("id") == F.col("found.id")).alias("kept"),
     )
 
 
-#: Ids up to which those of removed rows are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 500_000
-
-
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The input's rows without those that another document of their component stands for; of rows that share an id one stays."""
+    """The input's rows without those that another row of their component stands for; of repeated rows one stays."""
     placed = stored(_placed(docs, width, percent), "neardup-placed")
-    gone = stored(placed.where("id <> found").select("id").distinct(), "neardup-gone")
-    twice = stored(placed.where("id = found and n_shingles > 0").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "neardup-twice")
-    hint = lambda df: F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    first = F.col("found") == F.struct("id", "h")
+    gone = placed.where(~first).select("id", "h").distinct()
+    twice = stored(placed.where(first & (F.col("n_shingles") > 0)).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "h"), "neardup-twice")
     names = list(docs.columns)
-    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.struct(*names).alias("row")).join(hint(gone), "id", "left_anti")
+    every = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("h"), every.alias("row"), row_hash(docs).alias("rest")).join(gone, ["id", "h"], "left_anti")
     if not twice.isEmpty():
-        small = hint(twice)
-        once = rows.join(small, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-        rows = rows.join(small, "id", "left_anti").unionByName(once)
+        once = rows.join(twice, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", "rest").alias("row"))
+        rows = rows.drop("rest").join(twice, ["id", "h"], "left_anti").unionByName(once)
     return rows.select(*[F.col("row")[c].alias(c) for c in names])

@@ -52,9 +52,43 @@ def test_late_links_are_emitted_once_a_component(spark):
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[: 195 - k % 3], rng.integers(0, 1 << 60, 2, dtype=np.uint64)])) for k in range(60)]
-    pdf = pd.DataFrame({"id": range(60), "component": range(60), "side": 2, "sig": [neardup.signature(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
-    out = neardup._linked_members((1, 1, 0, 0), pdf, neardup.agreeing(85), 85)
-    assert len(out) == 59
+    sigs = [neardup.signature(s) for s in sets]
+    both = [pd.DataFrame({"id": range(60), "component": range(60), "side": side, "sig": sigs, "shingles": [s.tobytes() for s in sets]}) for side in (0, 1)]
+    first = neardup._linked_members((1, 0, 0, 0), pd.concat(both), neardup.agreeing(85), 85)
+    assert 0 < len(first) <= 59  # links of members whose first shared band is 0: a tree, not all pairs
+    links = [tuple(r) for band in range(neardup.BANDS) for r in neardup._linked_members((1, band, 0, 0), pd.concat(both), neardup.agreeing(85), 85).itertuples(index=False)]
+    seen, reach = {0}, 1
+    while True:
+        seen |= {y for p in links for x, y in (p, p[::-1]) if x in seen}
+        if len(seen) == reach:
+            break
+        reach = len(seen)
+    assert seen == set(range(60))
+
+
+def test_recall_on_more_documents(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    pairs = [(r.doc_id, r.text) for r in docs.collect()]
+    assert found(neardup.near_duplicates(docs)) == brute.near_duplicates(pairs, 3, 85)
+
+
+def test_components_of_long_chains(spark):
+    n = 300
+    rng = random.Random(5)
+    ids = rng.sample(range(10**6), n)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(7_000_000, 7_000_001)], "a long, b long")
+    got = {r.id: r.component for r in neardup.components(edges, "chain").collect()}
+    assert got == {i: min(ids) for i in ids if i != min(ids)} | {7_000_001: 7_000_000}
+
+
+def test_repeated_ids_are_told_apart_by_text(spark, docs_of):
+    text, other = " ".join(f"w{i}" for i in range(80)), " ".join(f"v{i}" for i in range(80))
+    docs = docs_of([(1, text), (1, other), (2, other), (3, text + " end"), (1, other), (4, "short"), (4, "text"), (None, other)])
+    got = sorted((r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 1, False), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+    kept = sorted((r.doc_id, r.text) for r in neardup.deduplicated(docs.withColumn("h", F.lit(1)).withColumn("m", F.create_map(F.lit(1), F.lit(2)))).collect())
+    assert kept == sorted([(1, text), (1, other), (4, "short"), (4, "text")])
+    assert neardup.deduplicated(docs.limit(0)).count() == 0
 
 
 def test_odd_rows(spark, odd_docs, docs_of):
