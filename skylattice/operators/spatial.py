@@ -42,6 +42,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, radius: float, id_col
     out, left = None, queries
     while True:
         near = radius_join(left, points, radius).where(F.col("d2") > least).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        near = near.persist()  # read for the answers and for what is left, in this round and the next
         full = near.where(F.col("rank") == k).select(id_column)
         last = radius > far
         done = near if last else near.join(full, id_column, "left_semi")

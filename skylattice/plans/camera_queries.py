@@ -74,7 +74,17 @@ def overlap_pct(spark, sf_dir):
     return overlap_with_previous(footprints(frames(spark, sf_dir), CAMERA)).select("frame_id", F.round("overlap", 4).alias("overlap"))
 
 
-@query("throttle_publish")
+#: The frames of each camera in order, each with the rectangle published last: a fold, as recursion.
+FOLD = """tr as (select b.*, fr.is_keyframe, fr.has_pose, row_number() over (partition by b.camera_id order by b.ts, b.frame_id) as rn from b join (select frame_id, is_keyframe, has_pose from frames) fr using (frame_id)),
+  fold as (select camera_id, rn, frame_id, x, y, width, height, {first} as why from tr where rn = 1 union all
+    select camera_id, rn, frame_id, case when why is not null then nx else x end, case when why is not null then ny else y end, case when why is not null then nw else width end, case when why is not null then nh else height end, why from (
+      select *, {rule} as why from (
+        select tr.camera_id, tr.rn, tr.frame_id, fold.x, fold.y, fold.width, fold.height, tr.x as nx, tr.y as ny, tr.width as nw, tr.height as nh, tr.is_keyframe, tr.has_pose,
+          case when fold.x is null then 0 else 100 * greatest(least(tr.x + tr.width, fold.x + fold.width) - greatest(tr.x, fold.x), 0) * greatest(least(tr.y + tr.height, fold.y + fold.height) - greatest(tr.y, fold.y), 0) / (tr.width * tr.height) end as overlap
+        from fold join tr on tr.camera_id = fold.camera_id and tr.rn = fold.rn + 1) j) k)"""
+
+
+@query("throttle_publish", _CORNERS.replace("with ", "with recursive ", 1) + ", " + FOLD.format(first="'first'", rule="case when overlap < 30 then 'next' end") + " select camera_id, frame_id from fold where why is not null")
 def throttle_publish(spark, sf_dir):
     from skylattice.operators.stages import throttled
 

@@ -8,7 +8,7 @@ from skylattice.functions.camera import Pinhole, heading_rotation
 from skylattice.operators import algebra, georef, mosaic, rectify, stages, surface
 from skylattice.operators import depth as D
 from skylattice.operators import tiles as T
-from skylattice.plans.camera_queries import _CORNERS, CAMERA
+from skylattice.plans.camera_queries import _CORNERS, CAMERA, FOLD
 from skylattice.plans.catalog import query
 from skylattice.plans.fixtures import DEPTH, FRAMES, OBS, ORDER, POINTS, POSES, depth_maps, frames, observations, points, poses, table
 from skylattice.plans.mosaic_queries import MOSAIC
@@ -162,7 +162,12 @@ def georef_refine(spark, sf_dir):
 # ---------------------------------------------------------------- publishing, tiles, colours
 
 
-@query("published_frames")
+_WHY = "case when is_keyframe = 1 and overlap < 60 then 'keyframe' when has_pose = 0 and overlap < 30 then 'fallback' end"
+_NONE = "case when is_keyframe = 1 then 'keyframe' when has_pose = 0 then 'fallback' end"
+_PUBLISHED = FOLD.format(first=_NONE, rule=_WHY).replace("frame_id, x, y, width, height, case when is_keyframe", "frame_id, case when is_keyframe = 1 or has_pose = 0 then x end as x, y, width, height, case when is_keyframe", 1)
+
+
+@query("published_frames", _CORNERS.replace("with ", "with recursive ", 1) + f", {_PUBLISHED} select camera_id, frame_id, why from fold where why is not null")
 def published_frames(spark, sf_dir):
     return stages.published(rectify.footprints(frames(spark, sf_dir), CAMERA), 60.0, 30.0, use_fallback=True)
 

@@ -1,8 +1,9 @@
 """The incremental map and per-camera streams, equal to their batch forms.
 
-The mosaic's state is the earliest observation of each angle in each cell, which merges in any
-order; it is kept as a table laid out by blocks of cells, and a micro-batch rewrites only the blocks
-that it touches.
+The mosaic's state is those observations of each cell whose angle rises above all earlier ones: one
+that doesn't can't once more observations are known, so states merge in any order. It is kept as a
+table laid out by blocks of cells; a micro-batch rewrites only the blocks that it touches, and the
+folders of many batches are gathered into one from time to time.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from skylattice.operators import mosaic
 from skylattice.operators.stages import Throttle
 
-#: Cells along the side of a block of the state table.
-BLOCK = 64
+#: Cells along the side of a block of the state table, and batches whose folders are gathered into one.
+BLOCK, GATHERED = 64, 50
 
 
 class MosaicState:
@@ -50,7 +51,7 @@ class MosaicState:
         if not folders:
             return None
         rows = self.spark.read.option("basePath", self.path).parquet(*[self._table(f) for f in folders]).withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -4))
-        return rows.join(F.broadcast(blocks), ["bx", "by", "folder"], "left_semi").drop("folder")
+        return rows.join(blocks, ["bx", "by", "folder"], "left_semi").drop("folder")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch function. A batch that comes again changes nothing."""
@@ -59,11 +60,38 @@ class MosaicState:
         touched = seen.select("bx", "by").distinct()
         old = self.observations(touched)
         every = seen if old is None else old.select(*seen.columns).unionByName(seen)
-        kept = every.groupBy("bx", "by", "gx", "gy", "angle").agg(F.min(F.struct("seq", "color", "elevation")).alias("f")).select("bx", "by", "gx", "gy", "angle", "f.*")
-        folder = f"batch-{batch_id}-{uuid.uuid4().hex[:8]}"
-        kept.repartition("bx", "by").write.partitionBy("bx", "by").parquet(self._table(folder))
-        done = self.spark.read.parquet(self._table(folder)).select(F.col("bx").cast("long"), F.col("by").cast("long")).distinct() if not touched.isEmpty() else touched
-        done.withColumns({"folder": F.lit(folder), "batch": F.lit(int(batch_id))}).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self._write(mosaic.rising(every, "bx", "by", "gx", "gy"), f"batch-{batch_id}-{uuid.uuid4().hex[:8]}", float(batch_id))
+        folders = self._blocks()
+        if folders is not None and folders.select("folder").distinct().count() > GATHERED:
+            self.compact()
+
+    def _write(self, rows: DataFrame, folder: str, batch: float) -> None:
+        rows.repartition("bx", "by").write.partitionBy("bx", "by").parquet(self._table(folder))
+        try:
+            done = self.spark.read.parquet(self._table(folder)).select(F.col("bx").cast("long"), F.col("by").cast("long")).distinct()
+        except Exception as e:  # nothing was written
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            return
+        done.withColumns({"folder": F.lit(folder), "batch": F.lit(batch)}).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def compact(self) -> None:
+        """Gather the current version of every block in one folder."""
+        rows = self.observations()
+        if rows is not None:
+            newest = self.spark.read.parquet(f"{self.path}/manifest").agg(F.max("batch")).first()[0]
+            self._write(rows, f"gathered-{uuid.uuid4().hex[:8]}", newest + 0.5)
+
+    def vacuum(self) -> None:
+        """Delete folders that hold no current version, once nothing reads them any more."""
+        blocks = self._blocks()
+        used = {r[0] for r in blocks.select("folder").distinct().collect()} if blocks is not None else set()
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            name = status.getPath().getName()
+            if name.startswith(("batch-", "gathered-")) and name not in used:
+                fs.delete(status.getPath(), True)
 
     def mosaic(self) -> DataFrame:
         """The mosaic of all observations so far."""

@@ -110,6 +110,13 @@ def test_streamed_mosaic_is_the_batch_mosaic(spark, tmp_path):
     assert rows(state.mosaic()) == rows(mosaic.blend(obs))
     state.merge(obs, 99)  # again: nothing changes
     assert rows(state.mosaic()) == rows(mosaic.blend(obs))
+    state.compact()
+    state.vacuum()
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name != "manifest"]) == 1 and rows(state.mosaic()) == rows(mosaic.blend(obs))
+    state.merge(obs.where("angle < 0"), 100)
+    later = obs.withColumns({"angle": F.col("angle") + 1, "seq": F.col("seq") + 1000})
+    state.merge(later, 101)
+    assert rows(state.mosaic()) == rows(mosaic.blend(obs.unionByName(later)))
 
 
 def frames(spark):
