@@ -175,14 +175,25 @@ def agreeing(percent: int) -> int:
     return int(BANDS * ROWS * p - MARGIN * (BANDS * ROWS * p * (1 - p)) ** 0.5)
 
 
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes of each signature of a are those of each of b."""
+    if len(a) * len(b) < 4096:
+        return (a[:, None] == b[None]).sum(axis=2, dtype=np.uint8)
+    out, columns = np.zeros((len(a), len(b)), np.uint8), np.ascontiguousarray(b.T)
+    for k in range(a.shape[1]):  # a byte of all pairs at a time
+        out += a[:, k, None] == columns[k]
+    return out
+
+
 def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, comps: np.ndarray, least: int, band: int):
     """Chunks (left members, matrix of which right members agree with them, lie in another component and share no bucket of a band before this one)."""
-    for at in range(0, len(left), 32):
-        x = left[at : at + 32]
-        same = sigs[x][:, None] == sigs[right][None]
-        agree = same.sum(axis=(2, 3)) >= least
-        agree &= comps[x][:, None] != comps[right][None]
-        agree &= same.all(axis=3).argmax(axis=2) == band
+    flat = sigs.reshape(len(sigs), -1)
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        agree = (_scores(flat[x], flat[right]) >= least) & (comps[x][:, None] != comps[right][None])
+        p, q = np.nonzero(agree)
+        first = (sigs[x[p]] == sigs[right[q]]).all(axis=2).argmax(axis=1)
+        agree[p[first != band], q[first != band]] = False
         yield x, agree
 
 
