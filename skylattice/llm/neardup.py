@@ -197,30 +197,49 @@ def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, comps: np.
         yield x, agree
 
 
-def _signatures(pdf) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BANDS, ROWS)
-
-
-def _agreeing_members(key, pdf, least: int):
-    """Members of a block that is apart (side 0) and of a block of the bucket (side 1) whose signatures agree with one of another component on the other side."""
-    import pandas as pd
-
-    k, band, i, j = key
-    ids, comps, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
+_BY = ("key", "band", "i", "j")
+
+
+def _groups(batches, *more: str):
+    """(key, ids, components, sides, signatures, the lists of more columns) of every group of rows, from batches sorted by _BY."""
+
+    def joined(parts):
+        return tuple(np.concatenate(x) if isinstance(x[0], np.ndarray) else sum(x, []) for x in zip(*parts, strict=True))
+
+    last, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+        number = lambda c: column(c).to_numpy(zero_copy_only=False)
+        keys = np.stack([number(c).astype(np.int64) for c in _BY], 1)
+        sigs = np.frombuffer(b"".join(column("sig").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
+        data = [number("id"), number("component"), number("side"), sigs, *(column(c).to_pylist() for c in more)]
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[at].tolist())
+            if key != last and held:
+                yield last, *joined(held)
+                held = []
+            last = key
+            held.append([x[at:end] for x in data])
+    if held:
+        yield last, *joined(held)
+
+
+def _agreeing_members(ids, comps, side, sigs, least: int, band: int) -> np.ndarray:
+    """Which members of a block that is apart (side 0) and of a block of the bucket (side 1) have signatures that agree with one of another component on the other side."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     there = np.zeros(len(ids), bool)
-    for x, agree in _agreement(_signatures(pdf), left, right, comps, least, band):
+    for x, agree in _agreement(sigs, left, right, comps, least, band):
         there[x[agree.any(axis=1)]] = True
         there[right[agree.any(axis=0)]] = True
-    return pd.DataFrame({"key": k, "band": band, "i": i, "j": j, "side": side[there], "id": ids[there], "component": comps[there], "sig": pdf["sig"].to_numpy()[there]})
+    return there
 
 
-def _linked_members(key, pdf, least: int, percent: int):
+def _linked_members(ids, comps, side, sigs, shingled: list[bytes], least: int, percent: int, band: int) -> list[tuple[int, int]]:
     """Links between members of two blocks, judged on full shingle sets; only those that join components."""
-    import pandas as pd
-
-    ids, comps, side = (pdf[c].to_numpy() for c in ("id", "component", "side"))
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    sets = [np.frombuffer(x, np.uint64) for x in shingled]
     sizes = np.array([len(x) for x in sets])
     number = np.unique(np.concatenate(sets), return_inverse=True)[1]
     cut = np.split(number, np.cumsum(sizes)[:-1])
@@ -228,7 +247,7 @@ def _linked_members(key, pdf, least: int, percent: int):
     _, now = np.unique(comps, return_inverse=True)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     out = []
-    for chunk, agree in _agreement(_signatures(pdf), left, right, comps, least, key[1]):
+    for chunk, agree in _agreement(sigs, left, right, comps, least, band):
         for x, row in zip(chunk, agree, strict=True):
             partners = right[row]
             partners = partners[now[partners] != now[x]]
@@ -241,8 +260,8 @@ def _linked_members(key, pdf, least: int, percent: int):
             for y in partners[100 * both >= percent * (sizes[x] + sizes[partners] - both)]:
                 if now[y] != now[x]:
                     now[now == now[y]] = now[x]
-                    out.append((ids[x], ids[y]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                    out.append((int(ids[x]), int(ids[y])))
+    return out
 
 
 def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -295,18 +314,32 @@ def _late_links(members: DataFrame, sigs: DataFrame, held: DataFrame, width: int
     sized = signed.join(sizes, "key")
     left = sized.where("apart").withColumns({"i": own("n_i"), "j": numbers("n_j"), "side": F.lit(0)}).select(*columns)
     right = sized.withColumns({"j": own("n_j"), "i": numbers("n_i"), "side": F.lit(1)}).select(*columns)
-    by = ["key", "band", "i", "j"]
     schema = "key long, band int, i long, j long, side int, id long, component long, sig binary"
-    involved = left.unionByName(right).groupBy(*by).applyInPandas(lambda key, pdf: _agreeing_members(key, pdf, least), schema)
-    involved = stored(involved, "neardup-involved")
+    sort = lambda df: df.repartition(*_BY).sortWithinPartitions(*_BY)
+
+    def agreeing_rows(batches):
+        for key, ids, comps, side, sigs in _groups(batches):
+            there = _agreeing_members(ids, comps, side, sigs, least, key[1])
+            n = int(there.sum())
+            if n:
+                same = [pa.array(np.full(n, k, np.int32 if c == "band" else np.int64)) for c, k in zip(_BY, key, strict=True)]
+                rest = [pa.array(side[there].astype(np.int32)), pa.array(ids[there]), pa.array(comps[there]), pa.array([x.tobytes() for x in sigs[there]], pa.binary())]
+                yield pa.record_batch([*same, *rest], [*_BY, "side", "id", "component", "sig"])
+
+    def linking_rows(batches):
+        for key, ids, comps, side, sigs, shingled in _groups(batches, "shingles"):
+            found = _linked_members(ids, comps, side, sigs, shingled, least, percent, key[1])
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+
+    involved = stored(sort(left.unionByName(right)).mapInArrow(agreeing_rows, schema), "neardup-involved")
 
     def run(batches):
         for b in gathered(batches, 1, GATHER):
             yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingles(texts(b.column(1)), width)], pa.binary())], ["id", "shingles"])
 
     sets = stored(held.join(involved.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
-    links = involved.join(sets, "id").groupBy(*by).applyInPandas(lambda key, pdf: _linked_members(key, pdf, least, percent), "a long, b long")
-    links = stored(links, "neardup-late")
+    links = stored(sort(involved.join(sets, "id")).mapInArrow(linking_rows, "a long, b long"), "neardup-late")
     drop_stored(involved, sets)
     return links
 

@@ -47,16 +47,14 @@ def test_groups_of_borderline_copies(spark, docs_of, monkeypatch):
 
 def test_late_links_are_emitted_once_a_component(spark):
     import numpy as np
-    import pandas as pd
-
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
-    sets = [np.unique(np.concatenate([base[: 195 - k % 3], rng.integers(0, 1 << 60, 2, dtype=np.uint64)])) for k in range(60)]
-    sigs = [neardup.signature(s) for s in sets]
-    both = [pd.DataFrame({"id": range(60), "component": range(60), "side": side, "sig": sigs, "shingles": [s.tobytes() for s in sets]}) for side in (0, 1)]
-    first = neardup._linked_members((1, 0, 0, 0), pd.concat(both), neardup.agreeing(85), 85)
-    assert 0 < len(first) <= 59  # links of members whose first shared band is 0: a tree, not all pairs
-    links = [tuple(r) for band in range(neardup.BANDS) for r in neardup._linked_members((1, band, 0, 0), pd.concat(both), neardup.agreeing(85), 85).itertuples(index=False)]
+    sets = [np.unique(np.concatenate([base[: 195 - k % 3], rng.integers(0, 1 << 60, 2, dtype=np.uint64)])) for k in range(60)] * 2
+    sigs = np.frombuffer(b"".join(neardup.signature(s) for s in sets), np.uint8).reshape(-1, neardup.BANDS, neardup.ROWS)
+    ids, side = np.arange(120) % 60, np.arange(120) // 60
+    found = lambda band: neardup._linked_members(ids, ids, side, sigs, [s.tobytes() for s in sets], neardup.agreeing(85), 85, band)
+    assert 0 < len(found(0)) <= 59  # links of members whose first shared band is 0: a tree, not all pairs
+    links = [p for band in range(neardup.BANDS) for p in found(band)]
     seen, reach = {0}, 1
     while True:
         seen |= {y for p in links for x, y in (p, p[::-1]) if x in seen}
