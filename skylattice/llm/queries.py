@@ -136,7 +136,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query("op10_substring_dedup")
+@query(
+    "op10_substring_dedup",
+    rf"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    win as (select doc_id, i, sha256(array_to_string(w[i:i + {substring.WINDOW - 1}], ' ')) as key from (select doc_id, w, unnest(range(1, len(w) - {substring.WINDOW - 2})) as i from d)),
+    copied as (select doc_id, i from (select doc_id, i, row_number() over (partition by key order by doc_id, i) as nth from win) where nth > 1),
+    gone as (select distinct doc_id, i + k as pos from copied, range(0, {substring.WINDOW}) as t(k)),
+    word as (select doc_id, pos, w[pos] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from d)),
+    kept as (select doc_id, string_agg(word, ' ' order by pos) as text from word anti join gone using (doc_id, pos) group by doc_id),
+    n as (select doc_id, count(*) as n from gone group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+    from d left join kept using (doc_id) left join n using (doc_id)
+    """,
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that are left without windows of 20 words that start earlier."""
     return substring.removed_substrings(table(spark, sf_dir, "documents")).drop("spans")

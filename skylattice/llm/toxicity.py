@@ -84,6 +84,27 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> t
     return r, b, odds / (1 + odds)
 
 
+def gradients(theta: np.ndarray, bias: np.ndarray, trans: np.ndarray, chained: tuple, worded: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the chains' negative log likelihood, with the penalty on theta, by feature weights, bias and transition weights.
+
+    chained: the word number and the label of every place, and the chains' lengths; worded: feature and word number of every pair, and the number of words."""
+    (at, gold, lengths), (flat, who, n_words) = chained, worded
+    inner = np.ones(len(at), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    here = np.flatnonzero(inner)
+    g0, g1 = gold[here].astype(int), gold[here + 1].astype(int)
+    seen = np.array([[np.sum((g0 == i) & (g1 == j)) for j in (0, 1)] for i in (0, 1)], float)
+    word = np.bincount(who, theta[flat], n_words) + bias[0]
+    t = np.exp(trans)
+    r, b, p = marginals(word[at], lengths, t)
+    e = np.exp(np.clip(word[at], -30, 30))
+    x, y = r[here], e[here + 1] * b[here + 1]
+    pair = np.stack([np.full_like(x, t[0, 0]), t[0, 1] * y, t[1, 0] * x, t[1, 1] * x * y])
+    expected = (pair / pair.sum(0)).sum(1).reshape(2, 2)
+    by_word = np.bincount(at, p - gold, n_words)
+    return np.bincount(flat, by_word[who], len(theta)) + L2 * len(at) / 1000 * theta, np.array([by_word.sum()]), expected - seen
+
+
 def seed_features(docs: list[tuple[set[bytes], int]]) -> set[bytes]:
     """Features that mark toxic documents; docs: the distinct words of each and its label."""
     counts, n = (Counter(), Counter()), [0, 0]
@@ -133,22 +154,8 @@ def train(samples: list[tuple[bytes, int]]):
     flat = np.concatenate([np.array(f) for f in flat])
     theta, bias, trans = np.zeros(1 << BITS), np.array([-2.0]), np.zeros((2, 2))
     sums = [np.full_like(x, 1e-8) for x in (theta, bias, trans)]
-    last = np.cumsum(lengths) - 1
-    inner = np.ones(len(at), bool)
-    inner[last] = False
-    here = np.flatnonzero(inner)
-    g0, g1 = gold[here].astype(int), gold[here + 1].astype(int)
-    seen = np.array([[np.sum((g0 == i) & (g1 == j)) for j in (0, 1)] for i in (0, 1)], float)
     for _ in range(STEPS):
-        word = np.bincount(who, theta[flat], len(ids)) + bias[0]
-        t = np.exp(trans)
-        r, b, p = marginals(word[at], lengths, t)
-        e = np.exp(np.clip(word[at], -30, 30))
-        x, y = r[here], e[here + 1] * b[here + 1]
-        pair = np.stack([np.full_like(x, t[0, 0]), t[0, 1] * y, t[1, 0] * x, t[1, 1] * x * y])
-        expected = (pair / pair.sum(0)).sum(1).reshape(2, 2)
-        by_word = np.bincount(at, p - gold, len(ids))
-        grads = (np.bincount(flat, by_word[who], 1 << BITS) + L2 * len(at) / 1000 * theta, np.array([by_word.sum()]), expected - seen)
+        grads = gradients(theta, bias, trans, (at, gold, lengths), (flat, who, len(ids)))
         for value, g, s in zip((theta, bias, trans), grads, sums, strict=True):
             s += g * g
             value -= RATE * g / np.sqrt(s)

@@ -134,3 +134,18 @@ def test_pipeline_stages(spark, tmp_path):
             assert len(rows) == len(before) and all(r.round_trip and len(r.ids) == r.n_pieces for r in rows)
     assert all(kept.values()) and len(corpus_pipeline.STAGES) == 5
     assert corpus_pipeline.run(spark, SF).count() == kept["sentencepiece"]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_odd_tables(spark, odd_docs, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    clash = ("copies", "ids", "n_pieces", "row", "id", "h", "score", "label", "size", "firsts", "c1")
+    docs = odd_docs.withColumns({c: F.lit(5) for c in clash})
+    for table_in in (docs, docs.limit(0)):
+        got = stage(spark, table_in, SF)
+        rows = got.collect()
+        assert len(rows) <= 3 * odd_docs.count()
+        if k < 4:
+            assert got.columns == docs.columns and all(r[c] == 5 for r in rows for c in clash)
+        else:
+            assert len(rows) == table_in.count() and all(r.copies == 5 and len(r.ids) == r.n_pieces for r in rows)

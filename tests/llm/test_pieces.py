@@ -49,3 +49,24 @@ def test_encoded_and_decoded_tables(spark, docs_of):
     assert rows.columns == ["ids", "n_pieces", "round_trip", "doc_id", "lang", "source", "n_chars"]
     back = {r.doc_id: r.text for r in pieces.decoded(rows.drop("n_pieces", "round_trip")).collect()}
     assert back == {0: "plain text", 1: "", 2: "", 3: "zwei Wörter"} and all(r.round_trip for r in rows.collect())
+
+
+def test_columns_with_names_of_results_are_replaced(spark, docs_of):
+    docs = docs_of(["plain text", None]).withColumns({"ids": F.lit("x"), "n_pieces": F.lit("x"), "round_trip": F.lit("x"), "a.b": F.lit(1)})
+    rows = pieces.encoded(docs, checked=True)
+    assert rows.columns == ["ids", "n_pieces", "round_trip", "doc_id", "lang", "source", "n_chars", "a.b"] and {r.round_trip for r in rows.collect()} == {True}
+    back = pieces.decoded(rows.withColumn("text", F.lit("old")))
+    assert {r.text for r in back.collect()} == {"plain text", ""} and pieces.encoded(docs.limit(0)).count() == pieces.decoded(rows.limit(0)).count() == 0
+
+
+def test_models_beyond_the_method_are_refused(spark, docs_of, tmp_path):
+    field = lambda n, raw: bytes([n << 3 | 2, len(raw)]) + raw
+    piece = lambda text, kind: field(1, field(1, text.encode()) + bytes([3 << 3, kind]))
+    bpe, plain = field(2, bytes([3 << 3, 2])), field(3, bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1]))
+    good = piece("<unk>", 2) + piece("a", 1) + piece("\u2581a", 1)
+    assert pieces.unsupported(good + bpe + plain, pieces.read_pieces(good)) is None
+    for data in (good + plain, good + bpe + field(3, bytes([4 << 3, 1])), good + piece("b\u2581", 1) + bpe + plain, good + piece("u", 4) + bpe + plain):
+        assert pieces.unsupported(data, pieces.read_pieces(data))
+    (tmp_path / "m.model").write_bytes(good + plain)
+    with pytest.raises(ValueError, match="BPE"):
+        pieces.encoded(docs_of(["a"]), str(tmp_path / "m.model"))

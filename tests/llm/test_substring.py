@@ -47,3 +47,10 @@ def test_texts_without_passages(spark, docs_of):
     assert set(got) == {1, 2, 4, 5} and got[1].text == passage + " tail" and got[2].text == "head other" and got[2].n_chars == 10
     cut = {r.doc_id: [(s.first, s.end) for s in r.spans] for r in substring.removed_substrings(docs).collect()}
     assert cut == {1: [], 2: [(1, 26)], 3: [(0, 25)], 4: [], 5: []}
+
+
+def test_stage_keeps_columns_of_any_name(spark, docs_of):
+    docs = docs_of([(1, "a b c"), (2, None)]).withColumns({"id": F.lit(7), "firsts": F.lit("x"), "first_windows": F.lit(1), "c0": F.lit(2), "own_id": F.lit(3)})
+    got = substring.without_substrings(docs)
+    assert got.columns == docs.columns and {tuple(r)[5:] for r in got.collect()} == {(7, "x", 1, 2, 3)}
+    assert substring.without_substrings(docs.limit(0)).count() == 0
