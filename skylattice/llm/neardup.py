@@ -354,15 +354,16 @@ def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     node = F.when(F.col("many").isNull(), F.col("rep.id")).otherwise(F.lit(NO_ID) + F.pmod(F.xxhash64("fp1", "fp2", F.lit(1)), F.lit(1 << 60)))
     classes = stored(classes.join(crowd, F.col("rep.id") == F.col("many"), "left").withColumn("node", node).drop("many"), "neardup-classes")
     reps = classes.select("node", F.col("rep.id").alias("id"), F.col("rep.h").alias("h"))
-    sigs = known.select("id", "h", "sig", "n_shingles").join(reps, ["id", "h"]).groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-    sigs = stored(sigs.withColumnRenamed("node", "id"), "neardup-nodes")
+    sigs = known.select("id", "h", "sig", "n_shingles").join(reps, ["id", "h"]).groupBy("id", "h").agg(F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    sigs = stored(sigs.select(F.col("node").alias("id"), "sig", "n_shingles"), "neardup-nodes")
     banded = stored(buckets(sigs).distinct(), "neardup-bands")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = stored(banded.join(sizes, "key"), "neardup-shared")
     drop_stored(banded)
     wanted = reps.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     held = docs.select(node_id(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["id", "h"])
-    held = stored(held.groupBy("node").agg(F.first("text").alias("text")).withColumnRenamed("node", "id"), "neardup-texts")
+    held = held.groupBy("id", "h").agg(F.first("node").alias("node"), F.first("text").alias("text"))  # dealt as joined: repeated rows go without another shuffle
+    held = stored(held.select(F.col("node").alias("id"), "text"), "neardup-texts")
 
     # round 1: one pair a member, with the best-connected member of its buckets
     degree = shared.groupBy("id").agg(F.sum("size").alias("degree"))
