@@ -21,12 +21,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.struct(*ORDER).alias("seq"), (F.col("l_orderkey") % 50).alias("frame_id"), (F.col("l_partkey") % 64).alias("gx"), (F.col("l_suppkey") % 64).alias("gy"),
         F.col("l_extendedprice").alias("color"), F.when(F.col("l_linenumber") != 7, F.col("l_quantity")).alias("elevation"),
-        F.round(F.col("l_discount") * 900).alias("angle"), F.when(F.col("l_returnflag") == "R", 0).otherwise(255).alias("elevated"),
+        (F.col("l_discount") * 800 + F.col("l_extendedprice") % 10).alias("angle"), F.when(F.col("l_returnflag") == "R", 0).otherwise(255).alias("elevated"),
     )
 
 
 OBS = f"""obs as (select {_ORDER_SQL} as seq, l_orderkey % 50 as frame_id, l_partkey % 64 as gx, l_suppkey % 64 as gy, l_extendedprice as color,
-  case when l_linenumber <> 7 then l_quantity end as elevation, cast(round(l_discount * 900) as double) as angle,
+  case when l_linenumber <> 7 then l_quantity end as elevation, l_discount * 800 + l_extendedprice % 10 as angle,
   case when l_returnflag = 'R' then 0 else 255 end as elevated from lineitem)"""
 
 
