@@ -56,8 +56,8 @@ VOTES, VERIFIED = 0.4, 0.9
 CHUNK = 4096
 #: Bytes of text that a task cuts into k-grams together.
 GATHER = 1 << 20
-#: Candidate texts up to which they are broadcast to the texts; more are joined by a shuffle.
-MAX_BROADCAST = 50_000
+#: Candidate texts and spans together up to which they are broadcast to the texts; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 
 
 def folded(text: bytes) -> bytes:
@@ -170,7 +170,8 @@ def common_words(template: list[bytes], span: list[bytes]) -> int:
 def verified(docs: DataFrame, found: DataFrame, templates: Templates) -> DataFrame:
     """key_a, key_b, label, first, end and share of every candidate span that holds its template."""
     found = stored(found, "license-candidates")
-    few = found.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    n_texts, n_spans = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    few = n_texts + n_spans <= MAX_BROADCAST
     held = templates.all
 
     def run(batches):
