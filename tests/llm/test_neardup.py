@@ -67,7 +67,8 @@ def test_late_links_are_emitted_once_a_component(spark):
 def test_recall_on_more_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
-    assert found(neardup.near_duplicates(docs)) == brute.near_duplicates(pairs, 3, 85)
+    for width, percent in ((3, 85), (5, 80)):
+        assert found(neardup.near_duplicates(docs, width, percent)) == brute.near_duplicates(pairs, width, percent)
 
 
 def test_components_of_long_chains(spark):
