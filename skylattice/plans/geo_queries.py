@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import geo
 from skylattice.operators import tiles
-from skylattice.operators.stages import sequence
 from skylattice.plans.catalog import query
 from skylattice.plans.fixtures import FRAMES, GEO, POINTS, frames, points, positions
 
