@@ -145,3 +145,27 @@ def tile_lon(x: str, zoom: str) -> str:
 
 def tile_lat(y: str, zoom: str) -> str:
     return f"degrees(atan(sinh(pi() - 2e0 * pi() * {y} / power(2e0, {zoom}))))"
+
+
+def utm_places(lat, lon, zone: int, south: bool = False):
+    """easting and northing of numpy arrays of positions, by the same series."""
+    import numpy as np
+
+    lam, s = np.radians(lon - (6 * zone - 183)), np.sin(np.radians(lat))
+    t = np.sinh(np.arctanh(s) - _E * np.arctanh(_E * s))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    x = eta + sum(a * np.cos(2 * k * xi) * np.sinh(2 * k * eta) for k, a in enumerate(_ALPHA, 1))
+    y = xi + sum(a * np.sin(2 * k * xi) * np.cosh(2 * k * eta) for k, a in enumerate(_ALPHA, 1))
+    return FALSE_EASTING + SCALE * _RADIUS * x, SCALE * _RADIUS * y + (FALSE_NORTHING if south else 0)
+
+
+def utm_positions(easting, northing, zone: int, south: bool = False):
+    """latitude and longitude of numpy arrays of UTM places."""
+    import numpy as np
+
+    xi, eta = (northing - (FALSE_NORTHING if south else 0)) / (SCALE * _RADIUS), (easting - FALSE_EASTING) / (SCALE * _RADIUS)
+    x = xi - sum(b * np.sin(2 * k * xi) * np.cosh(2 * k * eta) for k, b in enumerate(_BETA, 1))
+    y = eta - sum(b * np.cos(2 * k * xi) * np.sinh(2 * k * eta) for k, b in enumerate(_BETA, 1))
+    chi = np.arcsin(np.sin(x) / np.cosh(y))
+    lat = chi + sum(d * np.sin(2 * k * chi) for k, d in enumerate(_DELTA, 1))
+    return np.degrees(lat), 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(y), np.cos(x)))

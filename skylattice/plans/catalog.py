@@ -20,5 +20,5 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-for _part in ("grid_queries", "mosaic_queries", "spatial_queries", "camera_queries", "geo_queries", "frame_queries", "export_queries", "chain_queries"):
+for _part in ("grid_queries", "mosaic_queries", "spatial_queries", "camera_queries", "geo_queries", "frame_queries", "export_queries", "chain_queries", "block_queries"):
     import_module(f"skylattice.plans.{_part}")
