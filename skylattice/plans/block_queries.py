@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import geo
 from skylattice.functions.camera import Pinhole, heading_rotation
 from skylattice.operators import blocks as B
-from skylattice.operators import imaging
+from skylattice.operators import delaunay, imaging
 from skylattice.plans.catalog import query
 from skylattice.plans.fixtures import table
 
@@ -196,3 +196,27 @@ def warp_bilinear(spark, sf_dir):
     layers = ["elevation", "color"]
     got, _, _ = imaging.warped(B.to_blocks(cells, layers), layers, B.extent_of(cells), RES, ZONE, OUT)
     return B.to_cells(got, layers).select("gx", "gy", *[F.round(F.col(c) / 512, 3).alias(c) for c in layers])
+
+
+def _valid(spark, sf_dir):
+    return raster(spark, sf_dir).where("elevation is not null")
+
+
+@query(
+    "delaunay_counts",
+    f"""with {RASTER}, p as materialized (select gx, gy from raster where elevation is not null), col as materialized (select gx, min(gy) as lo, max(gy) as hi from p group by gx),
+    low as (select gx, lo as gy from col c where not exists (select 1 from col l, col r where l.gx < c.gx and r.gx > c.gx and (c.lo - l.lo) * (r.gx - l.gx) > (r.lo - l.lo) * (c.gx - l.gx))),
+    top as (select gx, hi as gy from col c where not exists (select 1 from col l, col r where l.gx < c.gx and r.gx > c.gx and (c.hi - l.hi) * (r.gx - l.gx) < (r.hi - l.hi) * (c.gx - l.gx))),
+    hull as (select * from low union select * from top union select gx, gy from p where gx in (select min(gx) from p union all select max(gx) from p)),
+    area as (select (select sum((nx - gx) * (gy + ny)) from (select gx, gy, lead(gx) over (order by gx) as nx, lead(gy) over (order by gx) as ny from top)) -
+      (select sum((nx - gx) * (gy + ny)) from (select gx, gy, lead(gx) over (order by gx) as nx, lead(gy) over (order by gx) as ny from low)) as area2)
+    select cast(2 * (select count(*) from p) - (select count(*) from hull) - 2 as bigint) as n_triangles, cast(area2 as bigint) as area2, (select count(*) from hull) as n_hull from area""",
+)
+def delaunay_counts(spark, sf_dir):
+    return delaunay.counted(delaunay.delaunay(_valid(spark, sf_dir)))
+
+
+@query("delaunay_mesh")
+def delaunay_mesh(spark, sf_dir):
+    cells = _valid(spark, sf_dir)
+    return delaunay.raised(delaunay.delaunay(cells), cells, "elevation")
