@@ -166,3 +166,52 @@ def released(frames: DataFrame, keyframes: int) -> DataFrame:
     ready = F.min(F.when(F.col("nth_keyframe") >= keyframes, F.col("ts"))).over(W.partitionBy("camera_id"))
     posed = frames.withColumn("nth_keyframe", keyframes_so_far()).withColumn("ready_ts", ready).where("has_pose = 1")
     return posed.withColumn("release_ts", F.when(F.col("ready_ts").isNotNull(), F.greatest("ts", "ready_ts"))).drop("nth_keyframe", "ready_ts")
+
+
+class PoseSession:
+    """A camera's way to a georeference: it stands once a session has so many posed keyframes; before that, every (lost + 1)th frame without a pose starts a new session."""
+
+    def __init__(self, keyframes: int, lost: int | None = None, state: tuple[int, int, int] = (0, 0, 0)) -> None:
+        self.keyframes, self.lost, (self.session, self.nth, self.missed) = keyframes, lost, state
+
+    @property
+    def stands(self) -> bool:
+        return self.nth >= self.keyframes
+
+    @property
+    def state(self) -> tuple[int, int, int]:
+        return self.session, self.nth, self.missed
+
+    def step(self, keyframe: bool, posed: bool) -> None:
+        """Take the camera's next frame."""
+        if not posed and not self.stands and self.lost is not None:
+            self.missed += 1
+            if self.missed % (self.lost + 1) == 0:
+                self.session, self.nth = self.session + 1, 0
+        self.nth += int(keyframe and posed)
+
+
+def pose_sessions(frames: DataFrame, keyframes: int, lost: int | None = None) -> DataFrame:
+    """camera_id, frame_id, ts, has_pose, session and whether the georeference stands at each frame: a fold, as sessions depend on earlier ones."""
+
+    def start():
+        at = PoseSession(keyframes, lost)
+
+        def step(row):
+            camera, frame, ts, keyframe, posed = row
+            at.step(bool(keyframe), bool(posed))
+            return camera, frame, ts, int(posed), at.session, at.stands
+
+        return step
+
+    rows = frames.select("camera_id", "frame_id", "ts", "is_keyframe", "has_pose")
+    return folded(rows, "camera_id", ["ts", "frame_id"], start, "camera_id long, frame_id long, ts timestamp, has_pose int, session int, stands boolean")
+
+
+def released_sessions(frames: DataFrame, keyframes: int, lost: int | None = None) -> DataFrame:
+    """camera_id, frame_id, session and release_ts of the posed frames that are released: at their own time, but not before their session's georeference
+    stands; a session that ends before has none."""
+    seen = pose_sessions(frames, keyframes, lost)
+    ready = F.min(F.when(F.col("stands"), F.col("ts"))).over(W.partitionBy("camera_id", "session"))
+    posed = seen.withColumn("ready_ts", ready).where("has_pose = 1 and ready_ts is not null")
+    return posed.select("camera_id", "frame_id", "session", F.greatest("ts", "ready_ts").alias("release_ts"))

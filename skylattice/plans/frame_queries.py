@@ -73,6 +73,19 @@ def released_frames(spark, sf_dir):
     return stages.released(frames(spark, sf_dir), 3).select("frame_id", "release_ts")
 
 
+@query("released_sessions", f"""with recursive {FRAMES}, n as materialized (select camera_id, frame_id, ts, is_keyframe, has_pose, row_number() over (partition by camera_id order by ts, frame_id) as k from frames),
+    fold as (select distinct camera_id, cast(0 as bigint) as k, 0 as session, 0 as nth, 0 as missed, cast(null as bigint) as frame_id, cast(null as bigint) as us, 0 as has_pose from n
+      union all select camera_id, k, session + reset, case when reset = 1 then 0 else nth end + case when is_keyframe = 1 and pose = 1 then 1 else 0 end, now_missed, frame_id, us, pose from
+      (select camera_id, k, session, nth, now_missed, frame_id, us, pose, is_keyframe, case when pose = 0 and nth < 3 and now_missed % 3 = 0 then 1 else 0 end as reset from
+        (select n.camera_id, n.k, f.session, f.nth, f.missed + case when n.has_pose = 0 and f.nth < 3 then 1 else 0 end as now_missed, n.frame_id, epoch_us(n.ts) as us, n.has_pose as pose, n.is_keyframe
+         from fold f join n on n.camera_id = f.camera_id and n.k = f.k + 1))),
+    r as (select *, min(case when nth >= 3 then us end) over (partition by camera_id, session) as ready from fold where k > 0)
+    select frame_id, session, greatest(us, ready) as release_us from r where has_pose = 1 and ready is not null""")
+def released_sessions(spark, sf_dir):
+    got = stages.released_sessions(frames(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), 3, 2)
+    return got.select("frame_id", "session", F.unix_micros("release_ts").alias("release_us"))
+
+
 @query("imu_intervals", f"""with {FRAMES}, i as (select event_id as reading_id, user_id % 97 as sensor_id, ts as read_at, value from events)
     select frame_id, count(*) as n, round(avg(value), 6) as mean from frames f join i on i.sensor_id = f.camera_id and i.read_at <= f.ts and i.read_at > f.ts - interval '2 hours' group by frame_id""")
 def imu_intervals(spark, sf_dir):
