@@ -10,14 +10,16 @@ pairs of a bucket, each with rows in proportion to the members:
 2. in buckets that still hold several components, every member outside the largest of them is
    compared, by signature, with one member of each of its buckets that a hash of the round picks
    among a few; the pair that agrees best is tried. This goes on while it links a good part of them;
-3. what is left outside the largest component of a bucket is compared with all its members, block
-   by block inside tasks: signatures first, then those that agree on their full shingle sets. A task
+3. what is left outside the largest component of a bucket is compared with those that share one of its rarest shingles:
+   texts at the threshold that are put in one order share one of the first few, so none is missed, and
+   texts that only have a common template in common don't meet. Groups of one shingle are compared block by
+   block inside tasks: sizes and places first, signatures then, and those that agree on their full shingle sets. A task
    keeps the components that it has found so far and emits only links that join two of them.
 
 Pairs are always confirmed on full shingle sets, and components come from alternating large-star
 and small-star steps, written to the shared folder between rounds. With BANDS x ROWS minima two texts
-of similarity 0.85 meet in no bucket with probability 4e-7, and texts that meet fail the signature
-test with probability 1e-5 at most; for 0.8 these are 1e-5 and 1e-5.
+of similarity 0.85 meet in no bucket with probability 2.4e-7, and texts that meet fail the signature
+test with probability 1.1e-5; for 0.8 these are 3.3e-5 and 1.4e-5.
 
 Nulls and other cases: a null or empty text has no shingles, links with nothing and is its own
 component; a text shorter than a shingle is one shingle; rows with a null doc_id link like others
@@ -40,8 +42,10 @@ from skylattice.llm.common import BASE, drop_stored, gathered, hashed_words, mix
 BANDS, ROWS = 26, 5
 #: Standard deviations below the expected number of equal signature bytes at which a pair is still confirmed.
 MARGIN = 4.3
-#: Members of a bucket that are compared at once, and their shingles.
+#: Members of a group that are compared at once, and their shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Slots that shingles are counted in to tell rare ones; it decides only how many texts meet, not which links are found.
+SLOTS = 1 << 20
 #: Members of a bucket of which one is picked to be compared with the others of them in a round.
 PICKED = 8
 #: Rounds go on while one links this share of the members that are still apart; it decides only who finds a link.
@@ -185,69 +189,73 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray, comps: np.ndarray, least: int, band: int):
-    """Chunks (left members, matrix of which right members agree with them, lie in another component and share no bucket of a band before this one)."""
-    flat = sigs.reshape(len(sigs), -1)
+def _agreement(m: dict, left: np.ndarray, right: np.ndarray, comps: np.ndarray, least: int, percent: int):
+    """Chunks (left members, matrix of which right members may link with them: in another component, of a size and with as much
+    left after the shingle where they meet that the threshold can be reached, and with an agreeing signature)."""
+    n, room = m["n"], m["n"] - m["at"]
     for at in range(0, len(left), 64):
         x = left[at : at + 64]
-        agree = (_scores(flat[x], flat[right]) >= least) & (comps[x][:, None] != comps[right][None])
-        p, q = np.nonzero(agree)
-        first = (sigs[x[p]] == sigs[right[q]]).all(axis=2).argmax(axis=1)
-        agree[p[first != band], q[first != band]] = False
+        rest = np.minimum(room[x][:, None], room[right][None])
+        agree = ((100 + percent) * rest >= percent * (n[x][:, None] + n[right][None])) & (comps[x][:, None] != comps[right][None])
+        there, here = np.flatnonzero(agree.any(axis=1)), np.flatnonzero(agree.any(axis=0))
+        if len(there):
+            agree[np.ix_(there, here)] &= _scores(m["sig"][x[there]], m["sig"][right[here]]) >= least
         yield x, agree
 
 
-_BY = ("key", "band", "i", "j")
+_BY = ("key", "i", "j")
+#: Numbers of a member in a group: its set size and where in the order of rarity its shingle of the group stands.
+_MEMBER = ("side", "id", "component", "n", "at")
 
 
-def _groups(batches, *more: str):
-    """(key, ids, components, sides, signatures, the lists of more columns) of every group of rows, from batches sorted by _BY."""
+def _groups(batches, more: tuple[str, ...] = ()):
+    """(key, members by column) of every group of rows, from batches sorted by _BY; more: binary columns besides sig."""
+    last, held = None, []
 
-    def joined(parts):
-        return tuple(np.concatenate(x) if isinstance(x[0], np.ndarray) else sum(x, []) for x in zip(*parts, strict=True))
+    def joined():
+        out = {c: np.concatenate([h[c] for h in held]) for c in (*_MEMBER, "sig")}
+        return last, out | {c: [x for h in held for x in h[c]] for c in more}
 
-    last, held = None, []
     for b in batches:
         if not b.num_rows:
             continue
         column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
-        number = lambda c: column(c).to_numpy(zero_copy_only=False)
-        keys = np.stack([number(c).astype(np.int64) for c in _BY], 1)
-        sigs = np.frombuffer(b"".join(column("sig").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
-        data = [number("id"), number("component"), number("side"), sigs, *(column(c).to_pylist() for c in more)]
+        number = lambda c: column(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        keys = np.stack([number(c) for c in _BY], 1)
+        data = {c: number(c) for c in _MEMBER} | {"sig": np.frombuffer(b"".join(column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)} | {c: column(c).to_pylist() for c in more}
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
         for at, end in zip(cuts[:-1], cuts[1:], strict=True):
             key = tuple(keys[at].tolist())
             if key != last and held:
-                yield last, *joined(held)
+                yield joined()
                 held = []
             last = key
-            held.append([x[at:end] for x in data])
+            held.append({c: x[at:end] for c, x in data.items()})
     if held:
-        yield last, *joined(held)
+        yield joined()
 
 
-def _agreeing_members(ids, comps, side, sigs, least: int, band: int) -> np.ndarray:
-    """Which members of a block that is apart (side 0) and of a block of the bucket (side 1) have signatures that agree with one of another component on the other side."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    there = np.zeros(len(ids), bool)
-    for x, agree in _agreement(sigs, left, right, comps, least, band):
+def _agreeing_members(m: dict, least: int, percent: int) -> np.ndarray:
+    """Which members of a block that is apart (side 0) and of a block of the group (side 1) may link with one on the other side."""
+    left, right = np.flatnonzero(m["side"] == 0), np.flatnonzero(m["side"] == 1)
+    there = np.zeros(len(m["id"]), bool)
+    for x, agree in _agreement(m, left, right, m["component"], least, percent):
         there[x[agree.any(axis=1)]] = True
         there[right[agree.any(axis=0)]] = True
     return there
 
 
-def _linked_members(ids, comps, side, sigs, shingled: list[bytes], least: int, percent: int, band: int) -> list[tuple[int, int]]:
+def _linked_members(m: dict, least: int, percent: int) -> list[tuple[int, int]]:
     """Links between members of two blocks, judged on full shingle sets; only those that join components."""
-    sets = [np.frombuffer(x, np.uint64) for x in shingled]
+    sets = [np.frombuffer(x, np.uint64) for x in m["shingles"]]
     sizes = np.array([len(x) for x in sets])
     number = np.unique(np.concatenate(sets), return_inverse=True)[1]
     cut = np.split(number, np.cumsum(sizes)[:-1])
     mark = np.zeros(int(number.max()) + 1, bool)
-    _, now = np.unique(comps, return_inverse=True)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    _, now = np.unique(m["component"], return_inverse=True)
+    left, right = np.flatnonzero(m["side"] == 0), np.flatnonzero(m["side"] == 1)
     out = []
-    for chunk, agree in _agreement(sigs, left, right, comps, least, band):
+    for chunk, agree in _agreement(m, left, right, m["component"], least, percent):
         for x, row in zip(chunk, agree, strict=True):
             partners = right[row]
             partners = partners[now[partners] != now[x]]
@@ -260,7 +268,7 @@ def _linked_members(ids, comps, side, sigs, shingled: list[bytes], least: int, p
             for y in partners[100 * both >= percent * (sizes[x] + sizes[partners] - both)]:
                 if now[y] != now[x]:
                     now[now == now[y]] = now[x]
-                    out.append((int(ids[x]), int(ids[y])))
+                    out.append((int(m["id"][x]), int(m["id"][y])))
     return out
 
 
@@ -276,7 +284,7 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (key, band, id, size, component) of buckets with several components, and whether they are outside the largest of them."""
+    """Members of buckets or groups (key, id and further columns) that hold several components, with component and whether they are outside the largest of them (apart)."""
     placed = shared.join(comp, "id")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.count(F.lit(1)).alias("several")).where("several > 1")
@@ -303,44 +311,102 @@ def _tried(members: DataFrame, sigs: DataFrame, turn: int, least: int) -> DataFr
     return judged.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
 
 
-def _late_links(members: DataFrame, sigs: DataFrame, held: DataFrame, width: int, percent: int, least: int) -> DataFrame:
-    """Links (a, b) of the members that are apart with all members of their buckets, block by block."""
-    signed = members.join(sigs, "id")
-    blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.count(where) / BLOCK), F.ceil(F.sum(F.when(where.isNotNull(), F.col("n_shingles"))) / BLOCK_SHINGLES))
-    sizes = signed.groupBy("key").agg(blocks(F.when(F.col("apart"), 1)).alias("n_i"), blocks(F.lit(1)).alias("n_j"))
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _commonness(sets: DataFrame) -> bytes:
+    """How common the shingles of each of SLOTS slots are, a byte on a logarithmic scale: what tasks count is added up by Spark."""
+
+    def run(batches):
+        seen = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                seen += np.bincount(_slots(np.frombuffer(x, np.uint64)), minlength=SLOTS)
+        there = np.flatnonzero(seen)
+        yield pa.record_batch({"slot": pa.array(there, pa.int64()), "n": pa.array(seen[there])})
+
+    counts = sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    level = np.zeros(SLOTS, np.uint8)
+    for b in counts.select("slot", F.least(F.lit(255), F.round(F.log2("n") * 6)).cast("int").alias("level")).toArrow().to_batches():  # SLOTS rows at most
+        level[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return level.tobytes()
+
+
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n (size of the set) and at (place in the order): the rarest shingles of every set (id, shingles), as many that sets at the threshold share one of them.
+
+    Two such sets have percent of the larger one in common at least, so if both are put in the same order, one of
+    those shared is among the first n - ceil(percent * n / 100) + 1 of each. In the order of rarity these are what a text has of its own:
+    texts that only share what many have don't meet."""
+    level = _commonness(sets)
+
+    def run(batches):
+        common = np.frombuffer(level, np.uint8)
+        for b in slices(batches, 500):
+            keys, n, sizes = [], [], []
+            for x in b.column(1).to_pylist():
+                h = np.frombuffer(x, np.uint64)
+                first = len(h) + (-percent * len(h)) // 100 + 1
+                keys.append(h[np.lexsort((h, common[_slots(h)]))[:first]])
+                n.append(len(keys[-1]))
+                sizes.append(len(h))
+            if keys:
+                at = np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.record_batch(
+                    {"key": np.concatenate(keys).view(np.int64), "id": np.repeat(b.column(0).to_numpy(zero_copy_only=False), n), "n": np.repeat(np.array(sizes, np.int32), n), "at": at.astype(np.int32)}
+                )
+
+    return sets.mapInArrow(run, "key long, id long, n int, at int")
+
+
+def _shingle_sets(held: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id and shingles (sorted hashes) of the texts of some ids."""
+
+    def run(batches):
+        for b in gathered(batches, 1, GATHER):
+            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingles(texts(b.column(1)), width)], pa.binary())], ["id", "shingles"])
+
+    return stored(held.join(ids, "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
+
+
+def _late_links(members: DataFrame, comp: DataFrame, sigs: DataFrame, held: DataFrame, percent: int, width: int, least: int) -> DataFrame:
+    """Links (a, b) of the members that are apart with all those that share a rare shingle with them, block by block."""
+    sets = _shingle_sets(held, members.select("id").distinct(), width)
+    rare = _rare_shingles(sets, percent)
+    sizes = rare.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    meeting = stored(rare.join(sizes, "key"), "neardup-rare")
+    members = _apart(meeting, comp)
+    drop_stored(meeting)
+    signed = members.join(sigs.select("id", "sig"), "id")
+    blocks = lambda where: F.greatest(F.lit(1), F.ceil(F.count(where) / BLOCK), F.ceil(F.sum(F.when(where.isNotNull(), F.col("n").cast("long"))) / BLOCK_SHINGLES))
+    sizes = members.groupBy("key").agg(blocks(F.when(F.col("apart"), 1)).alias("n_i"), blocks(F.lit(1)).alias("n_j"))
     numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
-    columns = ("key", "band", "i", "j", "side", "id", "component", "sig")
+    columns = (*_BY, *_MEMBER, "sig")
     sized = signed.join(sizes, "key")
     left = sized.where("apart").withColumns({"i": own("n_i"), "j": numbers("n_j"), "side": F.lit(0)}).select(*columns)
     right = sized.withColumns({"j": own("n_j"), "i": numbers("n_i"), "side": F.lit(1)}).select(*columns)
-    schema = "key long, band int, i long, j long, side int, id long, component long, sig binary"
+    schema = "key long, i long, j long, side int, id long, component long, n int, at int, sig binary"
     sort = lambda df: df.repartition(*_BY).sortWithinPartitions(*_BY)
 
     def agreeing_rows(batches):
-        for key, ids, comps, side, sigs in _groups(batches):
-            there = _agreeing_members(ids, comps, side, sigs, least, key[1])
-            n = int(there.sum())
-            if n:
-                same = [pa.array(np.full(n, k, np.int32 if c == "band" else np.int64)) for c, k in zip(_BY, key, strict=True)]
-                rest = [pa.array(side[there].astype(np.int32)), pa.array(ids[there]), pa.array(comps[there]), pa.array([x.tobytes() for x in sigs[there]], pa.binary())]
-                yield pa.record_batch([*same, *rest], [*_BY, "side", "id", "component", "sig"])
+        for key, m in _groups(batches):
+            there = _agreeing_members(m, least, percent)
+            if there.any():
+                same = [pa.array(np.full(int(there.sum()), k, np.int64)) for k in key]
+                own = [pa.array(m[c][there].astype(np.int64 if c in ("id", "component") else np.int32)) for c in _MEMBER]
+                yield pa.record_batch([*same, *own, pa.array([x.tobytes() for x in m["sig"][there]], pa.binary())], [*_BY, *_MEMBER, "sig"])
 
     def linking_rows(batches):
-        for key, ids, comps, side, sigs, shingled in _groups(batches, "shingles"):
-            found = _linked_members(ids, comps, side, sigs, shingled, least, percent, key[1])
+        for _, m in _groups(batches, ("shingles",)):
+            found = _linked_members(m, least, percent)
             if found:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     involved = stored(sort(left.unionByName(right)).mapInArrow(agreeing_rows, schema), "neardup-involved")
-
-    def run(batches):
-        for b in gathered(batches, 1, GATHER):
-            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingles(texts(b.column(1)), width)], pa.binary())], ["id", "shingles"])
-
-    sets = stored(held.join(involved.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(run, "id long, shingles binary"), "neardup-sets")
     links = stored(sort(involved.join(sets, "id")).mapInArrow(linking_rows, "a long, b long"), "neardup-late")
-    drop_stored(involved, sets)
+    drop_stored(members, involved, sets)
     return links
 
 
@@ -396,7 +462,7 @@ def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     # round 3: what is still apart, with everything in its buckets
     if apart:
-        links = _late_links(members, sigs, held, width, percent, least)
+        links = _late_links(members, comp, sigs, held, percent, width, least)
         comp = _merged(comp, links)
         drop_stored(links)
     drop_stored(members, sigs, shared, held)

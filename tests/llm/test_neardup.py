@@ -50,11 +50,11 @@ def test_late_links_are_emitted_once_a_component(spark):
     rng = np.random.default_rng(1)
     base = np.unique(rng.integers(0, 1 << 60, 200, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[: 195 - k % 3], rng.integers(0, 1 << 60, 2, dtype=np.uint64)])) for k in range(60)] * 2
-    sigs = np.frombuffer(b"".join(neardup.signature(s) for s in sets), np.uint8).reshape(-1, neardup.BANDS, neardup.ROWS)
-    ids, side = np.arange(120) % 60, np.arange(120) // 60
-    found = lambda band: neardup._linked_members(ids, ids, side, sigs, [s.tobytes() for s in sets], neardup.agreeing(85), 85, band)
-    assert 0 < len(found(0)) <= 59  # links of members whose first shared band is 0: a tree, not all pairs
-    links = [p for band in range(neardup.BANDS) for p in found(band)]
+    sigs = np.frombuffer(b"".join(neardup.signature(s) for s in sets), np.uint8).reshape(len(sets), -1)
+    ids, n = np.arange(120) % 60, np.array([len(s) for s in sets])
+    m = {"id": ids, "component": ids, "side": np.arange(120) // 60, "n": n, "at": np.zeros(120, np.int64), "sig": sigs, "shingles": [s.tobytes() for s in sets]}
+    links = neardup._linked_members(m, neardup.agreeing(85), 85)
+    assert len(links) == 59  # a tree, not all pairs
     seen, reach = {0}, 1
     while True:
         seen |= {y for p in links for x, y in (p, p[::-1]) if x in seen}
@@ -64,6 +64,40 @@ def test_late_links_are_emitted_once_a_component(spark):
     assert seen == set(range(60))
 
 
+def test_linked_sets_share_a_rare_shingle(spark):
+    """Every two sets at the threshold meet in a shingle at places that leave enough after it; sets that share a template only don't meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets, template = [], draw(300)
+    for k in range(40):
+        base = draw(int(rng.integers(1, 120)))
+        sets += [np.unique(np.concatenate([base[: len(base) - int(rng.integers(0, 1 + len(base) // 8))], draw(int(rng.integers(0, 1 + len(base) // 10)))])) for _ in range(4)]
+    pages = [np.unique(np.concatenate([template, draw(60)])) for _ in range(150)]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets + pages)], "id long, shingles binary")
+    for percent in (80, 85):
+        by: dict = {}
+        for r in neardup._rare_shingles(df, percent).collect():
+            by.setdefault(r.key, []).append(r)
+        met = {(a.id, b.id) for g in by.values() for a in g for b in g if (100 + percent) * min(a.n - a["at"], b.n - b["at"]) >= percent * (a.n + b.n)}
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(np.intersect1d(x, y))
+                assert 100 * both < percent * (len(x) + len(y) - both) or (i, j) in met
+        first = len(sets)
+        assert not any(a != b for a, b in met if a >= first and b >= first)
+
+
+def test_template_pages_are_kept_apart(spark, docs_of):
+    """Pages of a common template with words of their own (similarity 0.7): more of them than a block, no two linked, but for a planted pair."""
+    rng = random.Random(8)
+    shared = [f"t{i}" for i in range(85)]
+    pairs = [(i, " ".join(shared + [f"o{rng.randrange(10**6)}" for _ in range(15)])) for i in range(700)]
+    pairs.append((9000, pairs[40][1] + " end"))
+    assert found(neardup.near_duplicates(docs_of(pairs))) == {i: (98 + (i == 9000), 40 if i == 9000 else i) for i, _ in pairs}
+
+
 def test_recall_on_more_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
