@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skylattice.functions.camera import Pinhole, heading_rotation, to_world
+from skylattice.operators import selection
 
 VALID = "depth > 0"
 EYE = ("easting", "northing", "altitude")
@@ -15,16 +16,15 @@ EYE = ("easting", "northing", "altitude")
 def stats(depth: DataFrame) -> DataFrame:
     """n, min, max over valid depths, and the upper median over all pixels with missing ones as -1."""
     filled = depth.withColumn("all_depth", F.coalesce("depth", F.lit(-1.0)))
-    ranked = filled.groupBy("frame_id").agg(
+    spans = filled.groupBy("frame_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.when(F.expr(VALID), F.col("depth"))).alias("min_depth"), F.max(F.when(F.expr(VALID), F.col("depth"))).alias("max_depth"),
-        F.expr("percentile_disc(0.5) within group (order by all_depth)").alias("lower"), F.expr("percentile_disc(0.5) within group (order by all_depth desc)").alias("upper"),
     )
-    return ranked.select("frame_id", "n", "min_depth", "max_depth", F.col("upper").alias("median_depth"))
+    return selection.with_group(spans, selection.upper_median(filled, "all_depth", ("frame_id",), "median_depth"), ("frame_id",))
 
 
 def lower_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     """The lower median of the values that are there."""
-    return df.groupBy(*by).agg(F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("median"))
+    return selection.lower_median(df, value, by)
 
 
 def clamp(depth: DataFrame, low: float = 0.25, high: float = 1.75) -> DataFrame:
@@ -98,7 +98,8 @@ def scene_depth(points: DataFrame, r2: tuple[float, float, float], tz: float, *b
         nth = F.row_number().over(W.partitionBy(*by).orderBy(order))
         points = points.withColumn("nth", nth).where(F.col("nth") <= most)
     d = points.withColumn("d", r2[0] * F.col("x") + r2[1] * F.col("y") + r2[2] * F.col("z") + tz)
-    return d.groupBy(*by).agg(F.min("d").alias("min_depth"), F.expr("percentile_disc(0.5) within group (order by d)").alias("median_depth"), F.max("d").alias("max_depth"))
+    spans = d.groupBy(*by).agg(F.min("d").alias("min_depth"), F.max("d").alias("max_depth"))
+    return selection.with_group(spans, selection.lower_median(d, "d", by, "median_depth"), by).select(*by, "min_depth", "median_depth", "max_depth")
 
 
 def placed(depth: DataFrame, frames: DataFrame, camera: Pinhole) -> DataFrame:
