@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.camera import distance
 from skylattice.operators.folds import folded
+from skylattice.operators.tables import written
 
 GIS, VIS = ("gx", "gy", "gz"), ("vx", "vy", "vz")
 #: Metres that two GNSS positions must be apart to give a scale (fixed value).
@@ -163,7 +164,7 @@ def georef_init(poses: DataFrame, least_visual: float, min_frames: int, most_cha
 
     The report holds n_unique, the mean scale and whether the camera stands: with min_frames unique measurements at least, and a scale that
     differs from the one before by most_change at most. Only cameras that stand have measurements and a transform."""
-    judged = judged_unique(poses, least_visual)
+    judged = written(judged_unique(poses, least_visual), "georef-judged")  # the fold runs once; three results read it
     report = judged.groupBy("camera_id").agg(F.count_if("chosen").alias("n_unique"), (F.sum("total") / F.when(F.sum("n") > 0, F.sum("n"))).alias("scale"))
     stands = (F.col("n_unique") >= min_frames) & F.col("scale").isNotNull()
     if most_change is not None:

@@ -33,14 +33,16 @@ def rectify(frames: DataFrame, camera: C.Pinhole, res: float, height: float) ->
     return _shown(cells, camera, (F.col("gx") * res, F.col("gy") * res, F.lit(height)))
 
 
-def rectify_surface(frames: DataFrame, surface: DataFrame, camera: C.Pinhole, res: float) -> DataFrame:
-    """The same for a surface of cells (gx, gy, elevation); cells without elevation show nothing."""
-    boxes = footprints(frames, camera)
+def rectify_surface(frames: DataFrame, surface: DataFrame, camera: C.Pinhole, res: float, ground: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same for a surface of cells (gx, gy, elevation); cells without elevation show nothing, and none lies below ground. keep names further columns of frames.
+
+    A frame meets the blocks of cells under its footprint on the ground, so rows grow with what frames see."""
+    boxes = footprints(frames, camera, ground)
     block = 32
     span = lambda c, n: F.sequence(F.floor(F.col(c) / res / block), F.floor((F.col(c) + F.col(n)) / res / block))
     spread = boxes.withColumn("bx", F.explode(span("x", "width"))).withColumn("by", F.explode(span("y", "height")))
-    ground = surface.where(F.col("elevation").isNotNull()).select("gx", "gy", "elevation", F.floor(F.col("gx") / block).alias("bx"), F.floor(F.col("gy") / block).alias("by"))
-    return _shown(ground.join(spread, ["bx", "by"]), camera, (F.col("gx") * res, F.col("gy") * res, F.col("elevation")))
+    cells = surface.where(F.col("elevation").isNotNull()).select("gx", "gy", "elevation", F.floor(F.col("gx") / block).alias("bx"), F.floor(F.col("gy") / block).alias("by"))
+    return _shown(cells.join(spread, ["bx", "by"]), camera, (F.col("gx") * res, F.col("gy") * res, F.col("elevation")), ["elevation", *keep] if keep else None)
 
 
 def rectify_frames(frames: DataFrame, surfaces: DataFrame, camera: C.Pinhole, res: float) -> DataFrame:
@@ -60,9 +62,17 @@ def orthophotos(frames: DataFrame, surfaces: DataFrame, images: DataFrame, camer
     """frame_id, gx, gy, color, elevation, angle, elevated and n_obs of every cell of every frame's surface that its image shows.
 
     elevated is 0 on surfaces of ELEVATION and 255 on planar ones. Its rows, with a seq, are what a mosaic blends."""
-    cells = colored(rectify_frames(frames, surfaces, camera, res), images)
+    return _photographed(rectify_frames(frames, surfaces, camera, res), images)
+
+
+def orthophotos_of_map(frames: DataFrame, surface: DataFrame, images: DataFrame, camera: C.Pinhole, res: float, ground: float = 0.0) -> DataFrame:
+    """The same of frames (with the assumption of each) over one surface that all of them see, none of whose cells lies below ground."""
+    return _photographed(rectify_surface(frames, surface, camera, res, ground, ("assumption",)), images)
+
+
+def _photographed(cells: DataFrame, images: DataFrame) -> DataFrame:
     flag = F.when(F.col("assumption") == "ELEVATION", 0).otherwise(255)
-    return cells.select("frame_id", "gx", "gy", "color", "elevation", "angle", flag.alias("elevated"), F.lit(1).alias("n_obs"))
+    return colored(cells, images).select("frame_id", "gx", "gy", "color", "elevation", "angle", flag.alias("elevated"), F.lit(1).alias("n_obs"))
 
 
 def _shown(cells: DataFrame, camera: C.Pinhole, p: tuple, keep: list[str] | None = None) -> DataFrame:

@@ -100,8 +100,7 @@ def _ortho(spark, sf_dir):
     seen = shots(spark)
     cells = observations(spark, sf_dir).where("elevation is not null").groupBy("gx", "gy").agg(F.min("elevation").alias("elevation"))
     kinds = surface.assumptions(seen, seen).select("frame_id", "assumption")
-    surfaces = cells.join(F.broadcast(kinds))  # eight frames see the whole surface
-    return rectify.orthophotos(seen, surfaces, images(spark, sf_dir), SMALL, 1.0)
+    return rectify.orthophotos_of_map(seen.join(kinds, "frame_id"), cells, images(spark, sf_dir), SMALL, 1.0)
 
 
 @query("ortho_frames", f"with {_ORTHO} select frame_id, gx, gy, color, elevation, round(angle, 4) as angle, elevated, 1 as n_obs from ortho")

@@ -39,6 +39,11 @@ def test_runs(spark, name):
 
 
 def test_lattice_queries_need_no_cartesian_product(spark):
-    for name in ("idw_elevation", "knn2", "radius_neighbors", "rectify_cells", "consistency_votes"):
+    for name in ("idw_elevation", "knn2", "radius_neighbors", "rectify_cells", "consistency_votes", "ortho_frames", "ortho_mosaic", "undistort_images", "stereo_remap"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_georeference_folds_once(spark):
+    plan = catalog.QUERIES["georef_init"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1  # the decomposition of the fits; the fold is a table by now
