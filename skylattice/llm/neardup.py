@@ -235,14 +235,21 @@ def _groups(batches, more: tuple[str, ...] = ()):
         yield joined()
 
 
-def _agreeing_members(m: dict, least: int, percent: int) -> np.ndarray:
-    """Which members of a block that is apart (side 0) and of a block of the group (side 1) may link with one on the other side."""
+def _agreeing_members(m: dict, least: int, percent: int) -> list[np.ndarray]:
+    """Members of a block that is apart (side 0) and of a block of the group (side 1) that may link with one on the other side: those that hang together, in an array each."""
     left, right = np.flatnonzero(m["side"] == 0), np.flatnonzero(m["side"] == 1)
-    there = np.zeros(len(m["id"]), bool)
+    number = np.unique(m["id"], return_inverse=True)[1]
+    part = np.arange(number.max() + 1)  # of every id; the same for ids that hang together
+    met = np.zeros(len(m["id"]), bool)
     for x, agree in _agreement(m, left, right, m["component"], least, percent):
-        there[x[agree.any(axis=1)]] = True
-        there[right[agree.any(axis=0)]] = True
-    return there
+        for i in np.flatnonzero(agree.any(axis=1)):
+            met[x[i]] = True
+            met[right[agree[i]]] = True
+            own = np.unique(part[np.append(number[right[agree[i]]], number[x[i]])])
+            part[np.isin(part, own)] = own[0]
+    at = np.flatnonzero(met)
+    of = part[number[at]]
+    return [at[of == k] for k in np.unique(of)]
 
 
 def _linked_members(m: dict, least: int, percent: int) -> list[tuple[int, int]]:
@@ -387,16 +394,16 @@ def _late_links(members: DataFrame, comp: DataFrame, sigs: DataFrame, held: Data
     sized = signed.join(sizes, "key")
     left = sized.where("apart").withColumns({"i": own("n_i"), "j": numbers("n_j"), "side": F.lit(0)}).select(*columns)
     right = sized.withColumns({"j": own("n_j"), "i": numbers("n_i"), "side": F.lit(1)}).select(*columns)
-    schema = "key long, i long, j long, side int, id long, component long, n int, at int, sig binary"
     sort = lambda df: df.repartition(*_BY).sortWithinPartitions(*_BY)
 
     def agreeing_rows(batches):
-        for key, m in _groups(batches):
-            there = _agreeing_members(m, least, percent)
-            if there.any():
-                same = [pa.array(np.full(int(there.sum()), k, np.int64)) for k in key]
-                own = [pa.array(m[c][there].astype(np.int64 if c in ("id", "component") else np.int32)) for c in _MEMBER]
-                yield pa.record_batch([*same, *own, pa.array([x.tobytes() for x in m["sig"][there]], pa.binary())], [*_BY, *_MEMBER, "sig"])
+        for _, m in _groups(batches):
+            for there in _agreeing_members(m, least, percent):
+                there = there[np.lexsort((m["side"][there], m["id"][there]))]
+                ids, side = m["id"][there], m["side"][there]
+                name = xxhash.xxh3_64_intdigest(ids.tobytes() + side.tobytes()) >> 1  # texts that meet by many shingles are one group
+                rows = {"key": np.full(len(ids), name, np.int64), "side": side.astype(np.int32), "id": ids, "component": m["component"][there], "n": m["n"][there].astype(np.int32)}
+                yield pa.record_batch(rows | {"sig": pa.array([x.tobytes() for x in m["sig"][there]], pa.binary())})
 
     def linking_rows(batches):
         for _, m in _groups(batches, ("shingles",)):
@@ -404,8 +411,11 @@ def _late_links(members: DataFrame, comp: DataFrame, sigs: DataFrame, held: Data
             if found:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
+    schema = "key long, side int, id long, component long, n int, sig binary"
     involved = stored(sort(left.unionByName(right)).mapInArrow(agreeing_rows, schema), "neardup-involved")
-    links = stored(sort(involved.join(sets, "id")).mapInArrow(linking_rows, "a long, b long"), "neardup-late")
+    once = involved.groupBy("key", "id", "side").agg(*[F.first(c).alias(c) for c in ("component", "n", "sig")])
+    once = once.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long"), "at": F.lit(0)})
+    links = stored(sort(once.join(sets, "id")).mapInArrow(linking_rows, "a long, b long"), "neardup-late")
     drop_stored(members, involved, sets)
     return links
 
