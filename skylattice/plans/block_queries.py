@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import geo
 from skylattice.functions.camera import Pinhole, heading_rotation
 from skylattice.operators import blocks as B
-from skylattice.operators import delaunay, imaging
+from skylattice.operators import delaunay, imaging, quadtree
 from skylattice.plans.catalog import query
 from skylattice.plans.fixtures import table
 
@@ -220,3 +220,41 @@ def delaunay_counts(spark, sf_dir):
 def delaunay_mesh(spark, sf_dir):
     cells = _valid(spark, sf_dir)
     return delaunay.raised(delaunay.delaunay(cells), cells, "elevation")
+
+
+def scattered(spark, sf_dir):
+    """pid, x and y of points of which a third lie in one small place."""
+    k, x, y = F.col("o_orderkey"), F.col("o_totalprice") / 1000, (F.col("o_custkey") * 37 % 1000) / 2.0
+    tight = k % 3 == 0
+    return table(spark, sf_dir, "orders").select(k.alias("pid"), F.when(tight, 250 + x / 500).otherwise(x).alias("x"), F.when(tight, 250 + y / 500).otherwise(y).alias("y"))
+
+
+_SCATTERED = """pts as materialized (select o_orderkey as pid, case when o_orderkey % 3 = 0 then 250 + o_totalprice / 1000e0 / 500 else o_totalprice / 1000e0 end as x,
+  case when o_orderkey % 3 = 0 then 250 + (o_custkey * 37 % 1000) / 2e0 / 500 else (o_custkey * 37 % 1000) / 2e0 end as y from orders)"""
+
+
+@query(
+    "knn_of_rows",
+    f"""with {_SCATTERED}, d as (select q.pid as qid, p.pid, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) as d2 from pts q, pts p where q.pid % 20 = 0)
+    select qid, pid, cast(rank as integer) as rank, round(d2, 6) as d2 from (select *, row_number() over (partition by qid order by d2, pid) as rank from d) where rank <= 5""",
+)
+def knn_of_rows(spark, sf_dir):
+    p = scattered(spark, sf_dir)
+    asked = p.where("pid % 20 = 0").select(F.col("pid").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    return quadtree.Quadtree(p).nearest(asked, 5, ("pid",)).select("qid", "pid", "rank", F.round("d2", 6).alias("d2"))
+
+
+def _sites(spark, sf_dir):
+    """One point a customer, most of them near others."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("pid"), ((k * 37 % 211) + F.col("c_acctbal") / 10000).alias("x"), ((k * 101 % 97) + F.col("c_acctbal") % 1000 / 300).alias("y"))
+
+
+@query(
+    "cloud_without_outliers",
+    """with pts as materialized (select c_custkey as pid, (c_custkey * 37 % 211) + c_acctbal / 10000e0 as x, (c_custkey * 101 % 97) + c_acctbal % 1000 / 300e0 as y from customer),
+    d as (select q.pid, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) as d from pts q, pts p), n as (select pid, d, row_number() over (partition by pid order by d) as rn from d),
+    m as (select pid, avg(d) as apart from n where rn between 2 and 7 group by pid) select pid, round(apart, 6) as apart from m where apart <= (select avg(apart) + stddev_samp(apart) from m)""",
+)
+def cloud_without_outliers(spark, sf_dir):
+    return quadtree.without_outliers(_sites(spark, sf_dir), "pid").select("pid", F.round("apart", 6).alias("apart"))
