@@ -12,6 +12,7 @@ from skylattice.operators import blocks as B
 from skylattice.operators import delaunay, imaging, quadtree
 from skylattice.plans.catalog import query
 from skylattice.plans.fixtures import table
+from skylattice.sources import geotiff
 
 #: Columns of a map that gets longer with the table; pixels of a frame.
 WIDE, LENS = 101, Pinhole(30.0, 30.0, 15.5, 11.5, 32, 24, -0.12, 0.03, 0.001, -0.0007)
@@ -258,3 +259,25 @@ def _sites(spark, sf_dir):
 )
 def cloud_without_outliers(spark, sf_dir):
     return quadtree.without_outliers(_sites(spark, sf_dir), "pid").select("pid", F.round("apart", 6).alias("apart"))
+
+
+def _tiffs(spark, sf_dir):
+    return geotiff.geotiffs(B.to_blocks(raster(spark, sf_dir), ["elevation"]), ["elevation"], RES, 32632, side=256)
+
+
+@query("geotiff_cells", f"with {RASTER} select gx, gy, round(cast(cast(elevation as float) as double), 3) as elevation from raster where elevation is not null")
+def geotiff_cells(spark, sf_dir):
+    got = B.to_cells(geotiff.read_blocks(_tiffs(spark, sf_dir), ["elevation"]), ["elevation"])
+    return got.select("gx", "gy", F.round("elevation", 3).alias("elevation"))
+
+
+@query(
+    "geotiff_overviews",
+    f"""with {RASTER}, far as (select gx * 7 as gx, gy * 7 as gy, elevation from raster where elevation is not null)
+    select k as level, gx, gy, round(cast(cast(elevation as float) as double), 3) as elevation from far, (select unnest(range(1, 3)) as k) where gx % (1 << k) = 0 and (gy + 1) % (1 << k) = 0""",
+)
+def geotiff_overviews(spark, sf_dir):
+    far = raster(spark, sf_dir).withColumns({"gx": F.col("gx") * 7, "gy": F.col("gy") * 7})
+    files = geotiff.geotiffs(B.to_blocks(far, ["elevation"]), ["elevation"], RES, 32632, side=1024)
+    each = [geotiff.read_cells(files, ["elevation"], k).select(F.lit(k).cast("long").alias("level"), "gx", "gy", F.round("elevation", 3).alias("elevation")) for k in (1, 2)]
+    return each[0].unionByName(each[1])
