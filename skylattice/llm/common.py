@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="skylattice-"))
     return got

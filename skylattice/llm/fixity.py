@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import stored
+from skylattice.llm.common import drop_stored, stored
 
 #: Page ids to a WARC file; a range of ids with more than twice as many records gets several files.
 FILE_IDS = 512
@@ -46,6 +46,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     again = stored(counts.select(*[F.col(c).alias(f"k_{c}") for c in _KEYS]), "warc-repeated")
     if again.isEmpty():
+        drop_stored(again)
         return rows.withColumn("nth", F.lit(0).cast("long"))
     on = F.lit(True)
     for c in _KEYS:
@@ -87,10 +88,12 @@ def archive(pages: DataFrame, date: str = DATE) -> DataFrame:
     crowd = rows.groupBy(span.alias("k_span")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * FILE_IDS)
     crowd = stored(crowd.select("k_span", F.ceil(F.col("n") / FILE_IDS).alias("files")), "warc-crowded")
     part = F.coalesce(F.pmod(F.xxhash64("record_id"), F.col("files")), F.lit(0))
-    return named.join(crowd, F.col("span") == F.col("k_span"), "left").select(
+    out = named.join(crowd, F.col("span") == F.col("k_span"), "left").select(
         "page_id", F.concat("span", F.lit("-"), part.cast("string")).alias("file"), "record_id",
         record_text(F.col("record_id"), F.col("url"), F.col("html"), F.col("digest"), date).alias("record"),
     )
+    out.stored_path = crowd.stored_path  # what it reads
+    return out
 
 
 def described(records: DataFrame, *order: str) -> DataFrame:
@@ -132,6 +135,7 @@ def merkle_tree(records: DataFrame, levels: int = LEVELS) -> DataFrame:
         parent = F.col(above[k + 1]) if k < levels else F.lit(None).cast("string")
         part = level.select("file", F.lit(k).alias("level"), F.col(above[k]).alias("node"), parent.alias("parent"), "n_bytes", "hash")
         tree = part if tree is None else tree.unionByName(part)
+    tree.stored_path = rows.stored_path  # what it reads
     return tree
 
 
@@ -150,7 +154,9 @@ def audit(left: DataFrame, right: DataFrame, levels: int = LEVELS) -> DataFrame:
             parents = bad.select("file", F.col("node").alias("parent"))
             a, b = (x.join(parents, ["file", "parent"], "left_semi") for x in (a, b))
         differ = a.drop("parent").join(b.drop("parent"), ["file", "node"], "full_outer").where(~F.col("l_hash").eqNullSafe(F.col("r_hash")))
-        bad = stored(differ, "fixity-differ")  # read for both replicas at the next level
+        above, bad = bad, stored(differ, "fixity-differ")  # read for both replicas at the next level
+        if above is not None:
+            drop_stored(above)
     fault = F.when(F.col("r_hash").isNull(), "missing").when(F.col("l_hash").isNull(), "extra").otherwise("corrupt")
     return bad.select("file", "node", fault.alias("fault"))
 

@@ -85,8 +85,8 @@ def _unfolded(rows: DataFrame, counts: Column) -> DataFrame:
     return parts.repartition("g", "idx").withColumn("k", each).withColumn("idx", F.col("idx") + F.col("k")).drop("times", "part", "k")
 
 
-def ranked(leaves: DataFrame) -> DataFrame:
-    """leaves (g, key, leaf, further columns) with idx, a row's place in its group, and total; keys are longs, null first."""
+def ranked(leaves: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """leaves (g, key, leaf, further columns) with idx, a row's place in its group, and total; keys are longs, null first. Also the stored tables that this reads."""
     more = [c for c in leaves.columns if c not in ("g", "key", "leaf")]
     flipped = F.col("key").bitwiseXOR(-(1 << 63))  # unsigned order
     rows = stored(leaves.withColumn("bucket", F.coalesce(F.shiftrightunsigned(flipped, BITS) + 1, F.lit(0))), "manifest-leaves")
@@ -99,16 +99,18 @@ def ranked(leaves: DataFrame) -> DataFrame:
     columns = ["g", "idx", "total", "leaf", *more]
     crowded = placed.where(F.col("n") > RADIX).withColumnRenamed("n", "rows")
     if crowded.isEmpty():
-        return few.select(*columns)
+        return few.select(*columns), [rows, placed]
     first = F.conv(F.substring("leaf", 1, 14), 16, 10).cast("long")
     place = F.shiftleft(F.coalesce(F.col("key").bitwiseAND(RADIX - 1), F.lit(0)), 56).bitwiseOR(first)
     once = rows.groupBy(*at, "key", "leaf", *more).agg(F.count(F.lit(1)).alias("m")).withColumn("place", place)
     once = stored(once.join(crowded, at), "manifest-crowded")
     counts = stored(once.groupBy(*at, "place").agg(F.sum("m").alias("n")), "manifest-counts")
-    inner = preceding(counts, at, "place", "manifest-places").select(*at, "place", F.col("before").alias("inner"))
+    places = preceding(counts, at, "place", "manifest-places")
+    drop_stored(counts)
+    inner = places.select(*at, "place", F.col("before").alias("inner"))
     own = F.coalesce(F.sum("m").over(W.partitionBy(*at, "place").orderBy("key", "leaf").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     many = once.withColumn("own", own).join(inner, [*at, "place"]).withColumn("idx", F.col("before") + F.col("inner") + F.col("own"))
-    return few.select(*columns).unionByName(_unfolded(many, F.col("m")).select(*columns))
+    return few.select(*columns).unionByName(_unfolded(many, F.col("m")).select(*columns)), [rows, placed, once, places]
 
 
 def depth_of(total: Column) -> Column:
@@ -169,9 +171,10 @@ def manifest(leaves: DataFrame) -> DataFrame:
     siblings: an array of (left, right), level by level up to the root."""
     carry = [c for c in leaves.columns if c not in ("g", "key", "leaf")]
     named = F.when(F.col("g").isNull(), "").otherwise(F.concat(F.lit("="), F.col("g")))  # null first
-    at = ranked(leaves.withColumn("g", named))
+    at, read = ranked(leaves.withColumn("g", named))
     rounds, subroots = _rounds(at.select("g", "idx", F.col("leaf").alias("node"), depth_of(F.col("total")).alias("depth"), *carry), carry)
     subroots = stored(subroots, "manifest-subroots")
+    drop_stored(*read)
     head = F.rpad(F.substring(F.hex(F.encode("g", "UTF-8")), 1, 16), 16, "0")
     key = F.shiftleft(F.conv(F.substring(head, 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(head, 9, 8), 16, 10).cast("long"))
     names = subroots.withColumn("head", key).withColumn("all", F.lit(0))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import row_hash, stored, words_count
+from skylattice.llm.common import drop_stored, row_hash, stored, words_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -169,7 +169,9 @@ def numbered_sources(totals: DataFrame) -> DataFrame:
         start += n
     first = dealt.sparkSession.createDataFrame(starts, "range int, start long")
     nth = F.row_number().over(W.partitionBy("range").orderBy(*order))
-    return dealt.withColumn("nth", nth).join(F.broadcast(first), "range").select("source", "source_size", (F.col("start") + F.col("nth") - 1).alias("k"))
+    out = dealt.withColumn("nth", nth).join(F.broadcast(first), "range").select("source", "source_size", (F.col("start") + F.col("nth") - 1).alias("k"))
+    out.stored_path = dealt.stored_path  # what it reads
+    return out
 
 
 def plan_targets(totals: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:
@@ -177,9 +179,9 @@ def plan_targets(totals: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) ->
 
     Shares by weight above cap x size stop there and the excess is shared again. The water level only rises
     from round to round, so it alone says which sources are capped; a round returns a row a weight."""
-    sources = stored(
-        numbered_sources(totals).select(F.col("source").alias("t_source"), "source_size", F.pmod("k", F.lit(len(weights))).cast("int").alias("w")), "mix-sources"
-    )
+    numbered = numbered_sources(totals)
+    sources = stored(numbered.select(F.col("source").alias("t_source"), "source_size", F.pmod("k", F.lit(len(weights))).cast("int").alias("w")), "mix-sources")
+    drop_stored(numbered)
     whole = sources.agg(F.sum("source_size")).first()[0] or 0
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.col("w") + 1)
     level, capped = None, -1
@@ -194,7 +196,9 @@ def plan_targets(totals: DataFrame, weights=WEIGHTS, cap: int = MAX_REPEATS) ->
             break
         level = (float(whole) - sum(r[3] for r in sums)) / free
     target = F.least(weight * F.lit(level or 0.0), (cap * F.col("source_size")).cast("double"))
-    return sources.select("t_source", "source_size", target.alias("target"))
+    out = sources.select("t_source", "source_size", target.alias("target"))
+    out.stored_path = sources.stored_path
+    return out
 
 
 def _quotas(batches):
@@ -237,7 +241,8 @@ def _plan(base: DataFrame, weights) -> DataFrame:
     hist = stored(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     totals = stored(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "mix-totals")
     lists = hist.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("sizes"))
-    whole = plan_targets(totals, weights).join(lists, F.col("source").eqNullSafe(F.col("t_source")))
+    targets = plan_targets(totals, weights)
+    whole = targets.join(lists, F.col("source").eqNullSafe(F.col("t_source")))
     fits = whole.select("source", "source_size", "target", F.col("sizes.size").alias("sizes"), F.col("sizes.n").alias("counts")).mapInArrow(
         _quotas, "source string, source_size long, target double, sizes array<long>, counts array<long>, epochs int, quotas array<long>"
     )
@@ -260,7 +265,9 @@ def _plan(base: DataFrame, weights) -> DataFrame:
     limit = rows.withColumn("upto", upto).where("upto >= need and upto - m < need").select(
         *key, F.struct("bin", "rank", "rest").alias("limit"), (F.col("need") - F.col("upto") + F.col("m")).alias("last"), F.col("m").alias("tied")
     )
-    return stored(_joined(fitted.drop("n"), limit, *key, how="left"), "mix-plan")
+    plan = stored(_joined(fitted.drop("n"), limit, *key, how="left"), "mix-plan")
+    drop_stored(hist, totals, targets, fitted, edge)
+    return plan
 
 
 def _copies(rows: DataFrame, plan: DataFrame, tag: str) -> DataFrame:

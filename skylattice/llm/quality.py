@@ -148,10 +148,10 @@ def scored(docs: DataFrame, make_scorer, model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def with_folds(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
+def with_folds(scores: DataFrame, folds: int, held_out: int, *keep: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     return scores.select(
-        "doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *keep
     )
 
 

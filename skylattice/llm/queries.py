@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm import chat, clusters, fixity, licenses, lines, manifest, media, mixing, neardup, pieces, quality, substring, toxicity
-from skylattice.llm.common import stored, table
+from skylattice.llm.common import drop_stored, stored, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,7 +75,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.lit("inserted")
     other = other.withColumn("record", fixity.record_text(F.col("record_id"), F.lit(""), text, F.sha2(text, 256)))
     ours, theirs = (stored(fixity.described(r, "page_id", "record_id"), "warc") for r in (held, spoilt.unionByName(other)))
-    found = fixity.audit(stored(fixity.merkle_tree(ours), "merkle"), stored(fixity.merkle_tree(theirs), "merkle"))
+    drop_stored(held)
+    leaves = [fixity.merkle_tree(x) for x in (ours, theirs)]
+    trees = [stored(x, "merkle") for x in leaves]
+    found = fixity.audit(*trees)
+    drop_stored(*leaves, *trees)
     found = found.withColumnRenamed("node", "record_id")
     fault = F.coalesce("fault", F.lit("none")).alias("fault")
     known = ours.join(found, ["file", "record_id"], "left").select(*ours.columns, fault)

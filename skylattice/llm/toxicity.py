@@ -18,6 +18,7 @@ are passed over.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -199,29 +200,47 @@ class Tagger:
         return 1 / (1 + np.exp(-min(35.0, max(-35.0, z))))
 
 
-def spans(p: np.ndarray) -> list[dict]:
-    """Runs of words with a marginal of a half at least: first and last word, and the sum of marginals."""
-    on = np.flatnonzero(np.diff(np.concatenate([[False], p >= 0.5, [False]]).astype(np.int8)))
-    return [{"first_word": int(a), "last_word": int(z) - 1, "mass": float(p[a:z].sum())} for a, z in on.reshape(-1, 2)]
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def spans(p: np.ndarray, text: bytes) -> list[dict]:
+    """Runs of words with a marginal of a half at least: first and last word, first character and the one after the last, and the sum of marginals."""
+    on = np.flatnonzero(np.diff(np.concatenate([[False], p >= 0.5, [False]]).astype(np.int8))).reshape(-1, 2)
+    if not len(on):
+        return []
+    edges = [(w.start(), w.end()) for w in _WORDS.finditer(text)]
+    out, at, n = [], 0, 0  # n: characters before byte at
+
+    def characters(byte: int) -> int:
+        nonlocal at, n
+        n, at = n + len(text[at:byte].decode("utf-8", "replace")), byte
+        return n
+
+    for a, z in on.tolist():
+        first = characters(edges[a][0])
+        out.append({"first_word": a, "last_word": z - 1, "first": first, "end": characters(edges[z - 1][1]), "mass": float(p[a:z].sum())})
+    return out
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, most: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, score and spans (first_word, last_word, mass) of every document."""
+    """doc_id, score and spans (first_word, last_word, mass; first and end, in characters of the text) of every document."""
     model = train(labelled_sample(docs, labels, "toxic", folds, held_out, most))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("mass", pa.float64())]))
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("first_word", "last_word", "first", "end")] + [("mass", pa.float64())]))
 
     def run(batches):
         tagger = held.value and Tagger(held.value)
         for b in slices(batches, 250):
-            found = tagger.many(texts(b.column(1))) if tagger else []
+            batch = texts(b.column(1))
+            found = tagger.many(batch) if tagger else []
             scores = [tagger.score(p) for p in found] or [0.0] * b.num_rows
-            runs = [spans(p) for p in found] or [[]] * b.num_rows
+            runs = [spans(p, t) for p, t in zip(found, batch, strict=False)] or [[]] * b.num_rows
             yield pa.record_batch({"doc_id": b.column(0), "score": pa.array(scores, pa.float64()), "spans": pa.array(runs, kind)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<first_word:long,last_word:long,mass:double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<first_word:long,last_word:long,first:long,end:long,mass:double>>")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
-    return with_folds(toxicity(docs, labels, folds, held_out), folds, held_out)
+    """doc_id, held_out, score, predicted and offsets (first, end: characters of the toxic spans) of every document."""
+    offsets = F.transform("spans", lambda s: F.struct(s["first"].alias("first"), s["end"].alias("end")))
+    return with_folds(toxicity(docs, labels, folds, held_out).withColumn("offsets", offsets), folds, held_out, "offsets")

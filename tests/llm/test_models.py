@@ -1,5 +1,6 @@
 """Held-out accuracy, and invariance, of the two classifiers."""
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,18 @@ def test_toxic_spans(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     rows = toxicity.toxicity(docs, labels).where("size(spans) > 0").collect()
     assert rows and all(s.first_word <= s.last_word and s.mass > 0 for r in rows for s in r.spans)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:  # characters and words name the same places
+        for s in r.spans:
+            assert text[r.doc_id][s.first : s.end].split() == brute.words(text[r.doc_id])[s.first_word : s.last_word + 1]
+    scored = {r.doc_id: r.offsets for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert all([(o.first, o.end) for o in scored[r.doc_id]] == [(s.first, s.end) for s in r.spans] for r in rows) and len(scored) == docs.count()
+
+
+def test_offsets_count_characters():
+    text = "  Ünï böse  wörter 😀 da\n\n böse".encode()
+    got = toxicity.spans(np.array([0.1, 0.9, 0.8, 0.2, 0.3, 0.6]), text)
+    assert [(s["first_word"], s["last_word"], text.decode()[s["first"] : s["end"]]) for s in got] == [(1, 2, "böse  wörter"), (5, 5, "böse")]
 
 
 def plain_ftrl(samples):
