@@ -159,17 +159,21 @@ def refined(poses: DataFrame, transforms: DataFrame, z_weight: float) -> DataFra
     return transforms.join(fit, "camera_id").select("camera_id", F.array(*new, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("t"))
 
 
-def georef_init(poses: DataFrame, least_visual: float, min_frames: int, most_change: float | None = None, before: float = 0.0, z_weight: float = 5.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def georef_init(poses: DataFrame, least_visual: float, min_frames: int, most_change: float | None = None, before: float = 0.0, z_weight: float = 5.0, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First georeference of each camera: (report, measurements kept, transforms).
 
     The report holds n_unique, the mean scale and whether the camera stands: with min_frames unique measurements at least, and a scale that
-    differs from the one before by most_change at most. Only cameras that stand have measurements and a transform."""
+    differs from the one before by most_change at most, and more or fewer unique ones than an earlier try had (tried: camera_id, n_unique).
+    Only cameras that stand have measurements and a transform."""
     judged = written(judged_unique(poses, least_visual), "georef-judged")  # the fold runs once; three results read it
     report = judged.groupBy("camera_id").agg(F.count_if("chosen").alias("n_unique"), (F.sum("total") / F.when(F.sum("n") > 0, F.sum("n"))).alias("scale"))
     stands = (F.col("n_unique") >= min_frames) & F.col("scale").isNotNull()
     if most_change is not None:
         stands &= F.abs(F.col("scale") - before) <= most_change
-    report = report.withColumn("stands", stands)
+    if tried is not None:
+        report = report.join(tried.select("camera_id", F.col("n_unique").alias("n_tried")), "camera_id", "left")
+        stands &= F.coalesce(F.col("n_unique") != F.col("n_tried"), F.lit(True))
+    report = report.withColumn("stands", stands).select("camera_id", "n_unique", "scale", "stands")
     ready = report.where("stands")
     kept = poses.join(judged.where("chosen").select("camera_id", "seq"), ["camera_id", "seq"], "left_semi").join(ready.select("camera_id"), "camera_id", "left_semi")
     size = lambda i, j: F.col("scale") if i == j and i < 3 else F.lit(float(i == j))

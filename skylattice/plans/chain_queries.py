@@ -158,6 +158,15 @@ def georef_refine(spark, sf_dir):
     return georef.refined(p, t, 3.0).select("camera_id", F.transform("t", lambda x: F.round(x, 4)).alias("t"))
 
 
+@query("georef_by_moments")
+def georef_by_moments(spark, sf_dir):
+    from skylattice.operators import georef_state
+
+    p = _posed(spark, sf_dir)
+    t = p.select("camera_id").distinct().withColumn("t", F.array(*[F.lit(x) for x in _T]))
+    return georef_state.refined_by_moments(georef_state.pose_moments(p), t, 3.0).select("camera_id", F.transform("t", lambda x: F.round(x, 4)).alias("t"))
+
+
 # ---------------------------------------------------------------- publishing, tiles, colours
 
 
