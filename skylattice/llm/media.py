@@ -339,8 +339,45 @@ def _units(scan: dict, parsed: Parsed) -> tuple[list[int], int]:
     return pattern, -(-parsed.width // (SIDE * hm)) * -(-parsed.height // (SIDE * vm))
 
 
-def _decode(windows: np.ndarray, tables: _Tables, begin, stop, n_blocks, pattern, dc_of, ac_of) -> np.ndarray:
-    """Coefficients (blocks x 64, DC as coded), lane by lane; a lane is a restart interval.
+#: Lanes from which on decoding them together is faster than one after another.
+FEW = 24
+
+
+def _finish(data: bytes, lookup: list[int], symbols: np.ndarray, out: np.ndarray, bit: int, k: int, left: int, limit: int, base: int, unit: int, pattern: int, dc: list[int], ac: list[int]) -> None:
+    """Decode what is left of one lane, symbol by symbol: files without restart markers are one lane each."""
+    table = (dc if k == 0 else ac)[unit] << 16
+    number = int.from_bytes
+    while left:
+        at, shift = bit >> 3, 24 - (bit & 7)
+        near = number(data[at : at + 5], "big")
+        code = table + (near >> shift & 0xFFFF)
+        entry = lookup[code]
+        used = entry & 31
+        if not used:
+            s = int(symbols[code])
+            n, size = s >> 8, s & 15
+            if n == 0:
+                raise NotJpeg("unknown code")
+            extra = near >> (shift + 16 - n - size) & ((1 << size) - 1)
+            entry, used = int(_entry(np.int64(extra), np.int64(size), np.int64(s & 255), k == 0)), n + size
+        bit += used
+        if k == 0:
+            table = ac[unit] << 16
+        k += entry >> USED & 255
+        value = entry >> (USED + STEP)
+        if bit > limit or UNIT < k < END:
+            raise NotJpeg("damaged scan")
+        if k >= UNIT:
+            if value:
+                out[base + UNIT - 1] = value
+            left, k, base, unit = left - 1, 0, base + UNIT, (unit + 1) % pattern
+            table = dc[unit] << 16
+        elif value:
+            out[base + k - 1] = value
+
+
+def _decode(windows: np.ndarray, data: np.ndarray, tables: _Tables, begin, stop, n_blocks, pattern, dc_of, ac_of) -> np.ndarray:
+    """Coefficients (blocks x 64, DC as coded), all lanes at once while there are many, then those left one by one; a lane is a restart interval.
 
     pattern: how many blocks an MCU of the lane has; dc_of, ac_of: tables by lane and block of its MCU."""
     lookup, symbols = np.concatenate(tables.rows), np.concatenate(tables.symbols)
@@ -350,7 +387,7 @@ def _decode(windows: np.ndarray, tables: _Tables, begin, stop, n_blocks, pattern
     lane, left, limit, base, unit = np.arange(len(begin)), n_blocks.copy(), stop * 8, first * UNIT, np.zeros(len(begin), np.int64)
     dc, ac = dc_of[:, 0] << 16, ac_of[:, 0] << 16
     any_dc = True
-    while len(lane):
+    while len(lane) >= FEW:
         table = np.where(k == 0, dc, ac) if any_dc else ac
         near, shift = windows.take(bit >> 3), 24 - (bit & 7)
         code = (near >> shift) & 0xFFFF
@@ -384,6 +421,11 @@ def _decode(windows: np.ndarray, tables: _Tables, begin, stop, n_blocks, pattern
             if not go.all():
                 lane, bit, k, left, limit, base, unit, pattern, dc, ac = (x[go] for x in (lane, bit, k, left, limit, base, unit, pattern, dc, ac))
                 any_dc = bool((k == 0).any())
+    if len(lane):
+        raw, quick = data.tobytes(), lookup.tolist()
+        for i, who in enumerate(lane.tolist()):
+            state = (int(x[i]) for x in (bit, k, left, limit, base, unit, pattern))
+            _finish(raw, quick, symbols, out, *state, dc_of[who].tolist(), ac_of[who].tolist())
     return out.reshape(-1, UNIT)
 
 
@@ -440,8 +482,9 @@ def _read(files: list[bytes], parsed: list, which: list[int]) -> dict[int, dict]
     out = {i: {"width": parsed[i].width, "height": parsed[i].height, "comments": parsed[i].comments, "steps": parsed[i].steps, "components": parsed[i].components, "blocks": {}} for i in which}
     if not lanes:
         return out
-    data = np.concatenate([*bytes_of, np.zeros(8, np.uint8)]).astype(np.int64)
-    windows = data[:-4] << 32 | data[1:-3] << 24 | data[2:-2] << 16 | data[3:-1] << 8 | data[4:]
+    data = np.concatenate([*bytes_of, np.zeros(8, np.uint8)])
+    wide = data.astype(np.int64)
+    windows = wide[:-4] << 32 | wide[1:-3] << 24 | wide[2:-2] << 16 | wide[3:-1] << 8 | wide[4:]
     begin, stop, n_blocks = (np.concatenate([x[k] for x in lanes]) for k in range(3))
     length = np.repeat([x[3] for x in lanes], [len(x[0]) for x in lanes])
     widest = int(length.max())
@@ -449,7 +492,7 @@ def _read(files: list[bytes], parsed: list, which: list[int]) -> dict[int, dict]
     coded = []
     for a in range(0, len(begin), LANES):
         z = a + LANES
-        coded.append(_decode(windows, tables, begin[a:z], stop[a:z], n_blocks[a:z], length[a:z], dc_of[a:z], ac_of[a:z]))
+        coded.append(_decode(windows, data, tables, begin[a:z], stop[a:z], n_blocks[a:z], length[a:z], dc_of[a:z], ac_of[a:z]))
     coefficients, first = np.concatenate(coded), 0
     for i, scan, pattern, mcus in owner:
         n = mcus * len(pattern)

@@ -1,12 +1,15 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication: words that stand in a window which starts earlier in the corpus go.
 
-The reference is the whole corpus in doc_id order. Its index is content-defined: every window of
-WINDOW words is anchored at the smallest hash of GRAM words in it, and the run of consecutive
-windows with one anchor is a phrase. Phrases are dealt by hash into the reference's blocks, and a
-block knows the first document that holds each. A document is parsed against all blocks at once:
-a phrase that starts elsewhere earlier extends the copy that is being factored, anything else
-ends it. Where a factor may end inside a phrase, which is when another phrase with the same anchor
-exists, the phrase's windows are looked up one by one, so factors are exact at their boundaries.
+The corpus in doc_id order is the reference, cut into phrases by content: every window of WINDOW words is
+anchored at the smallest hash of GRAM words in it, and the run of consecutive windows with one anchor is a
+phrase. Phrases are dealt by hash into blocks, and a block knows the first document that holds each. A
+document's phrases that start elsewhere earlier are copies. Where a copy may end inside a phrase, which is
+when another phrase with the same anchor exists, the phrase's windows are looked up one by one, so copies are exact at
+their ends. Adjoining copies are united to spans afterwards.
+
+This is not the greedy relative Lempel-Ziv parse: no factor is extended to its longest match in one reference block, and a span
+has no source. The words found are the same, as a word is covered by a long enough factor just when it is in such a window; README says
+why the parse itself is left out.
 
 Every window belongs to exactly one phrase, and equal windows have equal anchors, so this finds
 all windows whose words start earlier, and no key ever holds more than a minimum: copies of any
@@ -142,7 +145,7 @@ def _here(p: Batch, column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_rows(parsed: DataFrame) -> DataFrame:
-    """anchor, key and id of the windows at possible factor boundaries, once a text; takes all columns, so that both readers of parsed share one shuffle."""
+    """anchor, key and id of the windows where copies may end, once a text; takes all columns, so that both readers of parsed share one shuffle."""
     columns = parsed.columns
 
     def run(batches):
@@ -199,7 +202,7 @@ def _kept(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def spans(gone: np.ndarray) -> list[dict]:
-    """Factors (first word, end), adjoining and overlapping ones joined."""
+    """Copies (first word, end), adjoining and overlapping ones joined."""
     on = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     return [{"first": int(a), "end": int(z)} for a, z in on.reshape(-1, 2)]
 

@@ -109,3 +109,102 @@ def test_average_hash():
     half = np.zeros((16, 16), np.uint8)
     half[:, 8:] = 200
     assert media.average_hash(half) == "0f" * 8
+
+
+# The luminance tables of the JPEG standard (annex K.3), as lengths and symbols.
+STANDARD_DC = ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12)))
+STANDARD_AC = (
+    [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+    list(bytes.fromhex(
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a"
+        "838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"
+    )),
+)
+
+
+def codes_of(table):
+    """Symbol -> (code, length), counted up length by length."""
+    code, out, symbols = 0, {}, iter(table[1])
+    for n, many in enumerate(table[0], 1):
+        for _ in range(many):
+            out[next(symbols)] = (code, n)
+            code += 1
+        code <<= 1
+    return out
+
+
+def ordinary_file(w, h, blocks, interval, sampling=2):
+    """A file as cameras write them: standard tables, AC runs, three components; blocks(component, x, y) gives 64 coefficients in zigzag order."""
+    dc, ac = codes_of(STANDARD_DC), codes_of(STANDARD_AC)
+    across, down = -(-w // (8 * sampling)), -(-h // (8 * sampling))
+    parts, bits, last = [], Bits(), [0, 0, 0]
+    number = lambda v, size: v if v >= 0 else v + (1 << size) - 1
+    for m in range(across * down):
+        if interval and m and m % interval == 0:
+            parts.append(bits.bytes())
+            bits, last = Bits(), [0, 0, 0]
+        mx, my = m % across, m // across
+        for c, x, y in [(0, sampling * mx + i, sampling * my + j) for j in range(sampling) for i in range(sampling)] + [(1, mx, my), (2, mx, my)]:
+            z = blocks(c, x, y)
+            size = abs(z[0] - last[c]).bit_length()
+            bits.put(*dc[size])
+            bits.put(number(z[0] - last[c], size), size)
+            last[c], run = z[0], 0
+            for v in z[1:]:
+                if v == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    bits.put(*ac[0xF0])
+                    run -= 16
+                size = abs(v).bit_length()
+                bits.put(*ac[run << 4 | size])
+                bits.put(number(v, size), size)
+                run = 0
+            if run:
+                bits.put(*ac[0])
+    parts.append(bits.bytes())
+    scan = b"".join(p + bytes([0xFF, 0xD0 + i % 8]) for i, p in enumerate(parts[:-1])) + parts[-1]
+    segment = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    tables = segment(0xDB, bytes([0] + [16] * 64)) + segment(0xC4, bytes([0, *STANDARD_DC[0], *STANDARD_DC[1]]) + bytes([16, *STANDARD_AC[0], *STANDARD_AC[1]]))
+    frame = segment(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([3, 1, 16 * sampling + sampling, 0, 2, 17, 0, 3, 17, 0]))
+    restart = segment(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    return b"\xff\xd8" + tables + restart + frame + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def random_blocks(seed):
+    known = {}
+
+    def block(c, x, y):
+        if (c, x, y) not in known:
+            rng = random.Random(seed * 1_000_003 + c * 10_007 + x * 101 + y)
+            z = [rng.randrange(-500, 500)] + [0] * 63
+            for _ in range(rng.choice([0, 1, 3, 10, 63])):
+                z[rng.randrange(1, 64)] = rng.choice([-1, 1, 2, -7, 100, -1023, 1023])
+            known[c, x, y] = z
+        return known[c, x, y]
+
+    return block
+
+
+@pytest.mark.parametrize(("w", "h", "interval", "sampling"), [(70, 45, 0, 2), (70, 45, 3, 2), (64, 64, 1, 1), (9, 8, 0, 1), (200, 120, 2, 2)])
+def test_ordinary_files(w, h, interval, sampling):
+    blocks = random_blocks(w + interval)
+    image = media.read_jpegs([ordinary_file(w, h, blocks, interval, sampling)])[0]
+    for c in range(3):
+        wide, high, got = image["blocks"][c + 1]
+        scale = 8 if c == 0 else 8 * sampling
+        assert (wide, high) == (-(-w // scale), -(-h // scale))
+        assert got.reshape(high, wide, 64).tolist() == [[blocks(c, x, y) for x in range(wide)] for y in range(high)]
+    dc = np.array([[blocks(0, x, y)[0] for x in range(-(-w // 8))] for y in range(-(-h // 8))])
+    assert media.thumbnail(image).tolist() == np.clip(np.floor(128 + dc * 16 / 8 + 0.5), 0, 255).astype(int).tolist()
+
+
+def test_files_without_markers_take_no_longer():
+    """800 x 600 pixels in one lane, with a symbol or two a block."""
+    import time
+
+    f = ordinary_file(800, 600, lambda c, x, y: [(x * 3 + y * 5 + c) % 200 - 100] + [0] * 63, 0)
+    began = time.perf_counter()
+    image = media.read_jpegs([f])[0]
+    assert media.thumbnail(image).shape == (75, 100) and time.perf_counter() - began < 0.6
