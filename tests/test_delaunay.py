@@ -39,13 +39,10 @@ def masks():
     band = [(x, y) for x in range(-60, 80) for y in range(-70, 70) if abs(3 * x - 2 * y) < 60 and rng.random() < 0.8]
     return {
         "sparse": [(rng.randrange(150) - 40, rng.randrange(90) - 70) for _ in range(500)],
-        "dense": [(x, y) for x in range(100) for y in range(70) if rng.random() < 0.7],
         "disc": disc,
         "band": band,
         "clusters": [(x + rng.randrange(9), y + rng.randrange(9)) for x, y in ((0, 0), (120, 3), (60, 100), (118, 97)) for _ in range(40)],
-        "full": [(x, y) for x in range(40) for y in range(33)],
         "line": [(x, 2 * x) for x in range(30)],
-        "two": [(0, 0), (5, 1)],
         "none": [],
         "single triangle": [(0, 0), (50, 1), (3, 70)],
     }
