@@ -8,8 +8,8 @@ from skylattice.llm import queries
 from skylattice.llm.common import shared_dir
 
 KEPT = {
-    "op1_mix_sources": {"mix-base", "mix-plan"}, "op3_clean_lines": set(), "op4_near_duplicates": {"neardup-rows", "neardup-classes", "neardup-components"}, "op9_warc_fixity": {"warc", "fixity-differ"},
-    "op10_substring_dedup": {"substring-phrases"}, "op11_merkle_manifest": {"manifest-blocks", "manifest-tops"}, "op12_centroid_clusters": {"clusters-assigned"}, "op13_chat_windows": set(),
+    "op1_mix_sources": {"mix-base", "mix-plan"}, "op4_near_duplicates": {"neardup-rows", "neardup-classes", "neardup-components"}, "op9_warc_fixity": {"warc", "fixity-differ"},
+    "op11_merkle_manifest": {"manifest-blocks", "manifest-tops"}, "op12_centroid_clusters": {"clusters-assigned"},
 }
 
 
