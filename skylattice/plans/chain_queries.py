@@ -10,35 +10,35 @@ from skylattice.operators import depth as D
 from skylattice.operators import tiles as T
 from skylattice.plans.camera_queries import _CORNERS, CAMERA, FOLD
 from skylattice.plans.catalog import query
-from skylattice.plans.fixtures import DEPTH, FRAMES, OBS, ORDER, POINTS, POSES, depth_maps, frames, observations, points, poses, table
+from skylattice.plans.fixtures import DEPTH, FRAMES, OBS, ORDER, POINTS, POSES, STRIDE, depth_maps, frames, observations, points, poses, strip, table
 from skylattice.plans.mosaic_queries import MOSAIC
 
 SMALL = Pinhole(60.0, 60.0, 25.0, 20.0, 50, 40)
 
 
-def shots(spark):
-    """Poses of the eight frames that have depth maps and images."""
-    k = F.col("id")
-    return spark.range(8).select(
-        k.alias("frame_id"), (12.0 + 5 * k).alias("easting"), (14.0 + 4 * k).alias("northing"), (95.0 + k).alias("altitude"), (45.0 * k).alias("heading"),
+def shots(spark, sf_dir):
+    """Poses of the frames that have depth maps and images."""
+    k = F.col("frame_id")
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8 + 8 * strip("l_orderkey")).alias("frame_id")).distinct().select(
+        "frame_id", (12.0 + 5 * k).alias("easting"), (14.0 + 4 * (k % 8)).alias("northing"), (95.0 + k % 8).alias("altitude"), (45.0 * k).alias("heading"),
         (k % 2).cast("int").alias("is_keyframe"), F.lit(1).alias("has_pose"),
     )
 
 
-SHOTS = """shots as (select i as frame_id, 12e0 + 5 * i as easting, 14e0 + 4 * i as northing, 95e0 + i as altitude, 45e0 * i as heading, i % 2 as is_keyframe, 1 as has_pose,
-  cos(radians(-45e0 * i)) as c, sin(radians(-45e0 * i)) as s from (select unnest(range(8)) as i))"""
+SHOTS = f"""shots as (select i as frame_id, 12e0 + 5 * i as easting, 14e0 + 4 * (i % 8) as northing, 95e0 + i % 8 as altitude, 45e0 * i as heading, i % 2 as is_keyframe, 1 as has_pose,
+  cos(radians(-45e0 * i)) as c, sin(radians(-45e0 * i)) as s from (select distinct l_suppkey % 8 + 8 * (l_orderkey // {STRIDE}) as i from lineitem))"""
 
 
 def images(spark, sf_dir):
-    """Pixels of the eight frames; the earliest row of each pixel counts."""
+    """Pixels of the frames; the earliest row of each pixel counts."""
     rows = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_suppkey") % 8).alias("frame_id"), (F.col("l_partkey") % 40).alias("r"), (F.col("l_orderkey") % 50).alias("c"), F.struct(F.struct(*ORDER).alias("seq"), F.col("l_extendedprice").alias("color")).alias("x")
+        (F.col("l_suppkey") % 8 + 8 * strip("l_orderkey")).alias("frame_id"), (F.col("l_partkey") % 40).alias("r"), (F.col("l_orderkey") % 50).alias("c"), F.struct(F.struct(*ORDER).alias("seq"), F.col("l_extendedprice").alias("color")).alias("x")
     )
     return rows.groupBy("frame_id", "r", "c").agg(F.min("x").alias("x")).select("frame_id", "r", "c", "x.color")
 
 
-IMAGES = f"""images as (select frame_id, r, c as col, color from (select l_suppkey % 8 as frame_id, l_partkey % 40 as r, l_orderkey % 50 as c, l_extendedprice as color,
-  row_number() over (partition by l_suppkey % 8, l_partkey % 40, l_orderkey % 50 order by {", ".join(ORDER)}) as rn from lineitem) where rn = 1)"""
+IMAGES = f"""images as (select frame_id, r, c as col, color from (select l_suppkey % 8 + 8 * (l_orderkey // {STRIDE}) as frame_id, l_partkey % 40 as r, l_orderkey % 50 as c, l_extendedprice as color,
+  row_number() over (partition by l_suppkey % 8 + 8 * (l_orderkey // {STRIDE}), l_partkey % 40, l_orderkey % 50 order by {", ".join(ORDER)}) as rn from lineitem) where rn = 1)"""
 
 
 @query("surface_planar", f"""{_CORNERS}, o as (select frame_id, unnest(range(cast(ceil(x / 50) as bigint), cast(floor((x + width) / 50) as bigint) + 1)) as gx, y, height from b)
@@ -85,7 +85,7 @@ def dense_points(spark, sf_dir):
     voted = D.votes(clamped)
     stays = D.coverage(voted, 5.0).where("stays").select("frame_id")
     kept = voted.where("kept").join(stays, "frame_id", "left_semi")
-    got = D.placed(kept, shots(spark), SMALL)
+    got = D.placed(kept, shots(spark, sf_dir), SMALL)
     return got.select("frame_id", "r", F.col("c").alias("col"), *[F.round(x, 4).alias(x) for x in ("x", "y", "z")])
 
 
@@ -97,7 +97,7 @@ _ORTHO = f"""{OBS}, {SHOTS}, {IMAGES}, g as (select gx, gy, min(elevation) as el
 
 
 def _ortho(spark, sf_dir):
-    seen = shots(spark)
+    seen = shots(spark, sf_dir)
     cells = observations(spark, sf_dir).where("elevation is not null").groupBy("gx", "gy").agg(F.min("elevation").alias("elevation"))
     kinds = surface.assumptions(seen, seen).select("frame_id", "assumption")
     return rectify.orthophotos_of_map(seen.join(kinds, "frame_id"), cells, images(spark, sf_dir), SMALL, 1.0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators import stages
 from skylattice.plans.catalog import query
-from skylattice.plans.fixtures import FRAMES, frames
+from skylattice.plans.fixtures import EVENTS, FRAMES, frames
 
 _RULES = {"densify": "is_keyframe = 1 and has_pose = 1", "ortho": "has_surface = 1", "mosaic": "has_surface = 1 and has_pose = 1"}
 _W = "window w as (partition by camera_id order by ts, frame_id)"
@@ -86,12 +86,12 @@ def released_sessions(spark, sf_dir):
     return got.select("frame_id", "session", F.unix_micros("release_ts").alias("release_us"))
 
 
-@query("imu_intervals", f"""with {FRAMES}, i as (select event_id as reading_id, user_id % 97 as sensor_id, ts as read_at, value from events)
+@query("imu_intervals", f"""with {FRAMES}, i as (select event_id as reading_id, user_id % 97 + 97 * (event_id // {EVENTS}) as sensor_id, ts as read_at, value from events)
     select frame_id, count(*) as n, round(avg(value), 6) as mean from frames f join i on i.sensor_id = f.camera_id and i.read_at <= f.ts and i.read_at > f.ts - interval '2 hours' group by frame_id""")
 def imu_intervals(spark, sf_dir):
-    from skylattice.plans.fixtures import table
+    from skylattice.plans.fixtures import strip, table
     from skylattice.streaming.maps import frames_with_imu
 
-    readings = table(spark, sf_dir, "events").select(F.col("event_id").alias("reading_id"), (F.col("user_id") % 97).alias("sensor_id"), F.col("ts").cast("timestamp").alias("at"), "value")
+    readings = table(spark, sf_dir, "events").select(F.col("event_id").alias("reading_id"), (F.col("user_id") % 97 + 97 * strip("event_id", EVENTS)).alias("sensor_id"), F.col("ts").cast("timestamp").alias("at"), "value")
     timed = frames(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     return frames_with_imu(timed, readings, "2 hours").groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))

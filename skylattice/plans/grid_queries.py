@@ -179,8 +179,9 @@ def patch_missing(spark, sf_dir):
 
 @query(
     "clamp_after_resize",
-    f"""with {OBS}, a as ({_A}), b as ({_B}) select gx, gy, case when elevation between (select min(elevation) from a where gx < 3) and (select max(elevation) from a where gx < 3) then elevation end as elevation from b""",
+    f"""with {OBS}, a as ({_CELLS} elevated = 0 group by gx, gy), b as ({_CELLS} elevated = 255 group by gx, gy)
+    select gx, gy, case when elevation between (select min(elevation) from a) and (select max(elevation) from a) then elevation end as elevation from b""",
 )
 def clamp_after_resize(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    return algebra.clamp_to(b.select("gx", "gy", "elevation"), "elevation", a.where("gx < 3"))
+    obs = observations(spark, sf_dir)
+    return algebra.clamp_to(_cells(obs.where("elevated = 255")).select("gx", "gy", "elevation"), "elevation", _cells(obs.where("elevated = 0")))
