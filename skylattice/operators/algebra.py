@@ -56,15 +56,15 @@ def _pick(a: DataFrame, b: DataFrame, rule) -> list[Column]:
 
 
 def overlap(a: DataFrame, b: DataFrame, res: tuple[float, float] | None = None) -> DataFrame:
-    """Cells that both maps have: l_ and r_ columns of the layers; maps of two resolutions (res) are refused."""
-    require_same_resolution(*res or (1.0, 1.0))
+    """Cells that both maps have: l_ and r_ columns of the layers; maps of two resolutions (res, or what the maps carry) are refused."""
+    _one_resolution(a, b, res)
     left = a.select(*KEY, *[F.col(c).alias(f"l_{c}") for c in layers(a)])
     return left.join(b.select(*KEY, *[F.col(c).alias(f"r_{c}") for c in layers(b)]), KEY)
 
 
 def upsert(a: DataFrame, b: DataFrame, extend: bool = False, res: tuple[float, float] | None = None) -> DataFrame:
-    """b's layers written over a's, empty values too; extend keeps the cells that only b has. Maps of two resolutions (res) are refused."""
-    require_same_resolution(*res or (1.0, 1.0))
+    """b's layers written over a's, empty values too; extend keeps the cells that only b has. Maps of two resolutions (res, or what the maps carry) are refused."""
+    _one_resolution(a, b, res)
     joined = _sides(a, b, "full_outer" if extend else "left")
     def rule(c, x, y):
         return F.when(F.col("r").isNotNull(), y).otherwise(x) if c in b.columns else x
@@ -72,8 +72,8 @@ def upsert(a: DataFrame, b: DataFrame, extend: bool = False, res: tuple[float, f
 
 
 def fill(a: DataFrame, b: DataFrame, extend: bool = False, zero: tuple[str, ...] = (), res: tuple[float, float] | None = None) -> DataFrame:
-    """a's layers, empty ones filled from b; layers in zero count 0 as empty and take values above 0. Maps of two resolutions (res) are refused."""
-    require_same_resolution(*res or (1.0, 1.0))
+    """a's layers, empty ones filled from b; layers in zero count 0 as empty and take values above 0. Maps of two resolutions (res, or what the maps carry) are refused."""
+    _one_resolution(a, b, res)
     def rule(c, x, y):
         if c in zero:
             return F.when((F.coalesce(x, F.lit(0)) == 0) & (y > 0), y).otherwise(x)
@@ -84,13 +84,13 @@ def fill(a: DataFrame, b: DataFrame, extend: bool = False, zero: tuple[str, ...]
 def resample_nearest(cells: DataFrame, factor: int) -> DataFrame:
     """The map on a lattice factor times coarser: the cell on each coarser node."""
     on = (F.col("gx") % factor == 0) & (F.col("gy") % factor == 0)
-    return cells.where(on).withColumn("gx", (F.col("gx") / factor).cast("long")).withColumn("gy", (F.col("gy") / factor).cast("long"))
+    return _rescaled(cells.where(on).withColumn("gx", (F.col("gx") / factor).cast("long")).withColumn("gy", (F.col("gy") / factor).cast("long")), cells, factor)
 
 
 def resample_area(cells: DataFrame, factor: int) -> DataFrame:
     """The map on a coarser lattice: means over the fine cells of each coarse one."""
     coarse = cells.select(F.floor(F.col("gx") / factor).alias("gx"), F.floor(F.col("gy") / factor).alias("gy"), *layers(cells))
-    return coarse.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in layers(cells)])
+    return _rescaled(coarse.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in layers(cells)]), cells, factor)
 
 
 def refine_bilinear(cells: DataFrame, factor: int) -> DataFrame:
@@ -102,7 +102,7 @@ def refine_bilinear(cells: DataFrame, factor: int) -> DataFrame:
     weight = (1 - F.abs("dx") / factor) * (1 - F.abs("dy") / factor)
     part = spread.select((F.col("gx") * factor + F.col("dx")).alias("gx"), (F.col("gy") * factor + F.col("dy")).alias("gy"), weight.alias("w"), *layers(cells))
     sums = part.groupBy(*KEY).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in layers(cells)])
-    return sums.where(F.col("w") > 1 - 1e-9).drop("w")
+    return _rescaled(sums.where(F.col("w") > 1 - 1e-9).drop("w"), cells, 1 / factor)
 
 
 def clamp_to(cells: DataFrame, layer: str, reference: DataFrame) -> DataFrame:
@@ -119,6 +119,28 @@ def color_scale(cells: DataFrame, layer: str) -> DataFrame:
     return cells.crossJoin(F.broadcast(span)).select(*KEY, level.cast("int").alias("level"))
 
 
+def with_resolution(cells: DataFrame, res: float) -> DataFrame:
+    """The map with its resolution, which the column gx carries from now on."""
+    return cells.withMetadata("gx", {**cells.schema["gx"].metadata, "resolution": float(res)})
+
+
+def resolution_of(cells: DataFrame) -> float | None:
+    """The resolution that a map carries."""
+    return cells.schema["gx"].metadata.get("resolution")
+
+
+def _one_resolution(a: DataFrame, b: DataFrame, res: tuple[float, float] | None) -> None:
+    left, right = res or (resolution_of(a), resolution_of(b))
+    if left is not None and right is not None:
+        require_same_resolution(left, right)
+
+
+def _rescaled(cells: DataFrame, of: DataFrame, factor: float) -> DataFrame:
+    """cells, made of a map, with its resolution times a factor, if it carries one."""
+    res = resolution_of(of)
+    return cells if res is None else with_resolution(cells, res * factor)
+
+
 def require_same_resolution(left: float, right: float) -> None:
     """Maps are only joined at one resolution; others are resampled first."""
     if abs(left - right) > 1e-9 * max(abs(left), abs(right)):
@@ -132,7 +154,7 @@ def resample_to(cells: DataFrame, from_res: float, to_res: float, *layers: str)
     near = lambda c: F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.round(F.col(c) * ratio).cast("long") + k))
     sent = cells.select(F.col("gx").alias("ox"), F.col("gy").alias("oy"), *layers).withColumn("gx", near("ox")).withColumn("gy", near("oy"))
     own = (F.floor(F.col("gx") / ratio + 0.5) == F.col("ox")) & (F.floor(F.col("gy") / ratio + 0.5) == F.col("oy"))
-    return sent.where(own).select("gx", "gy", *layers)
+    return with_resolution(sent.where(own).select("gx", "gy", *layers), to_res)
 
 
 def jet(level: Column) -> list[Column]:

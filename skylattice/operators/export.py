@@ -77,8 +77,8 @@ def layer_sidecars(cells: DataFrame, res: float, zone: int, band: str, *by: str)
 
 
 def scene_lines(views: DataFrame, frames: DataFrame) -> DataFrame:
-    """value: a scene as JSON lines, a line a camera and a line a point with the frames that see it; positions are relative to the least corner of the cameras."""
-    origin = frames.agg(F.min("easting").alias("ox"), F.min("northing").alias("oy"))
+    """value: a scene as JSON lines, a line a camera and a line a point with the frames that see it; positions are relative to the first frame."""
+    origin = frames.agg(F.min_by("easting", "frame_id").alias("ox"), F.min_by("northing", "frame_id").alias("oy"))
     cameras = frames.crossJoin(F.broadcast(origin)).select(
         F.to_json(F.struct(F.lit("camera").alias("kind"), "frame_id", (F.col("easting") - F.col("ox")).alias("x"), (F.col("northing") - F.col("oy")).alias("y"), F.col("altitude").alias("z"), "heading")).alias("value")
     )  # one row of origin

@@ -250,3 +250,15 @@ def test_rising_parts_give_the_same_mosaic(spark):
 def test_ground_sampling_distance_is_that_of_a_grid(spark):
     grid = spark.createDataFrame([(x * 0.5, y * 0.5) for x in range(40) for y in range(40)], "x double, y double")
     assert spatial.ground_sampling_distance(grid, 5).first().gsd == pytest.approx(0.5)
+
+
+def test_maps_carry_their_resolution(spark):
+    from skylattice.operators import algebra
+
+    fine = algebra.with_resolution(spark.createDataFrame([(x, y, float(x + y)) for x in range(8) for y in range(8)], "gx long, gy long, v double"), 0.5)
+    coarse = algebra.resample_area(fine, 2)
+    assert [algebra.resolution_of(m) for m in (coarse, algebra.resample_nearest(fine, 4), algebra.refine_bilinear(fine, 2), algebra.resample_to(fine, 0.5, 2.0, "v"))] == [1.0, 2.0, 0.25, 2.0]
+    for join in (algebra.overlap, algebra.upsert, algebra.fill):
+        with pytest.raises(ValueError, match="differ"):
+            join(fine, coarse)
+        assert join(coarse, algebra.with_resolution(coarse, 1.0)).count() == join(coarse, spark.createDataFrame(coarse.collect())).count() == 16
