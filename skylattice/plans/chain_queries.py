@@ -65,6 +65,23 @@ def surface_normals(spark, sf_dir):
     return got.where("nz > 1e-6").select("gx", "gy", F.round("elevation", 4).alias("elevation"), F.round("nz", 3).alias("nz"))
 
 
+_NORMALS = f"""with {POINTS}, q as (select i as gx, j as gy, i * 2e0 as qx, j * 2e0 as qy from (select unnest(range(50)) as i) cross join (select unnest(range(50)) as j)),
+    p as (select x, y, z from points), d as (select gx, gy, x, y, z, (x - qx) * (x - qx) + (y - qy) * (y - qy) as d2 from q, p where (x - qx) * (x - qx) + (y - qy) * (y - qy) < 10),
+    ring as (select gx, gy, ring from (select gx, gy, floor(d2 / 2) + 1 as ring, row_number() over (partition by gx, gy order by d2) as rn from d) where rn = 3 and ring < 6),
+    u as (select *, row_number() over (partition by gx, gy order by d2 desc, x, y, z) as k from d join ring using (gx, gy) where d2 < ring * 2),
+    t as (select gx, gy, max(x) filter (k = 1) ax, max(y) filter (k = 1) ay, max(z) filter (k = 1) az, max(x) filter (k = 2) bx, max(y) filter (k = 2) by_, max(z) filter (k = 2) bz,
+      max(x) filter (k = 3) cx, max(y) filter (k = 3) cy, max(z) filter (k = 3) cz from u group by gx, gy),
+    n as (select gx, gy, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) as x, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) as y, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) as z from t),
+    v as materialized (select gx, gy, case when z < 0 then -x else x end / l as nx, case when z < 0 then -y else y end / l as ny, abs(z) / l as nz from (select *, nullif(sqrt(x*x + y*y + z*z), 0) as l from n))"""
+
+
+@query("surface_normals_smooth", f"""{_NORMALS}, o as (select unnest(range(-2, 3)) as d), s as (select gx + i.d as gx, gy + j.d as gy, nx, ny, nz from v, o i, o j)
+    select v.gx, v.gy, round(median(s.nx), 3) + 0 as nx, round(median(s.ny), 3) + 0 as ny, round(median(s.nz), 3) + 0 as nz from v join s using (gx, gy) where v.nx is not null group by v.gx, v.gy""")
+def surface_normals_smooth(spark, sf_dir):
+    got = surface.elevation_surface(points(spark, sf_dir), 2.0, (0, 0, 49, 49), 6, "furthest")
+    return got.where("nx is not null").select("gx", "gy", *[(F.round(c, 3) + 0).alias(c) for c in ("nx", "ny", "nz")])
+
+
 @query("surface_best_fit")
 def surface_best_fit(spark, sf_dir):
     got = surface.elevation_surface(points(spark, sf_dir), 2.0, (0, 0, 49, 49), 6, "best")
