@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -124,11 +125,25 @@ def texts(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+_TRIM: list = []
+
+
+def give_back() -> None:
+    """Return to the system what is free; the C library keeps what large arrays leave behind, and a worker outlives its tasks."""
+    if not _TRIM:
+        try:
+            _TRIM.append(ctypes.CDLL(None).malloc_trim)
+        except (AttributeError, OSError, TypeError):  # not the GNU library
+            _TRIM.append(lambda _: 0)
+    _TRIM[0](0)
+
+
 def slices(batches, rows: int = 1000):
-    """Record batches of at most so many rows, which bounds what a task holds."""
+    """Record batches of at most so many rows, which bounds what a task holds; what is free goes back after each."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+            give_back()
 
 
 def gathered(batches, column: int, most: int, rows: int = 2000):
@@ -142,6 +157,7 @@ def gathered(batches, column: int, most: int, rows: int = 2000):
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(ends, done + most)) + 1)
             yield b.slice(at, end - at)
+            give_back()
             at, done = end, int(ends[min(end, b.num_rows) - 1])
 
 

@@ -3,7 +3,7 @@
 Encodes with the BPE pieces of a SentencePiece model file, to the ids that the library gives.
 No piece has a space mark after another character, so a text is cut before every run of marks
 (and around line feeds, which no piece holds) without changing its encoding. The distinct cuts
-of a batch that a task has not met yet are concatenated and indexed by a suffix array; every
+of a batch that a task doesn't remember are concatenated and indexed by a suffix array; every
 piece is looked up in it by binary search, which gives the range of its occurrences. These edges
 are sorted by position (into a bucket for each place and length) and relaxed from left to right, in
 all cuts together: of the pieces that end at a place exactly one can follow the piece that ends
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import gathered, slices
+from skylattice.llm.common import gathered, give_back, slices
 
 #: The model file; a parameter, as tokenizers are never part of this repository.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,6 +49,10 @@ GATHER = 1 << 20
 LEARNED = 1 << 18
 #: Cuts that a task remembers in a generation; it keeps two, and cuts met again move to the newer.
 MAX_CUTS = 200_000
+#: Marks by which a task knows that it met a cut in an earlier batch; only such cuts are remembered, as most never come again.
+MET = 1 << 20
+#: Bytes of ids that are decoded at once, about.
+DECODED = 1 << 18
 
 
 def _fields(buf: bytes):
@@ -192,11 +196,16 @@ class Encoder:
         head = np.maximum(self.codes[:, :3], 0)
         self.head = head[:, 0] << 42 | head[:, 1] << 21 | head[:, 2]
         self.head_end = self.head + np.array([0, 1 << 42, 1 << 21, 1])[np.minimum(self.sizes, 3)]
-        self.known: list[dict[str, bytes]] = [{}, {}]  # ids of cuts as they stand, and of words after a mark
-        self.before: list[dict[str, bytes]] = [{}, {}]  # the older generation of each
+        self.forget()
         self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
         self.pair_ok = np.zeros(1 << PAIR_BITS, bool)
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts: a worker outlives its tasks, and the next one may belong to another job."""
+        self.known: list[dict[str, bytes]] = [{}, {}]  # ids of cuts as they stand, and of words after a mark
+        self.before: list[dict[str, bytes]] = [{}, {}]  # the older generation of each
+        self.met = [bytearray(), bytearray()]
+
     def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the suffixes that begin with each piece begin and end in the suffix array."""
         heads = packed(codes)[order]
@@ -252,6 +261,7 @@ class Encoder:
         self._relax(edges, base[size <= LONG_CUT], size[size <= LONG_CUT], last, begin)
         for k in np.flatnonzero(size > LONG_CUT):
             self._relax_long(edges, int(base[k]), int(size[k]), last, begin)
+        del codes, order, lo, hi, count, piece, start, edges
         last, begin, ids, out = last.tolist(), begin.tolist(), self.v.ids, []
         for cut, at, n in zip(cuts, base.tolist(), size.tolist(), strict=True):
             found, e = [], at + n
@@ -318,32 +328,46 @@ class Encoder:
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit integers."""
-        texts = [self.cuts(t) for t in batch]
+        texts, found = [self.cuts(t) for t in batch], []
         for which in (0, 1):
             if len(self.known[which]) > MAX_CUTS:
-                self.before[which], self.known[which] = self.known[which], {}
-            known, before, new = self.known[which], self.before[which], []
+                self.before[which], self.known[which], self.met[which] = self.known[which], {}, bytearray()
+            self.met[which] = met = self.met[which] or bytearray(MET)
+            known, before, here, new = self.known[which], self.before[which], {}, []
             for c in dict.fromkeys(chain.from_iterable(cs for t in texts for w, cs in t if w == which)):
-                if c not in known:
-                    if c in before:
-                        known[c] = before[c]
-                    else:
-                        new.append(c)
+                if c in known:
+                    here[c] = known[c]
+                elif c in before:
+                    here[c] = known[c] = before[c]
+                else:
+                    new.append(c)
             at = size = 0
             for k, c in enumerate(new):
                 size += len(c) + 2
                 if size >= LEARNED or k + 1 == len(new):
                     part = new[at : k + 1]
-                    known.update(zip(part, self.learn([MARK + c for c in part] if which else part), strict=True))
+                    here.update(zip(part, self.learn([MARK + c for c in part] if which else part), strict=True))
                     at, size = k + 1, 0
-        plain, marked = (k.__getitem__ for k in self.known)
+            for c in new:
+                mark = hash(c) % MET
+                if met[mark]:
+                    known[c] = here[c]
+                met[mark] = 1
+            found.append(here)
+        plain, marked = (k.__getitem__ for k in found)
         return [b"".join([b"".join(map(marked if w else plain, cs)) for w, cs in t]) for t in texts]
 
 
 def decode_batch(batch: list[bytes], v: Vocabulary) -> list[bytes]:
     """The UTF-8 texts of ids."""
-    if not batch:
-        return []
+    ends, out = np.cumsum([0] + [len(b) for b in batch]), []
+    while len(out) < len(batch):
+        stop = max(len(out) + 1, int(np.searchsorted(ends, ends[len(out)] + DECODED, "right")) - 1)
+        out += _decoded(batch[len(out) : stop], v)
+    return out
+
+
+def _decoded(batch: list[bytes], v: Vocabulary) -> list[bytes]:
     ids = np.frombuffer(b"".join(batch), "<i4")
     size = v.plain_size[ids]
     ends = np.cumsum(size)
@@ -363,6 +387,16 @@ def _encoder(held) -> Encoder:
     return _ENCODERS[held.value]
 
 
+def _forgetting(batches):
+    """The batches of a task; what its encoder remembers of them goes with the last one."""
+    try:
+        yield from batches
+    finally:
+        for e in _ENCODERS.values():
+            e.forget()
+        give_back()
+
+
 def vocabulary(docs: DataFrame, model: str):
     """The model file, broadcast: half a megabyte from which each worker builds its encoder."""
     with open(model, "rb") as f:
@@ -381,7 +415,7 @@ def encoded(docs: DataFrame, model: str = MODEL, checked: bool = False) -> DataF
     rest = [c for c in docs.columns if c not in ("text", "ids", *more)]
 
     def run(batches):
-        for b in gathered(batches, 0, GATHER):
+        for b in _forgetting(gathered(batches, 0, GATHER)):
             batch = [t or "" for t in b.column(0).to_pylist()]
             ids = _encoder(held).encode_batch(batch)
             flat = np.frombuffer(b"".join(ids), np.int32)
@@ -416,7 +450,7 @@ def encoding_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
     held = vocabulary(docs, model)
 
     def run(batches):
-        for b in gathered(batches, 1, GATHER):
+        for b in _forgetting(gathered(batches, 1, GATHER)):
             batch = [t or "" for t in b.column(1).to_pylist()]
             size, n, sha, same = [], [], [], []
             coded = _encoder(held).encode_batch(batch)

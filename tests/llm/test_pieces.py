@@ -70,3 +70,36 @@ def test_models_beyond_the_method_are_refused(spark, docs_of, tmp_path):
     (tmp_path / "m.model").write_bytes(good + plain)
     with pytest.raises(ValueError, match="BPE"):
         pieces.encoded(docs_of(["a"]), str(tmp_path / "m.model"))
+
+
+def test_a_task_remembers_cuts_that_come_again_and_leaves_none_in_its_worker(spark, docs_of):
+    with open(pieces.MODEL, "rb") as f:
+        e = pieces.Encoder(pieces.Vocabulary(f.read()))
+    batches = [["again once\nline"], ["again twice\nline"], ["again once"]]
+    got = [e.encode_batch(b) for b in batches]
+    assert set(e.known[1]) == {"again", "once"} and set(e.known[0]) == {"\n", "line"}
+    assert [pieces.Encoder(e.v).encode_batch(b) for b in batches] == got == [e.encode_batch(b) for b in batches]
+    e.forget()
+    assert not any([*e.known, *e.before, *e.met]) and [e.encode_batch(b) for b in batches] == got
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            sizes = [len(x) for e in pieces._ENCODERS.values() for x in [*e.known, *e.before]]
+            yield pa.record_batch({"workers": pa.array([len(pieces._ENCODERS)]), "cuts": pa.array([sum(sizes)])})
+
+    docs = docs_of([f"some words {i}" for i in range(100)]).repartition(4)
+    assert pieces.encoded(docs, checked=True).where("round_trip").count() == 100
+    rows = spark.range(0, 40, 1, 4).mapInArrow(held, "workers long, cuts long").collect()
+    assert any(r.workers for r in rows) and not any(r.cuts for r in rows)
+
+
+def test_ids_are_decoded_in_parts(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        v = pieces.Vocabulary(f.read())
+    texts = ["", "one two", "three " * 50, "", "four"]
+    ids = pieces.Encoder(v).encode_batch(texts)
+    for size in (1, 12, 1 << 18):
+        monkeypatch.setattr(pieces, "DECODED", size)
+        assert pieces.decode_batch(ids, v) == [t.encode() for t in texts] and pieces.decode_batch([], v) == []
