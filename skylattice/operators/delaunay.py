@@ -4,10 +4,10 @@ Four corners of a square lie on one circle, and so do many other cells, so that
 taken a hair out of round, in the same way everywhere (`beyond`), which settles every tie by whole numbers alone.
 Then every triangle can be found from the cells around it, wherever the work is cut:
 
-1. Lattice squares with three or four valid corners give their triangles by arithmetic, in one aggregation. Cells with
-   such triangles all around are done; what is left are the cells at edges of the mask.
-2. These are dealt to blocks, with a margin of half a block. A task triangulates its cells by divide and conquer, and a
-   triangle whose circle lies within block and margin is one of the whole map. Edges that have a triangle on one side only
+1. Lattice squares with three or four valid corners give their triangles by arithmetic, in blocks with a border of two cells.
+   Cells with such triangles all around are done; what is left are the cells at edges of the mask.
+2. These are dealt to blocks, with a margin of a quarter of a block, later of half a block. A task holds the cells of one block at a time
+   and triangulates them by divide and conquer, and a triangle whose circle lies within block and margin is one of the whole map. Edges that have a triangle on one side only
    (the front) tell which sides of a cell are still open; triangles on a side that is closed are what
    step 1 or a finer round has covered, and are left out.
 3. Cells that are still open go on to blocks GROWTH times as wide, until one block holds the map. Only cells at the
@@ -21,11 +21,13 @@ from __future__ import annotations
 import bisect
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.operators.blocks import Extent, extent_of
+from skylattice.operators.folds import runs
 from skylattice.operators.tables import dropped, written
 
 #: Cells a side of the blocks of the first round, and how much wider those of the next are.
@@ -175,32 +177,41 @@ def _reach(a, b, c, extent: Extent) -> tuple[float, float, float, float]:
     return x0, y0, x1, y1
 
 
-def _open_sides(at, outs, ins):
-    """Angles around a cell where front edges leave, and whether what follows is still open."""
-    events = sorted([(math.atan2(y - at[1], x - at[0]), False) for x, y in outs] + [(math.atan2(y - at[1], x - at[0]), True) for x, y in ins])
-    return [e[0] for e in events], [e[1] for e in events]
-
-
-def _is_open(at, p, q, sides) -> bool:
-    """Whether the side of a cell between two others (counter-clockwise) has no triangle yet."""
-    angles, opens = sides
-    if not angles:
+def _open_sides(x, y, outs, ins) -> tuple[list, list, list]:
+    """Angles around each cell where front edges leave (outs) and come in (ins), whether what follows is still open, and where each cell's begin."""
+    cell, angle, opens = [], [], []
+    for ends, is_open in ((outs, False), (ins, True)):
+        at = np.repeat(np.arange(len(x)), np.diff(ends.offsets.to_numpy()))
+        flat = ends.flatten()
+        cell.append(at)
+        angle.append(np.arctan2(flat.field("y").to_numpy() - y[at], flat.field("x").to_numpy() - x[at]))
+        opens.append(np.full(len(at), is_open))
+    cell, angle, opens = np.concatenate(cell), np.concatenate(angle), np.concatenate(opens)
+    order = np.lexsort((opens, angle, cell))
+    return angle[order].tolist(), opens[order].tolist(), np.searchsorted(cell[order], np.arange(len(x) + 1)).tolist()
+
+
+def _is_open(k, at, p, q, sides) -> bool:
+    """Whether the side of cell k between two others (counter-clockwise) has no triangle yet."""
+    angles, opens, starts = sides
+    low, high = starts[k], starts[k + 1]
+    if low == high:
         return True
     first = math.atan2(p[1] - at[1], p[0] - at[0])
     wide = math.atan2(_turn(at, p, q), (p[0] - at[0]) * (q[0] - at[0]) + (p[1] - at[1]) * (q[1] - at[1]))
     middle = first + wide / 2
     if middle > math.pi:
         middle -= 2 * math.pi
-    return opens[bisect.bisect_right(angles, middle) - 1]
+    before = bisect.bisect_right(angles, middle, low, high) - 1
+    return opens[before if before >= low else high - 1]
 
 
-def _block_triangles(cells: list[dict], tx: int, ty: int, side: int, extent: Extent, last: bool) -> list[tuple]:
-    """Triangles of the map that a block finds in its cells and margin, and that no other block or earlier round does."""
-    cells.sort(key=lambda c: (c["x"], c["y"]))
-    points = [(c["x"], c["y"]) for c in cells]
-    pair = lambda e: [(x["x"], x["y"]) for x in e or ()]
-    sides = [_open_sides(p, pair(c["outs"]), pair(c["ins"])) for p, c in zip(points, cells, strict=True)]
-    margin, x0, y0 = side // 2, tx * side, ty * side
+def _block_triangles(cells: pa.Table, tx: int, ty: int, side: int, margin: int, extent: Extent, last: bool) -> list[tuple]:
+    """Triangles of the map that a block finds in its cells (x, y, outs, ins, in order) and margin, and that no other block or earlier round does."""
+    x, y = (cells.column(c).to_numpy() for c in ("x", "y"))
+    points = list(zip(x.tolist(), y.tolist(), strict=True))
+    sides = _open_sides(x, y, *[cells.column(c).combine_chunks() for c in ("outs", "ins")])
+    x0, y0 = tx * side, ty * side
     out = []
     for i, j, k in triangulate(points):
         a, b, c = points[i], points[j], points[k]
@@ -210,40 +221,83 @@ def _block_triangles(cells: list[dict], tx: int, ty: int, side: int, extent: Ext
                 continue
             if math.floor((left + right) / 2 / side) != tx or math.floor((low + top) / 2 / side) != ty:
                 continue
-        if _is_open(a, b, c, sides[i]) and _is_open(b, c, a, sides[j]) and _is_open(c, a, b, sides[k]):
+        if _is_open(i, a, b, c, sides) and _is_open(j, b, c, a, sides) and _is_open(k, c, a, b, sides):
             out.append((*a, *b, *c))
     return out
 
 
-def _squares(cells: DataFrame) -> DataFrame:
-    """Triangles of the lattice squares that have three or four valid corners."""
-    corner = lambda dx, dy: F.struct((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.lit(1 << (2 * dy + dx)).alias("k"))
-    each = cells.select(F.explode(F.array(*[corner(dx, dy) for dx in (0, 1) for dy in (0, 1)])).alias("s"))
-    found = each.groupBy("s.x", "s.y").agg(F.sum("s.k").alias("k"))
-    split = beyond((0, 0), (1, 0), (0, 1), (1, 1))  # then the diagonal from (1, 0) to (0, 1) isn't the one
-    full = [((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1))] if split else [((0, 0), (1, 0), (0, 1)), ((1, 0), (1, 1), (0, 1))]
-    kinds = {15: full, 7: [((0, 0), (1, 0), (0, 1))], 11: [((0, 0), (1, 0), (1, 1))], 13: [((0, 0), (1, 1), (0, 1))], 14: [((1, 0), (1, 1), (0, 1))]}
-    face = lambda t: F.struct(*[(F.col(v) + t[i][j]).alias(f"{c}{v}") for i, c in enumerate("abc") for j, v in enumerate("xy")])
-    faces = F.lit(None)
-    for code, shapes in kinds.items():
-        faces = F.when(F.col("k") == code, F.array(*[face(t) for t in shapes])).otherwise(faces)
-    return found.where(F.col("k").isin(*kinds)).select(F.inline(faces))
+def _unpaired(ox, oy, px, py) -> np.ndarray:
+    """Which directed edges don't have their other direction beside them."""
+    back = (ox > px) | ((ox == px) & (oy > py))
+    keys = [np.where(back, a, b) for a, b in ((oy, py), (ox, px), (py, oy), (px, ox))]
+    order = np.lexsort(keys)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for key in keys:
+        same &= key[order][1:] == key[order][:-1]
+    alone = np.ones(len(order), bool)
+    alone[order[1:][same]] = alone[order[:-1][same]] = False
+    return alone
+
+
+#: Triangles of a lattice square by its valid corners, bits 1 (0, 0), 2 (1, 0), 4 (0, 1) and 8 (1, 1).
+_FULL = [((0, 0), (1, 0), (1, 1)), ((0, 0), (1, 1), (0, 1))] if beyond((0, 0), (1, 0), (0, 1), (1, 1)) else [((0, 0), (1, 0), (0, 1)), ((1, 0), (1, 1), (0, 1))]
+_KINDS = {15: _FULL, 7: [((0, 0), (1, 0), (0, 1))], 11: [((0, 0), (1, 0), (1, 1))], 13: [((0, 0), (1, 1), (0, 1))], 14: [((1, 0), (1, 1), (0, 1))]}
+
+
+def _block_squares(x: np.ndarray, y: np.ndarray, x0: int, y0: int, side: int):
+    """Of the squares of a block, whose cells and border are given: triangles (ax .. cy), front edges (ox, oy, px, py), and cells (x, y) without a triangle."""
+    valid = np.zeros((side + 3, side + 3), np.int64)
+    valid[x - x0 + 1, y - y0 + 1] = 1
+    kinds = valid[:-1, :-1] + 2 * valid[1:, :-1] + 4 * valid[:-1, 1:] + 8 * valid[1:, 1:]
+    found = []
+    for kind, shapes in _KINDS.items():
+        i, j = np.nonzero(kinds == kind)
+        for shape in shapes:
+            found.append(np.stack([v for dx, dy in shape for v in (i + dx + x0 - 1, j + dy + y0 - 1)] + [(i > 0) & (i <= side) & (j > 0) & (j <= side)]))
+    all_, own = (lambda f: (f[:6], f[6].astype(bool)))(np.concatenate(found, 1))
+    edges = np.concatenate([np.stack([all_[2 * k], all_[2 * k + 1], all_[(2 * k + 2) % 6], all_[(2 * k + 3) % 6]]) for k in range(3)], 1)
+    front = edges[:, _unpaired(*edges) & np.tile(own, 3)]
+    some = np.isin(kinds, list(_KINDS))
+    lone = (valid[1:-2, 1:-2] == 1) & ~(some[:-1, :-1] | some[1:, :-1] | some[:-1, 1:] | some[1:, 1:])[:side, :side]
+    i, j = np.nonzero(lone)
+    return all_[:, own], front, np.stack([i + x0, j + y0])
+
+
+def _squares(cells: DataFrame, side: int) -> DataFrame:
+    """Triangles of the lattice squares that have three or four valid corners (kind 0), the edges around them (kind 1: a to b) and cells without any (kind 2: a)."""
+    blocks = lambda c: F.sequence(F.floor((F.col(c) - 2) / side), F.floor((F.col(c) + 1) / side))
+    dealt = cells.select(F.explode(blocks("x")).alias("tx"), "x", "y").select("tx", F.explode(blocks("y")).alias("ty"), "x", "y")
+
+    def run(batches):
+        for (tx, ty), block in runs(batches, 2):
+            x, y = (block.column(c).to_numpy() for c in ("x", "y"))
+            for kind, found in enumerate(_block_squares(x, y, tx * side, ty * side, side)):
+                n = found.shape[1]
+                if n:
+                    yield pa.record_batch([pa.array(np.full(n, kind, np.int32)), *[pa.array(c) for c in found], *[pa.nulls(n, pa.int64())] * (6 - len(found))], ["kind", *CORNERS])
+
+    return dealt.repartition("tx", "ty").sortWithinPartitions("tx", "ty").mapInArrow(run, "kind int, " + ", ".join(f"{c} long" for c in CORNERS))
 
 
 def _edges(triangles: DataFrame) -> DataFrame:
-    """The directed edges (ox, oy, px, py) around triangles, which lie to their left."""
-    ends = [("a", "b"), ("b", "c"), ("c", "a")]
-    edge = lambda o, p: F.struct(F.col(f"{o}x").alias("ox"), F.col(f"{o}y").alias("oy"), F.col(f"{p}x").alias("px"), F.col(f"{p}y").alias("py"))
-    return triangles.select(F.inline(F.array(*[edge(o, p) for o, p in ends])))
+    """The directed edges (ox, oy, px, py) around triangles, which lie to their left; most of those with both directions are left out, as they meet within a batch."""
+
+    def run(batches):
+        for b in batches:
+            t = [b.column(k).to_numpy() for k in range(6)]
+            edges = [np.concatenate([t[(2 * k + c) % 6] for k in range(3)]) for c in range(4)]
+            alone = _unpaired(*edges)
+            yield pa.record_batch([pa.array(e[alone]) for e in edges], ["ox", "oy", "px", "py"])
+
+    return triangles.select(*CORNERS).mapInArrow(run, "ox long, oy long, px long, py long")
 
 
 def _front(edges: DataFrame) -> DataFrame:
     """The edges without their other direction."""
-    end = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    o, p = end("ox", "oy"), end("px", "py")
-    ways = edges.groupBy(F.least(o, p).alias("low"), F.greatest(o, p).alias("high")).agg(F.count(F.lit(1)).alias("n"), F.first(o < p).alias("up"))
-    once = ways.where("n = 1").select(F.when(F.col("up"), F.struct("low", "high")).otherwise(F.struct(F.col("high").alias("low"), F.col("low").alias("high"))).alias("e"))
-    return once.select(F.col("e.low.x").alias("ox"), F.col("e.low.y").alias("oy"), F.col("e.high.x").alias("px"), F.col("e.high.y").alias("py"))
+    back = (F.col("ox") > F.col("px")) | ((F.col("ox") == F.col("px")) & (F.col("oy") > F.col("py")))
+    low = edges.select(back.alias("back"), *[F.when(back, F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("px", "ox", "lx"), ("py", "oy", "ly"), ("ox", "px", "hx"), ("oy", "py", "hy"))])
+    once = low.groupBy("lx", "ly", "hx", "hy").agg(F.count(F.lit(1)).alias("n"), F.first("back").alias("back")).where("n = 1")
+    return once.select(*[F.when(F.col("back"), F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("hx", "lx", "ox"), ("hy", "ly", "oy"), ("lx", "hx", "px"), ("ly", "hy", "py"))])
 
 
 def _open_cells(front: DataFrame, alone: DataFrame, extent: Extent) -> DataFrame:
@@ -260,50 +314,54 @@ def _open_cells(front: DataFrame, alone: DataFrame, extent: Extent) -> DataFrame
     return ends.where("open").drop("open")
 
 
-def _round(cells: DataFrame, side: int, extent: Extent, last: bool) -> DataFrame:
-    """New triangles of the open cells, by blocks of a side."""
-    item = F.struct("x", "y", "outs", "ins")
-    blocks = lambda c: F.sequence(F.floor((F.col(c) - side // 2) / side), F.floor((F.col(c) + side // 2) / side))
+def _round(cells: DataFrame, side: int, margin: int, extent: Extent, last: bool) -> DataFrame:
+    """New triangles of the open cells, by blocks of a side and their margin; a task sees its blocks one after another."""
+    within = lambda at, n, value: F.greatest(F.lit(at // side), F.least(F.lit((at + n - 1) // side), value)).cast("long")
+    blocks = lambda c, at, n: F.sequence(*[within(at, n, F.floor((F.col(c) + far) / side)) for far in (-margin, margin)])
     if last:
-        dealt = cells.select(F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"), item.alias("cell"))
+        dealt = cells.select(F.lit(0).cast("long").alias("tx"), F.lit(0).cast("long").alias("ty"), "x", "y", "outs", "ins")
     else:
-        dealt = cells.select(F.explode(blocks("x")).alias("tx"), "y", item.alias("cell")).select("tx", F.explode(blocks("y")).alias("ty"), "cell")
+        wide = cells.select(F.explode(blocks("x", extent.x, extent.width)).alias("tx"), "x", "y", "outs", "ins")
+        dealt = wide.select("tx", F.explode(blocks("y", extent.y, extent.height)).alias("ty"), "x", "y", "outs", "ins")
 
     def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                found = _block_triangles(row["cells"], row["tx"], row["ty"], side, extent, last)
-                if found:
-                    yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], list(CORNERS))
+        for (tx, ty), block in runs(batches, 2):
+            found = _block_triangles(block, tx, ty, side, margin, extent, last)
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], list(CORNERS))
 
-    grouped = dealt.groupBy("tx", "ty").agg(F.collect_list("cell").alias("cells"))
-    return grouped.mapInArrow(run, ", ".join(f"{c} long" for c in CORNERS))
+    return dealt.repartition("tx", "ty").sortWithinPartitions("tx", "ty", "x", "y").mapInArrow(run, ", ".join(f"{c} long" for c in CORNERS))
 
 
 def delaunay(cells: DataFrame, x: str = "gx", y: str = "gy", side: int = SIDE) -> DataFrame:
     """The triangles (ax, ay, bx, by, cx, cy, counter-clockwise) of all cells of a table."""
-    valid = written(cells.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).dropna().distinct(), "delaunay-cells")
+    valid = written(cells.select(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).dropna(), "delaunay-cells")
     extent = extent_of(valid, "x", "y")
-    rounds = [written(_squares(valid), "delaunay-triangles")]
-    front = written(_front(_edges(rounds[0])), "delaunay-front")
+    squares = written(_squares(valid, side), "delaunay-triangles")
+    rounds = [squares.where("kind = 0").select(*CORNERS)]
+    front = squares.where("kind = 1").select(*[F.col(a).alias(b) for a, b in zip(CORNERS, ("ox", "oy", "px", "py"), strict=False)])
+    alone = squares.where("kind = 2").select(F.col("ax").alias("x"), F.col("ay").alias("y"))
     touched = lambda t: t.select(F.inline(F.array(*[F.struct(F.col(f"{c}x").alias("x"), F.col(f"{c}y").alias("y")) for c in "abc"])))
-    alone = written(valid.join(touched(rounds[0]).distinct(), ["x", "y"], "left_anti"), "delaunay-alone")
     dropped(valid)
+    old = []
+    margin = side // 4  # voids are small at first, and cells in margins are dealt more than once
     while True:
         open_cells = written(_open_cells(front, alone, extent), "delaunay-open")
         last = side >= max(extent.width, extent.height)
         if open_cells.isEmpty():
+            dropped(open_cells)
             break
-        found = written(_round(open_cells, side, extent, last), "delaunay-triangles")
+        found = written(_round(open_cells, side, margin, extent, last), "delaunay-triangles")
         rounds.append(found)
         dropped(open_cells)
         if last:
             break
         newer = written(_front(front.unionByName(_edges(found))), "delaunay-front")
-        left = written(alone.join(touched(found).distinct(), ["x", "y"], "left_anti"), "delaunay-alone")
-        dropped(front, alone)
-        front, alone, side = newer, left, side * GROWTH
-    dropped(front, alone)
+        left = written(alone.join(touched(found).join(alone, ["x", "y"], "left_semi").distinct(), ["x", "y"], "left_anti"), "delaunay-alone")
+        dropped(*old)
+        front, alone, side, margin = newer, left, side * GROWTH, side * GROWTH // 2
+        old = [front, alone]
+    dropped(*old)
     out = rounds[0]
     for t in rounds[1:]:
         out = out.unionByName(t)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -29,3 +31,26 @@ def folded(df: DataFrame, by: str, order: list[str], make: Callable[[], Callable
             yield pd.DataFrame(out, columns=names)
 
     return df.where(df[by].isNotNull()).repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each key (the first columns) of batches that are sorted by it, one key after another; only one key's rows are held."""
+    key, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        starts = {0}
+        for c in b.columns[:keys]:
+            a, z = c.slice(1), c.slice(0, len(c) - 1)
+            new = pc.or_(pc.fill_null(pc.not_equal(a, z), False), pc.not_equal(pc.is_null(a), pc.is_null(z)))
+            starts.update(i + 1 for i in pc.indices_nonzero(new).to_pylist())
+        starts = sorted(starts)
+        for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            now = tuple(c[start].as_py() for c in b.columns[:keys])
+            if held and now != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(b.slice(start, end - start))
+    if held:
+        yield key, pa.Table.from_batches(held)

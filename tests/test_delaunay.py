@@ -67,3 +67,31 @@ def test_corners_have_their_elevation(spark):
     assert len(got) == 2 * 29 - 18 - 2 and all((r.az, r.bz, r.cz) == (10 * r.ax + r.ay, 10 * r.bx + r.by, 10 * r.cx + r.cy) for r in got)
     one = D.counted(D.delaunay(cells)).first()
     assert (one.n_triangles, one.n_hull, one.area2) == (38, 18, 40)
+
+
+def test_blocks_come_one_by_one(spark):
+    """What a task holds doesn't grow with the blocks of a batch, and no group is collected in the JVM."""
+    import pyarrow as pa
+
+    from skylattice.operators.blocks import Extent
+    from skylattice.operators.folds import runs
+
+    batch = lambda rows: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["tx", "by", "x"])
+    stream = iter([batch([(0, "a", 1), (0, "a", 2), (0, None, 3)]), batch([(0, None, 4)]), batch([(0, None, 5), (1, None, 6)])])
+    got = [(key, t.column("x").to_pylist()) for key, t in runs(stream, 2)]
+    assert got == [((0, "a"), [1, 2]), ((0, None), [3, 4, 5]), ((1, None), [6])]
+    cells = spark.createDataFrame([(1, 2, [(1, 3)], [(2, 2)])], "x long, y long, outs array<struct<x:bigint,y:bigint>>, ins array<struct<x:bigint,y:bigint>>")
+    plan = D._round(cells, 8, 4, Extent(0, 0, 30, 30), False)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Sort" in plan
+
+
+def test_squares_know_their_front_across_blocks(spark):
+    cells = [(x, y) for x in range(-9, 12) for y in range(-5, 20) if (x, y) not in ((3, 3), (8, 8), (0, 16)) and not 5 < x < 7] + [(40, 40)]
+    points = set(cells)
+    rows = D._squares(spark.createDataFrame(cells + cells[:9], "x long, y long"), 8).collect()
+    found = [((r.ax, r.ay), (r.bx, r.by), (r.cx, r.cy)) for r in rows if r.kind == 0]
+    edges = {e for a, b, c in found for e in ((a, b), (b, c), (c, a))}
+    assert len(edges) == 3 * len(found) and sum(D._turn(*t) for t in found) == len(found)
+    front = [((r.ax, r.ay), (r.bx, r.by)) for r in rows if r.kind == 1]
+    assert len(front) == len(set(front)) and set(front) == {e for e in edges if e[::-1] not in edges}
+    assert {(r.ax, r.ay) for r in rows if r.kind == 2} == points - {p for t in found for p in t} == {(40, 40)}
