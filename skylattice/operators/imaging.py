@@ -9,6 +9,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,6 +161,41 @@ def suggested_grid(source: B.Extent, res: float, zone: int, south: bool = False,
     return B.Extent(x, y, math.ceil(mx.max() / out_res) - x + 1, math.ceil(my.max() / out_res) - y + 1), out_res
 
 
+def _seen_from(tx: int, ty: int, source: B.Extent, target: B.Extent, res: float, out_res: float, zone: int, south: bool) -> tuple[int, int, int, int] | None:
+    """Target blocks (first and last column, first and last row) that hold all nodes within a cell of a source block's cells."""
+    left, right = max(tx * B.SIDE, source.x) - 1, min(tx * B.SIDE + B.SIDE, source.x + source.width)
+    low, top = max(ty * B.SIDE, source.y) - 1, min(ty * B.SIDE + B.SIDE, source.y + source.height)
+    xs, ys = np.arange(left, right + 1.0), np.arange(low, top + 1.0)
+    # the outline of an area is the outline of its image, but for one around the pole
+    ex = np.concatenate([xs, xs, np.full(len(ys), left), np.full(len(ys), right)]) * res
+    ny = np.concatenate([np.full(len(xs), low), np.full(len(xs), top), ys, ys]) * res
+    with np.errstate(all="ignore"):
+        mx, my = to_mercator(ex, ny, zone, south)
+    pole = geo.SCALE * geo._RADIUS * math.pi / 2
+    over = (geo.FALSE_NORTHING - pole if south else pole), (pole if not south else geo.FALSE_NORTHING + pole)
+    around = left * res <= geo.FALSE_EASTING <= right * res and any(low * res <= n <= top * res for n in over)
+    x0, y0, x1, y1 = target.x, target.y, target.x + target.width - 1, target.y + target.height - 1
+    if not around and np.isfinite(mx).all() and np.isfinite(my).all():
+        far = 2 * out_res + max(float(np.abs(np.diff(z)).max()) for part in (slice(0, len(xs)), slice(2 * len(xs), 2 * len(xs) + len(ys))) for z in (mx[part], my[part]))  # what the outline may bulge between two places
+        x0, x1 = max(x0, math.floor((mx.min() - far) / out_res)), min(x1, math.ceil((mx.max() + far) / out_res))
+        y0, y1 = max(y0, math.floor((my.min() - far) / out_res)), min(y1, math.ceil((my.max() + far) / out_res))
+    return None if x0 > x1 or y0 > y1 else (x0 // B.SIDE, x1 // B.SIDE, y0 // B.SIDE, y1 // B.SIDE)
+
+
+def reached_blocks(spark, source: B.Extent, target: B.Extent, res: float, out_res: float, zone: int, south: bool = False) -> DataFrame:
+    """The blocks (tx, ty) of a warped map that its source may reach: found from the source's blocks, as a long map is a thin line through its target's extent."""
+
+    def run(batches):
+        for b in batches:
+            got = [_seen_from(r["tx"], r["ty"], source, target, res, out_res, zone, south) for r in b.to_pylist()]
+            cols = list(zip(*[g for g in got if g], strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["x0", "x1", "y0", "y1"])
+
+    seen = B.target_blocks(spark.range(1).select(), source).repartition("tx", "ty").mapInArrow(run, "x0 long, x1 long, y0 long, y1 long")
+    wide = seen.select(F.explode(F.sequence("x0", "x1")).alias("tx"), "y0", "y1")
+    return wide.select("tx", F.explode(F.sequence("y0", "y1")).alias("ty")).distinct()
+
+
 def warped(blocks: DataFrame, layers: list[str], source: B.Extent, res: float, zone: int, out_res: float | None = None, kernel: str = "bilinear", south: bool = False, tolerance: float = 0.0) -> tuple[DataFrame, B.Extent, float]:
     """A UTM raster (cells at gx * res, gy * res) on the web-Mercator lattice, with the lattice's extent and resolution.
 
@@ -171,6 +207,6 @@ def warped(blocks: DataFrame, layers: list[str], source: B.Extent, res: float, z
         easting, northing = from_mercator(x * step, y * step, zone, south)
         return easting / res, northing / res
 
-    rows = blocks.sparkSession.range(1).select()
-    out = B.resampled(blocks, layers, B.target_blocks(rows, target), approximated(inverse, tolerance) if tolerance else inverse, source, target, kernel, "empty", "skip")
+    targets = reached_blocks(blocks.sparkSession, source, target, res, out_res, zone, south)
+    out = B.resampled(blocks, layers, targets, approximated(inverse, tolerance) if tolerance else inverse, source, target, kernel, "empty", "skip")
     return out, target, out_res

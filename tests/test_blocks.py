@@ -271,3 +271,22 @@ def test_approximation_keeps_its_tolerance():
         eu, ev = exact(x, y, {})
         assert np.abs(u - eu).max() <= tolerance and np.abs(v - ev).max() <= tolerance
         assert (B.SIDE**2 in calls[:-1]) == (tolerance < 1e-10)
+
+
+@pytest.mark.parametrize("corner", [(60400, 579200, 20, 3000), (60400, 579200, 30, 40000), (49990, 999700, 40, 60), (50800, 998000, 5, 500)])
+def test_warped_maps_visit_what_their_source_reaches(spark, corner):
+    """Every node that falls on the source is in a block that is visited, beside and around the pole too; of a long map's extent most are not."""
+    source, res, zone = B.Extent(*corner), 10.0, 32
+    target, step = imaging.suggested_grid(source, res, zone, out_res=3 * res)
+    got = {(r.tx, r.ty) for r in imaging.reached_blocks(spark, source, target, res, step, zone).collect()}
+    rng = np.random.default_rng(5)
+    u, v = source.x - 1 + rng.random(20_000) * (source.width + 1), source.y - 1 + rng.random(20_000) * (source.height + 1)
+    mx, my = imaging.to_mercator(u * res, v * res, zone)
+    for across, up in ((np.floor, np.floor), (np.ceil, np.ceil)):
+        x, y = across(mx / step).astype(int), up(my / step).astype(int)
+        bx, by = imaging.from_mercator(x * step, y * step, zone)
+        inside = (bx / res > source.x - 1) & (bx / res < source.x + source.width) & (by / res > source.y - 1) & (by / res < source.y + source.height)
+        inside &= (x >= target.x) & (x < target.x + target.width) & (y >= target.y) & (y < target.y + target.height)
+        assert {(int(a), int(b)) for a, b in zip(x[inside] // B.SIDE, y[inside] // B.SIDE, strict=True)} <= got
+    if corner[3] == 40000:
+        assert len(got) < target.width * target.height / B.SIDE**2 / 3
