@@ -262,3 +262,12 @@ def test_maps_carry_their_resolution(spark):
         with pytest.raises(ValueError, match="differ"):
             join(fine, coarse)
         assert join(coarse, algebra.with_resolution(coarse, 1.0)).count() == join(coarse, spark.createDataFrame(coarse.collect())).count() == 16
+
+
+def test_resampling_to_another_resolution_takes_wide_maps_whole(spark):
+    """Every node of the finer lattice whose nearest cell is there, far beyond the first strip of a map."""
+    cells = {(x, y): float(x + y) for x in (0, 1, 79, 80, 81, 640, 641, 9599) for y in range(-2, 3)}
+    got = {(r.gx, r.gy): r.v for r in algebra.resample_to(spark.createDataFrame([(*k, v) for k, v in cells.items()], "gx long, gy long, v double"), 2.5, 1.0, "v").collect()}
+    near = lambda i: math.floor(i / 2.5 + 0.5)
+    want = {(x, y): cells[near(x), near(y)] for x in range(-10, 24100) for y in range(-10, 11) if (near(x), near(y)) in cells}
+    assert got == want and max(x for x, _ in got) > 23_000
